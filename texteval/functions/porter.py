@@ -1,4 +1,4 @@
-"""Porter's stemmer (1980), for the metrics that match on word stems."""
+"""Porter's stemmer (1980) with the extensions common in text-metric libraries."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from functools import lru_cache
 # Suffix tables of steps 2, 3 and 4.
 STEP_2 = [
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
-    ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
     ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
     ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+    ("fulli", "ful"),
 ]
 STEP_3 = [
     ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"),
@@ -19,6 +20,13 @@ STEP_4 = [
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
     "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
 ]
+# Whole words with a stem of their own.
+IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+    "exceed": "exceed", "succeed": "succeed",
+}
 
 
 def _shape(word: str) -> str:
@@ -35,7 +43,8 @@ def _measure(stem: str) -> int:
 
 
 def _short_end(stem: str) -> bool:
-    return len(stem) > 2 and _shape(stem).endswith("cvc") and stem[-1] not in "wxy"
+    shape = _shape(stem)
+    return shape == "vc" or (shape.endswith("cvc") and stem[-1] not in "wxy")
 
 
 def _replace(word: str, rules: list[tuple[str, str]], least: int) -> str:
@@ -50,14 +59,20 @@ def _replace(word: str, rules: list[tuple[str, str]], least: int) -> str:
 @lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     """The stem of a lower-case word."""
+    if word in IRREGULAR:
+        return IRREGULAR[word]
     if len(word) <= 2:
         return word
-    if word.endswith("sses") or word.endswith("ies"):
+    if word.endswith("ies") and len(word) == 4:
+        word = word[:-1]
+    elif word.endswith(("sses", "ies")):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
 
-    if word.endswith("eed"):
+    if word.endswith("ied"):
+        word = word[:-1] if len(word) == 4 else word[:-2]
+    elif word.endswith("eed"):
         if _measure(word[:-3]) > 0:
             word = word[:-1]
     else:
@@ -71,10 +86,15 @@ def stem(word: str) -> str:
             elif _measure(word) == 1 and _short_end(word):
                 word += "e"
 
-    if word.endswith("y") and "v" in _shape(word[:-1]):
+    if word.endswith("y") and len(word) > 2 and _shape(word[:-1])[-1] == "c":
         word = word[:-1] + "i"
 
-    word = _replace(word, STEP_2, 0)
+    if word.endswith("alli") and _measure(word[:-4]) > 0:
+        word = word[:-2]
+    if word.endswith("logi"):
+        word = word[:-1] if _measure(word[:-3]) > 0 else word
+    else:
+        word = _replace(word, STEP_2, 0)
     word = _replace(word, STEP_3, 0)
 
     found = max((s for s in STEP_4 if word.endswith(s)), key=len, default=None)
