@@ -115,7 +115,7 @@ def bleu_score(smoothing: str | None = None) -> Column:
             t = F.greatest(t, F.lit(1))
         logs.append(F.log(m / t))
     mean_log = (logs[0] + logs[1] + logs[2] + logs[3]) / 4
-    shorter = F.col("pred_len") <= F.col("ref_len") if smoothing == "m1" else F.col("pred_len") < F.col("ref_len")
+    shorter = F.col("pred_len") < F.col("ref_len")
     brevity = F.when(shorter, F.exp(1 - F.col("ref_len") / F.col("pred_len"))).otherwise(F.lit(1.0))
     some = (F.col("m1") > 0) if smoothing == "m1" else (F.col("m4") > 0)
     return F.when(some & (F.col("pred_len") > 0), brevity * F.exp(mean_log)).otherwise(F.lit(0.0))
