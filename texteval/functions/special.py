@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Acklam's rational approximation of the normal quantile.
 QUANTILE_A = [
@@ -135,19 +136,19 @@ def _range_tail(q: float, k: float) -> float:
     return float(min(1.0, max(0.0, 1 - np.trapezoid(inner, _NODES))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     """Chi-square upper tail; meant for result tables."""
     return pd.Series([_chi2_tail(float(a), float(b)) for a, b in zip(x, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """F distribution upper tail; meant for result tables."""
     return pd.Series([_f_tail(float(a), float(b), float(c)) for a, b, c in zip(f, d1, d2)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def studentized_range_sf(q: pd.Series, k: pd.Series) -> pd.Series:
     """Studentised range upper tail with infinite degrees of freedom."""
     return pd.Series([_range_tail(float(a), float(b)) for a, b in zip(q, k)])

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from texteval.functions.porter import stem
 from texteval.functions.text import approx_tokens, parse_time, tokens
@@ -50,12 +51,12 @@ def _stems(words) -> list:
     return [stem(w) if len(w) > STEM_LONGER_THAN else w for w in words]
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_subsequence(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _lcs_stemmed(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_subsequence(_stems(x), _stems(y)) for x, y in zip(a, b)], dtype="int64")
 
@@ -78,7 +79,12 @@ def rouge_l(
     return out.withColumn(name, F.round(f, 4)).drop("__p", "__r", "__lcs")
 
 
-@F.pandas_udf("match array<long>, total array<long>")
+GRAM_TYPE = T.StructType(
+    [T.StructField(c, T.ArrayType(T.LongType())) for c in ("match", "total")]
+)
+
+
+@F.pandas_udf(GRAM_TYPE)
 def _gram_matches(p: pd.Series, r: pd.Series) -> pd.DataFrame:
     """Clipped matches and candidate counts for 1- to 4-grams."""
     match, total = [], []
