@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from texteval.functions.numbers import steady_round
 from texteval.functions.text import (
     EMPTY_ANSWER,
     EMPTY_GENERATION,
@@ -162,11 +163,11 @@ def run_summary(rows: DataFrame, by: list[str], scores: list[str]) -> DataFrame:
     """
     ok = ~is_error(F.col("generated"))
     return rows.groupBy(*by).agg(
-        F.round(F.sum("seconds"), 4).alias("total_seconds"),
-        F.round(F.avg("seconds"), 4).alias("mean_seconds"),
+        steady_round(F.sum("seconds"), 4).alias("total_seconds"),
+        steady_round(F.avg("seconds"), 4).alias("mean_seconds"),
         F.count_if(ok).alias("valid_rows"),
         F.count(F.lit(1)).alias("rows"),
-        *[F.round(F.avg(F.when(ok, F.col(s))), 4).alias(f"mean_{s}") for s in scores],
-        F.round(F.sum(F.when(ok, F.col("Coste_USD"))), 6).alias("total_cost"),
-        F.round(F.sum(F.when(ok, F.col("CO2_gramos"))), 4).alias("total_co2"),
+        *[steady_round(F.avg(F.when(ok, F.col(s))), 4).alias(f"mean_{s}") for s in scores],
+        steady_round(F.sum(F.when(ok, F.col("Coste_USD"))), 6).alias("total_cost"),
+        steady_round(F.sum(F.when(ok, F.col("CO2_gramos"))), 4).alias("total_co2"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from texteval.functions.numbers import steady_round
 from texteval.functions.porter import stem
 from texteval.functions.text import approx_tokens, parse_time, tokens
 from texteval.operators.joins import with_rates
@@ -76,7 +77,7 @@ def rouge_l(
     precision = F.col("__lcs") / F.size("__p")
     recall = F.col("__lcs") / F.size("__r")
     f = F.when(F.col("__lcs") > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
-    return out.withColumn(name, F.round(f, 4)).drop("__p", "__r", "__lcs")
+    return out.withColumn(name, steady_round(f, 4)).drop("__p", "__r", "__lcs")
 
 
 GRAM_TYPE = T.StructType(
@@ -137,7 +138,7 @@ def bleu(
 ) -> DataFrame:
     """Sentence BLEU-4; without smoothing it is 0 when any n-gram order has no match."""
     scheme = scheme or ("whitespace" if smoothing else "13a")
-    scored = bleu_stats(df, pred, ref, scheme).withColumn(name, F.round(bleu_score(smoothing), 4))
+    scored = bleu_stats(df, pred, ref, scheme).withColumn(name, steady_round(bleu_score(smoothing), 4))
     return scored.select(*[c for c in df.columns if c != name], name)
 
 
@@ -145,7 +146,7 @@ def corpus_bleu(df: DataFrame, by: list[str], pred: str = "generated", ref: str
     """BLEU of a corpus: summed statistics, one brevity penalty."""
     names = [f"{k}{n}" for k in "mt" for n in range(1, 5)] + ["pred_len", "ref_len"]
     sums = bleu_stats(df, pred, ref).groupBy(*by).agg(*[F.sum(c).alias(c) for c in names])
-    return sums.select(*by, "pred_len", "ref_len", F.round(bleu_score(), 4).alias("corpus_bleu"))
+    return sums.select(*by, "pred_len", "ref_len", steady_round(bleu_score(), 4).alias("corpus_bleu"))
 
 
 def _align(hyp: list, ref: list, taken_h: dict, taken_r: set) -> None:
@@ -202,7 +203,7 @@ def meteor(
         return pd.Series([alignment_score(list(a), list(b), stages) for a, b in zip(h, r)])
 
     value = score(tokens(F.lower(F.col(pred)), scheme), tokens(F.lower(F.col(ref)), scheme))
-    return df.withColumn(name, F.round(F.coalesce(value, F.lit(0.0)), 4))
+    return df.withColumn(name, steady_round(F.coalesce(value, F.lit(0.0)), 4))
 
 
 def greedy_cosine_f1(vectors: DataFrame, item: str = "item_id", block: int = 512) -> DataFrame:
@@ -248,16 +249,16 @@ def greedy_cosine_f1(vectors: DataFrame, item: str = "item_id", block: int = 512
     f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r")))
     return sides.select(
         item,
-        F.round("p", 4).alias("precision"),
-        F.round("r", 4).alias("recall"),
-        F.round(F.coalesce(f1, F.lit(0.0)), 4).alias("f1"),
+        steady_round("p", 4).alias("precision"),
+        steady_round("r", 4).alias("recall"),
+        steady_round(F.coalesce(f1, F.lit(0.0)), 4).alias("f1"),
     )
 
 
 def corpus_means(df: DataFrame, by: list[str], scores: list[str]) -> DataFrame:
     """Mean of each row score per corpus."""
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"), *[F.round(F.avg(s), 4).alias(f"mean_{s}") for s in scores]
+        F.count(F.lit(1)).alias("rows"), *[steady_round(F.avg(s), 4).alias(f"mean_{s}") for s in scores]
     )
 
 
@@ -276,7 +277,7 @@ def cost_and_co2(
     rated = with_rates(counted, rates, DEFAULT_RATES, key)
     cost = F.col("Tokens_Input") * F.col("price_in") + F.col("Tokens_Output") * F.col("price_out")
     co2 = (F.col("Tokens_Input") + F.col("Tokens_Output")) * F.col("kwh_per_token") * grams_per_kwh
-    return rated.withColumns({"Coste_USD": F.round(cost, 8), "CO2_gramos": F.round(co2, 6)}).drop(*DEFAULT_RATES)
+    return rated.withColumns({"Coste_USD": steady_round(cost, 8), "CO2_gramos": steady_round(co2, 6)}).drop(*DEFAULT_RATES)
 
 
 def with_seconds(df: DataFrame, col: str = "seconds", default: float = DEFAULT_SECONDS) -> DataFrame:

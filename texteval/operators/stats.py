@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from texteval.functions.numbers import steady_round
 from texteval.functions.labels import effect_class, p_stars
 from texteval.functions.special import chi2_sf, f_sf, normal_quantile, studentized_range_sf
 from texteval.operators.distribution import quantile_aggs, ranked_values, value_counts
@@ -52,7 +53,7 @@ def friedman(
     plain = F.lit(12.0) / (n * k * (k + 1)) * F.col("squares") - 3 * n * (k + 1)
     correction = 1 - F.col("ties") / (n * k * (k * k - 1))
     stat = F.when(correction > 1e-12, plain / correction)
-    return sums.withColumn("chi2", F.round(stat, 6)).select(
+    return sums.withColumn("chi2", steady_round(stat, 6)).select(
         *cell,
         k.cast("long").alias("k"),
         n.cast("long").alias("n"),
@@ -76,7 +77,7 @@ def anova(paired: DataFrame, cell: list[str]) -> DataFrame:
     between = F.col("s2") - F.col("s") * F.col("s") / F.col("total")
     f = (between / (F.col("k") - 1)) / (F.col("within") / (F.col("total") - F.col("k")))
     return (
-        grand.withColumns({"F": F.round(F.when(F.col("within") > 0, f), 5), "df_between": F.col("k") - 1, "df_within": F.col("total") - F.col("k")})
+        grand.withColumns({"F": steady_round(F.when(F.col("within") > 0, f), 5), "df_between": F.col("k") - 1, "df_within": F.col("total") - F.col("k")})
         .withColumn("p", F.when(F.col("F").isNotNull(), f_sf("F", "df_between", "df_within")))
         .select(*cell, F.col("df_between").cast("long"), F.col("df_within").cast("long"), "F", "p")
     )
@@ -104,7 +105,7 @@ def nemenyi_from_ranks(ranks: DataFrame, cell: list[str]) -> DataFrame:
         *cell,
         F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"),
         n.cast("long").alias("n"), k.cast("long").alias("k"),
-        F.round(q, 6).alias("q"),
+        steady_round(q, 6).alias("q"),
     ).withColumn("p_adj", studentized_range_sf("q", F.col("k").cast("double")))
 
 
@@ -120,7 +121,7 @@ def wilcoxon_r(pairs: DataFrame, cell: list[str], ties: bool = True, digits: int
     d = pairs.withColumn("d", F.round(F.col("value_a") - F.col("value_b"), digits))
     rows = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("value_a") - F.avg("value_b"), 6).alias("mean_diff"),
+        steady_round(F.avg("value_a") - F.avg("value_b"), 6).alias("mean_diff"),
     )
     size = d.filter(F.col("d") != 0).withColumn("value", F.abs("d"))
     ranked = ranked_values(size, keys, "value", up=F.sum((F.col("d") > 0).cast("long")))
@@ -140,7 +141,7 @@ def wilcoxon_r(pairs: DataFrame, cell: list[str], ties: bool = True, digits: int
     usable = (F.col("n") >= MIN_ROWS) & (F.col("m") >= (1 if ties else 2)) & (sigma > 0)
     r = F.when(usable, F.least(z / F.sqrt(F.col("n").cast("double")), F.lit(1.0))).otherwise(F.lit(0.0))
     return rows.join(sums, keys, "left").select(
-        *keys, "n", "mean_diff", F.coalesce(m.cast("long"), F.lit(0)).alias("n_nonzero"), F.round(r, 6).alias("r")
+        *keys, "n", "mean_diff", F.coalesce(m.cast("long"), F.lit(0)).alias("n_nonzero"), steady_round(r, 6).alias("r")
     ).withColumn("effect", effect_class(F.col("r")))
 
 
@@ -247,8 +248,8 @@ def bootstrap_ci(
     )
     return size.join(bounds, keys).select(
         *keys, "n",
-        F.round("mean", 6).alias("mean"),
-        F.round("ci_low", 6).alias("ci_low"),
-        F.round("ci_high", 6).alias("ci_high"),
-        F.round(F.col("ci_high") - F.col("ci_low"), 6).alias("ci_width"),
+        steady_round("mean", 6).alias("mean"),
+        steady_round("ci_low", 6).alias("ci_low"),
+        steady_round("ci_high", 6).alias("ci_high"),
+        steady_round(F.col("ci_high") - F.col("ci_low"), 6).alias("ci_width"),
     )

@@ -8,38 +8,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from texteval.functions.numbers import steady_round
 from texteval.operators.distribution import quantile_aggs, ranked_values
 
 ALPHA = 0.05
 
 
 def summary(long: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
-    """Mean, median, sample deviation, range and count per group."""
-    stats = _moments(long, keys)
-    return stats.select(
+    """Mean, median, sample deviation, range and count per group.
+
+    All of it comes from the value table, so the rows are read once and leave
+    their task only as counts.
+    """
+    x, w = F.col("value"), F.col("cnt")
+    sums = ranked_values(long, keys).groupBy(*keys).agg(
+        *quantile_aggs({"median": 0.5}),
+        F.max("n").alias("n"),
+        F.sum(x * w).alias("s"),
+        F.sum(x * x * w).alias("s2"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+    )
+    mean = F.col("s") / F.col("n")
+    spread = F.greatest(F.col("s2") - F.col("s") * mean, F.lit(0.0))
+    std = F.when(F.col("n") > 1, F.sqrt(spread / (F.col("n") - 1)))
+    return sums.select(
         *keys,
-        F.round("mean", digits).alias("mean"),
-        F.round("median", digits).alias("median"),
-        F.round("std", digits).alias("std"),
-        F.round("min", digits).alias("min"),
-        F.round("max", digits).alias("max"),
+        steady_round(mean, digits).alias("mean"),
+        steady_round("median", digits).alias("median"),
+        steady_round(std, digits).alias("std"),
+        steady_round("min", digits).alias("min"),
+        steady_round("max", digits).alias("max"),
         "n",
     )
 
 
-def _moments(long: DataFrame, keys: list[str]) -> DataFrame:
-    ranked = ranked_values(long, keys)
-    medians = ranked.groupBy(*keys).agg(*quantile_aggs({"median": 0.5}))
-    moments = long.filter(F.col("value").isNotNull()).groupBy(*keys).agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.count("value").alias("n"),
-    )
-    return moments.join(medians, keys)
-
-
 def _signed(col: str, better: str = "better") -> Column:
     return F.when(F.col(better) == "higher", -F.col(col)).otherwise(F.col(col))
 
@@ -64,7 +67,7 @@ def ranking_stability(stats: DataFrame, cell: list[str]) -> DataFrame:
 def totals(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Total cost, CO2 and time with the number of rows."""
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), *[F.round(F.sum(c), 6).alias(f"total_{c}") for c in columns]
+        F.count(F.lit(1)).alias("rows"), *[steady_round(F.sum(c), 6).alias(f"total_{c}") for c in columns]
     )
 
 
@@ -102,7 +105,7 @@ def by_category(long: DataFrame, keys: list[str]) -> DataFrame:
     return long.groupBy(*keys, "category").agg(
         F.countDistinct("model").alias("models"),
         F.count("value").alias("n"),
-        F.round(F.avg("value"), 6).alias("mean"),
+        steady_round(F.avg("value"), 6).alias("mean"),
     )
 
 
@@ -119,7 +122,7 @@ def inventory(df: DataFrame, approximate: bool = False) -> DataFrame:
 def length_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows and mean length of each text column."""
     return df.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.round(F.avg(F.length(c)), 4).alias(f"mean_len_{c}") for c in cols]
+        F.count(F.lit(1)).alias("rows"), *[steady_round(F.avg(F.length(c)), 4).alias(f"mean_len_{c}") for c in cols]
     )
 
 
@@ -134,7 +137,7 @@ def training_summary(log: DataFrame, by: list[str]) -> DataFrame:
             *by, "epochs",
             F.col("l.loss_lm_train").alias("last_train"),
             F.col("l.loss_lm_val").alias("last_val"),
-            F.round(F.col("l.loss_lm_val") - F.col("l.loss_lm_train"), 4).alias("gap"),
+            steady_round(F.col("l.loss_lm_val") - F.col("l.loss_lm_train"), 4).alias("gap"),
             F.col("b.epoch").alias("best_epoch"),
             F.col("b.loss_lm_val").alias("best_val"),
         )

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from texteval.functions.numbers import steady_round
 from texteval.functions.special import normal_quantile
 from texteval.operators.distribution import quantile_aggs, ranked_values, value_counts
 from texteval.operators.order import digest_bucket, integer_bucket, prefix_sum, random_order, with_position
@@ -78,7 +79,7 @@ def cumulative_time(df: DataFrame, keys: list[str], seq: str = "item_id", time:
     bucket = integer_bucket(F.col(seq))
     placed = with_position(rows, keys, [seq], bucket, "processed", total="n")
     summed = prefix_sum(placed, keys, [seq], bucket, F.col(time), "__before")
-    return summed.withColumn("elapsed", F.round(F.col("__before") + F.col(time), 4)).drop("__before")
+    return summed.withColumn("elapsed", steady_round(F.col("__before") + F.col(time), 4)).drop("__before")
 
 
 def log_checkpoints(curve: DataFrame, keys: list[str], points: int = CHECKPOINTS) -> DataFrame:
@@ -126,7 +127,7 @@ def box_stats(long: DataFrame, keys: list[str]) -> DataFrame:
         {
             "whisker_low": F.coalesce("whisker_low", "q1"),
             "whisker_high": F.coalesce("whisker_high", "q3"),
-            **{c: F.round(c, 6) for c in ("q1", "median", "q3", "iqr")},
+            **{c: steady_round(c, 6) for c in ("q1", "median", "q3", "iqr")},
         }
     )
 
@@ -237,7 +238,7 @@ def kde(long: DataFrame, keys: list[str], points: int = KDE_POINTS, margin: floa
     )
     density = F.col("mass") / (F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi))
     return curve.select(
-        *keys, F.col("point").cast("long").alias("point"), F.round("x", 6).alias("x"), F.round(density, 6).alias("density")
+        *keys, F.col("point").cast("long").alias("point"), steady_round("x", 6).alias("x"), steady_round(density, 6).alias("density")
     )
 
 
@@ -265,7 +266,7 @@ def qq_fit(points: DataFrame, keys: list[str]) -> DataFrame:
     """Least-squares line through the points and its correlation."""
     return points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.regr_slope("value", "quantile"), 5).alias("slope"),
-        F.round(F.regr_intercept("value", "quantile"), 5).alias("intercept"),
-        F.round(F.corr("value", "quantile"), 5).alias("r"),
+        steady_round(F.regr_slope("value", "quantile"), 5).alias("slope"),
+        steady_round(F.regr_intercept("value", "quantile"), 5).alias("intercept"),
+        steady_round(F.corr("value", "quantile"), 5).alias("r"),
     )

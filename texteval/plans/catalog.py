@@ -485,7 +485,7 @@ class EchoClient:
             raise RuntimeError("429 rate limit: " + user)
         if len(user) % 7 == 0 and temperature < 0.6:
             return "  "
-        return "<think>plan\nmore</think> " + user.upper()
+        return "<think>plan\nmore</think> reply " + user
 
 
 def _no_wait(seconds):
