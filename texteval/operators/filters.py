@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from texteval.functions.text import is_error, is_footer
+from texteval.operators.bounds import per_group
 from texteval.sources.runs import METRIC_COLUMNS
 
 # Science and technology keywords of the corpus filter.
@@ -110,20 +111,21 @@ def range_policy(df: DataFrame, cols: list[str] | None = None, policy: str = "dr
 
 
 def melt_metrics(df: DataFrame, ids: list[str], columns: list[str] | None = None) -> DataFrame:
-    """Long form (ids, metric, value) with label and direction; null values are left out."""
+    """Long form (ids, metric, value); null values are left out."""
     columns = [c for c in (columns or METRIC_COLUMNS) if c in df.columns]
     doubles = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
+    return doubles.unpivot(ids, columns, "metric", "value").filter(F.col("value").isNotNull())
+
+
+def describe_metrics(df: DataFrame) -> DataFrame:
+    """Label and direction (higher or lower is better) of each metric; best added after aggregating."""
     label = F.create_map(*[F.lit(x) for m, text, _ in METRICS for x in (m, text)])
     better = F.create_map(*[F.lit(x) for m, _, way in METRICS for x in (m, way)])
-    return (
-        doubles.unpivot(ids, columns, "metric", "value")
-        .filter(F.col("value").isNotNull())
-        .withColumns(
-            {
-                "label": F.coalesce(F.element_at(label, F.col("metric")), F.col("metric")),
-                "better": F.coalesce(F.element_at(better, F.col("metric")), F.lit("higher")),
-            }
-        )
+    return df.withColumns(
+        {
+            "label": F.coalesce(F.element_at(label, F.col("metric")), F.col("metric")),
+            "better": F.coalesce(F.element_at(better, F.col("metric")), F.lit("higher")),
+        }
     )
 
 
@@ -134,7 +136,7 @@ def select_group(
 
     ``groups`` is the small table (grp, dataset, model, category, ord). A cell
     (grp, dataset, metric) stays when it has enough models and its smallest
-    model has enough rows. Only counts are shuffled, not rows.
+    model has enough rows. Only counts are shuffled when the groups are few.
     """
     cell = ["grp", "dataset", "metric"]
     rows = long.join(groups, ["dataset", "model"])
@@ -145,7 +147,7 @@ def select_group(
         .filter((F.col("models") >= min_models) & (F.col("n") >= min_rows))
         .select(*cell)
     )
-    return rows.join(wanted, cell, "left_semi")
+    return rows.join(per_group(wanted, groups), cell, "left_semi")
 
 
 def missing_metrics(existing: DataFrame, results: DataFrame, required: list[str] | None = None) -> DataFrame:

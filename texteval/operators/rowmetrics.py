@@ -6,10 +6,11 @@ next to its data, so no token is ever shuffled.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,18 +49,61 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - rows.bit_count()
 
 
-def _stems(words) -> list:
-    return [stem(w) if len(w) > STEM_LONGER_THAN else w for w in words]
+# Tokens handled at a time inside a batch; a single longer row is handled alone.
+CHUNK_TOKENS = 1 << 20
 
 
-@F.pandas_udf(T.LongType())
-def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([common_subsequence(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+def _chunks(p: pa.Array, r: pa.Array) -> Iterator[tuple]:
+    """Slices of a batch: (words, ids, lengths of p, lengths of r) for about CHUNK_TOKENS tokens.
 
+    ``ids`` number the distinct words of the slice; they list all of p, then all of r.
+    """
+    size_p, size_r = (np.asarray(x.value_lengths().fill_null(0)) for x in (p, r))
+    ends = np.cumsum(size_p + size_r)
+    start = 0
+    while start < len(ends):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK_TOKENS, "right")))
+        flat = pa.concat_arrays([x.slice(start, stop - start).flatten() for x in (p, r)])
+        coded = flat.dictionary_encode()
+        ids = np.asarray(coded.indices).astype(np.int64)
+        yield coded.dictionary.to_pylist(), ids, size_p[start:stop], size_r[start:stop]
+        start = stop
+
+
+def _row_lists(ids: np.ndarray, size_p: np.ndarray, size_r: np.ndarray) -> Iterator[tuple[list, list]]:
+    """The two id lists of each row."""
+    ep, er = np.cumsum(size_p), size_p.sum() + np.cumsum(size_r)
+    for e, n, f, m in zip(ep, size_p, er, size_r):
+        yield ids[e - n : e].tolist(), ids[f - m : f].tolist()
+
+
+def _classes(words: list, form: Callable[[str], str]) -> np.ndarray:
+    """For each word the number of its form; words with the same form share it."""
+    return pd.factorize(np.array([form(w) for w in words], dtype=object))[0].astype(np.int64)
+
+
+def _stem_long(word: str) -> str:
+    return stem(word) if len(word) > STEM_LONGER_THAN else word
+
+
+def _lcs_lengths(p: pa.Array, r: pa.Array, form: Callable[[str], str] | None) -> pa.Array:
+    out = []
+    for words, ids, size_p, size_r in _chunks(p, r):
+        if form is not None and words:
+            ids = _classes(words, form)[ids]
+        out += [common_subsequence(a, b) for a, b in _row_lists(ids, size_p, size_r)]
+    return pa.array(out, pa.int64())
 
-@F.pandas_udf(T.LongType())
-def _lcs_stemmed(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([common_subsequence(_stems(x), _stems(y)) for x, y in zip(a, b)], dtype="int64")
+
+@F.arrow_udf(T.LongType())
+def _lcs(p: pa.Array, r: pa.Array) -> pa.Array:
+    return _lcs_lengths(p, r, None)
+
+
+@F.arrow_udf(T.LongType())
+def _lcs_stemmed(p: pa.Array, r: pa.Array) -> pa.Array:
+    return _lcs_lengths(p, r, _stem_long)
 
 
 def rouge_l(
@@ -77,37 +121,44 @@ def rouge_l(
     precision = F.col("__lcs") / F.size("__p")
     recall = F.col("__lcs") / F.size("__r")
     f = F.when(F.col("__lcs") > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
-    return out.withColumn(name, steady_round(f, 4)).drop("__p", "__r", "__lcs")
-
-
-GRAM_TYPE = T.StructType(
-    [T.StructField(c, T.ArrayType(T.LongType())) for c in ("match", "total")]
-)
+    return out.withColumn(name, F.round(f, 4)).drop("__p", "__r", "__lcs")
 
 
-@F.pandas_udf(GRAM_TYPE)
-def _gram_matches(p: pd.Series, r: pd.Series) -> pd.DataFrame:
-    """Clipped matches and candidate counts for 1- to 4-grams."""
-    match, total = [], []
-    for cand, ref in zip(p, r):
-        cand, ref = list(cand), list(ref)
-        m, t = [], []
-        for n in range(1, 5):
-            have = Counter(zip(*[cand[i:] for i in range(n)]))
-            want = Counter(zip(*[ref[i:] for i in range(n)]))
-            m.append(sum((have & want).values()))
-            t.append(max(len(cand) - n + 1, 0))
-        match.append(m)
-        total.append(t)
-    return pd.DataFrame({"match": match, "total": total})
+def _clipped(ids: np.ndarray, size_p: np.ndarray, size_r: np.ndarray) -> list[np.ndarray]:
+    """Clipped n-gram matches per row for n = 1 to 4."""
+    rows, n_p = len(size_p), int(size_p.sum())
+    row = np.repeat(np.r_[np.arange(rows), np.arange(rows)], np.r_[size_p, size_r])
+    side = np.repeat(np.arange(2), [n_p, len(ids) - n_p])
+    left = np.concatenate([np.arange(n, 0, -1) for n in np.r_[size_p, size_r]]) if len(ids) else ids
+    gram, out = ids, []
+    for n in range(1, 5):
+        if n > 1:
+            # a gram of n tokens is the one of n - 1 tokens and the token after it
+            following = np.r_[ids[n - 1 :], np.zeros(min(n - 1, len(ids)), np.int64)][: len(ids)]
+            gram = pd.factorize(gram * (ids.max(initial=0) + 1) + following)[0].astype(np.int64)
+        whole = left >= n
+        width = gram.max(initial=0) + 1
+        codes, kinds = pd.factorize(row[whole] * width + gram[whole])
+        in_p = side[whole] == 0
+        have = np.bincount(codes[in_p], minlength=len(kinds))
+        want = np.bincount(codes[~in_p], minlength=len(kinds))
+        out.append(np.bincount(kinds // width, np.minimum(have, want), rows).astype(np.int64))
+    return out
+
+
+@F.arrow_udf(T.StructType([T.StructField(f"m{n}", T.LongType()) for n in range(1, 5)]))
+def _gram_matches(p: pa.Array, r: pa.Array) -> pa.Array:
+    parts = [_clipped(ids, size_p, size_r) for _, ids, size_p, size_r in _chunks(p, r)]
+    columns = [np.concatenate([c[n] for c in parts]) if parts else np.empty(0, np.int64) for n in range(4)]
+    return pa.StructArray.from_arrays([pa.array(c) for c in columns], [f"m{n}" for n in range(1, 5)])
 
 
 def bleu_stats(df: DataFrame, pred: str = "generated", ref: str = "reference", scheme: str = "13a") -> DataFrame:
     """Sufficient statistics of BLEU per row: m1..m4, t1..t4, pred_len, ref_len."""
     out = df.withColumns({"__p": tokens(F.col(pred), scheme), "__r": tokens(F.col(ref), scheme)})
     out = out.withColumn("__g", _gram_matches("__p", "__r"))
-    cols = {f"m{n}": F.get("__g.match", n - 1) for n in range(1, 5)}
-    cols |= {f"t{n}": F.get("__g.total", n - 1) for n in range(1, 5)}
+    cols = {f"m{n}": F.col(f"__g.m{n}") for n in range(1, 5)}
+    cols |= {f"t{n}": F.greatest(F.size("__p") - (n - 1), F.lit(0)).cast("long") for n in range(1, 5)}
     cols |= {"pred_len": F.size("__p").cast("long"), "ref_len": F.size("__r").cast("long")}
     return out.withColumns(cols).drop("__p", "__r", "__g")
 
@@ -138,7 +189,7 @@ def bleu(
 ) -> DataFrame:
     """Sentence BLEU-4; without smoothing it is 0 when any n-gram order has no match."""
     scheme = scheme or ("whitespace" if smoothing else "13a")
-    scored = bleu_stats(df, pred, ref, scheme).withColumn(name, steady_round(bleu_score(smoothing), 4))
+    scored = bleu_stats(df, pred, ref, scheme).withColumn(name, F.round(bleu_score(smoothing), 4))
     return scored.select(*[c for c in df.columns if c != name], name)
 
 
@@ -149,31 +200,30 @@ def corpus_bleu(df: DataFrame, by: list[str], pred: str = "generated", ref: str
     return sums.select(*by, "pred_len", "ref_len", steady_round(bleu_score(), 4).alias("corpus_bleu"))
 
 
-def _align(hyp: list, ref: list, taken_h: dict, taken_r: set) -> None:
-    """Pair equal words, last with last, among the words not yet paired."""
-    free: dict = {}
-    for j, word in enumerate(ref):
-        if j not in taken_r:
-            free.setdefault(word, []).append(j)
-    for i in range(len(hyp) - 1, -1, -1):
-        spots = free.get(hyp[i])
-        if i not in taken_h and spots:
-            taken_h[i] = spots.pop()
-            taken_r.add(taken_h[i])
-
-
-def alignment_score(hyp: list, ref: list, stages: list) -> float:
-    """Harmonic mean of precision and recall, lowered by how scattered the matches are."""
-    taken_h: dict = {}
-    taken_r: set = set()
-    for form in stages:
-        _align([form(w) for w in hyp], [form(w) for w in ref], taken_h, taken_r)
-    matches = len(taken_h)
+def alignment_score(stages: list[tuple[list, list]]) -> float:
+    """Harmonic mean of precision and recall, lowered by how scattered the matches are.
+
+    Each stage gives the two texts in one form (word, stem, synonym class). Equal
+    forms not yet paired are paired, the last of one text with the last of the other.
+    """
+    pair: dict = {}
+    taken: set = set()
+    for hyp, ref in stages:
+        free: dict = {}
+        for j, word in enumerate(ref):
+            if j not in taken:
+                free.setdefault(word, []).append(j)
+        for i in range(len(hyp) - 1, -1, -1):
+            spots = free.get(hyp[i])
+            if spots and i not in pair:
+                pair[i] = spots.pop()
+                taken.add(pair[i])
+    matches = len(pair)
     if not matches:
         return 0.0
-    spots = sorted(taken_h.items())
+    spots = sorted(pair.items())
     chunks = 1 + sum(b != (a[0] + 1, a[1] + 1) for a, b in zip(spots, spots[1:]))
-    p, r = matches / len(hyp), matches / len(ref)
+    p, r = matches / len(stages[0][0]), matches / len(stages[0][1])
     mean = p * r / (METEOR_ALPHA * p + (1 - METEOR_ALPHA) * r)
     return (1 - METEOR_GAMMA * (chunks / matches) ** METEOR_BETA) * mean
 
@@ -192,18 +242,21 @@ def meteor(
     ``synonyms`` maps a word to the name of its synonym class.
     """
     table = dict(synonyms or {})
-
-    @F.pandas_udf("double")
-    def score(h: pd.Series, r: pd.Series) -> pd.Series:
-        stages = [lambda w: w]
-        if stem_words:
-            stages.append(stem)
-        if table:
-            stages.append(lambda w: table.get(w, w))
-        return pd.Series([alignment_score(list(a), list(b), stages) for a, b in zip(h, r)])
+    forms = [stem] if stem_words else []
+    if table:
+        forms.append(lambda w: table.get(w, w))
+
+    @F.arrow_udf(T.DoubleType())
+    def score(h: pa.Array, r: pa.Array) -> pa.Array:
+        out = []
+        for words, ids, size_h, size_r in _chunks(h, r):
+            coded = [ids, *[_classes(words, form)[ids] for form in forms if words]]
+            rows = zip(*[_row_lists(c, size_h, size_r) for c in coded])
+            out += [alignment_score(stages) for stages in rows]
+        return pa.array(out, pa.float64())
 
     value = score(tokens(F.lower(F.col(pred)), scheme), tokens(F.lower(F.col(ref)), scheme))
-    return df.withColumn(name, steady_round(F.coalesce(value, F.lit(0.0)), 4))
+    return df.withColumn(name, F.round(F.coalesce(value, F.lit(0.0)), 4))
 
 
 def greedy_cosine_f1(vectors: DataFrame, item: str = "item_id", block: int = 512) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from texteval.functions.numbers import steady_round
 from texteval.functions.labels import effect_class, p_stars
 from texteval.functions.special import chi2_sf, f_sf, normal_quantile, studentized_range_sf
+from texteval.operators.bounds import per_group
 from texteval.operators.distribution import quantile_aggs, ranked_values, value_counts
 from texteval.operators.joins import model_pairs
 from texteval.operators.order import random_order
@@ -213,6 +214,7 @@ def bootstrap_ci(
     replicates: int = BOOTSTRAP_REPLICATES,
     alpha: float = ALPHA,
     seed: int = SEED,
+    registry: DataFrame | None = None,
 ) -> DataFrame:
     """Percentile interval of the mean per group; groups below ten rows are skipped.
 
@@ -226,7 +228,7 @@ def bootstrap_ci(
         F.sum("cnt").alias("n"), (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean")
     ).filter(F.col("n") >= MIN_ROWS)
     few = F.col("cnt") <= POISSON_LADDER
-    drawn = counts.join(size.select(*keys), keys, "left_semi").withColumn(
+    drawn = counts.join(per_group(size.select(*keys), registry), keys, "left_semi").withColumn(
         "steps", F.when(few, _poisson_steps(F.col("cnt")))
     ).select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     digest = random_order(seed, *keys, F.format_string("%.8f", F.col("value")), F.col("replicate"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from texteval.functions.numbers import steady_round
 from texteval.functions.special import normal_quantile
+from texteval.operators.bounds import per_group
 from texteval.operators.distribution import quantile_aggs, ranked_values, value_counts
 from texteval.operators.order import digest_bucket, integer_bucket, prefix_sum, random_order, with_position
 
@@ -25,7 +26,8 @@ MIN_QQ_ROWS = 10
 
 
 def pair_models(
-    long: DataFrame, cell: list[str], mode: str = "by_item", item: str = "item_id"
+    long: DataFrame, cell: list[str], mode: str = "by_item", item: str = "item_id",
+    registry: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of the items every model of the cell has.
 
@@ -40,7 +42,7 @@ def pair_models(
     if mode == "by_item":
         complete = (
             rows.groupBy(*cell, item).agg(F.count(F.lit(1)).alias("__have"))
-            .join(size, cell)
+            .join(per_group(size, registry), cell)
             .filter(F.col("__have") == F.col("__models"))
             .select(*cell, item)
         )
@@ -49,7 +51,7 @@ def pair_models(
         raise ValueError(f"unknown pairing {mode!r}")
     placed = with_position(rows, [*cell, "model"], [item], integer_bucket(F.col(item)), "__position")
     return (
-        placed.join(size.drop("__models"), cell)
+        placed.join(per_group(size.drop("__models"), registry), cell)
         .filter(F.col("__position") <= F.col("__shortest"))
         .withColumn(item, F.col("__position"))
         .drop("__position", "__shortest")
@@ -111,12 +113,12 @@ def _quartiles(ranked: DataFrame, keys: list[str], **more: float) -> DataFrame:
     )
 
 
-def box_stats(long: DataFrame, keys: list[str]) -> DataFrame:
+def box_stats(long: DataFrame, keys: list[str], registry: DataFrame | None = None) -> DataFrame:
     """Quartiles, whiskers at the last data inside 1.5 iqr, and outlier counts."""
     ranked = ranked_values(long, keys)
     q = _quartiles(ranked, keys)
     low, high = _fences(WHISKER)
-    counts = ranked.select(*keys, "value", "cnt").join(q, keys)
+    counts = ranked.select(*keys, "value", "cnt").join(per_group(q, registry), keys)
     whiskers = counts.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in ("n", "q1", "median", "q3", "iqr")],
         F.min(F.when(F.col("value") >= low, F.col("value"))).alias("whisker_low"),
@@ -133,7 +135,8 @@ def box_stats(long: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def outlier_sample(
-    long: DataFrame, keys: list[str], item: str = "item_id", k: int = OUTLIERS_SHOWN, seed: int = 42
+    long: DataFrame, keys: list[str], item: str = "item_id", k: int = OUTLIERS_SHOWN, seed: int = 42,
+    registry: DataFrame | None = None,
 ) -> DataFrame:
     """Up to ``k`` outliers per group for display.
 
@@ -143,7 +146,7 @@ def outlier_sample(
     q = _quartiles(ranked_values(long, keys), keys).drop("median", "n")
     low, high = _fences(WHISKER)
     past = F.greatest(low - F.col("value"), F.col("value") - high)
-    out = long.filter(F.col("value").isNotNull()).join(q, keys).withColumn("__past", past).filter(past > 0)
+    out = long.filter(F.col("value").isNotNull()).join(per_group(q, registry), keys).withColumn("__past", past).filter(past > 0)
     iqr = F.col("iqr")
 
     def within(zone: tuple[float, float]) -> Column:
@@ -159,7 +162,7 @@ def outlier_sample(
         .when(F.col("__wides") > 0, F.col("__wide"))
         .otherwise(F.lit(True))
     )
-    shown = out.join(sizes, keys).filter(use)
+    shown = out.join(per_group(sizes, registry), keys).filter(use)
     first = Window.partitionBy(*keys).orderBy(random_order(seed, item), item)
     return (
         shown.withColumn("__at", F.row_number().over(first))
@@ -169,7 +172,8 @@ def outlier_sample(
 
 
 def iqr_filter(
-    long: DataFrame, keys: list[str], factor: float = EXTREME_FACTOR, variant: str = "density"
+    long: DataFrame, keys: list[str], factor: float = EXTREME_FACTOR, variant: str = "density",
+    registry: DataFrame | None = None,
 ) -> DataFrame:
     """Drop values far outside the quartiles unless too few would be left.
 
@@ -193,7 +197,7 @@ def iqr_filter(
     bounds = q.select(*keys, low.alias("__low"), high.alias("__high"))
     inside = (F.col("value") >= F.col("__low")) & (F.col("value") <= F.col("__high"))
     left = (
-        ranked.select(*keys, "value", "cnt").join(bounds, keys).groupBy(*keys)
+        ranked.select(*keys, "value", "cnt").join(per_group(bounds, registry), keys).groupBy(*keys)
         .agg(
             F.first("__low").alias("__low"),
             F.first("__high").alias("__high"),
@@ -201,10 +205,13 @@ def iqr_filter(
         )
     )
     keep = F.col("__low").isNull() | (F.col("__left") < least) | inside
-    return long.filter(F.col("value").isNotNull()).join(left, keys).filter(keep).select(*long.columns)
+    return long.filter(F.col("value").isNotNull()).join(per_group(left, registry), keys).filter(keep).select(*long.columns)
 
 
-def kde(long: DataFrame, keys: list[str], points: int = KDE_POINTS, margin: float = KDE_MARGIN) -> DataFrame:
+def kde(
+    long: DataFrame, keys: list[str], points: int = KDE_POINTS, margin: float = KDE_MARGIN,
+    registry: DataFrame | None = None,
+) -> DataFrame:
     """Gaussian density curve per group with Scott's bandwidth.
 
     The sum runs over the value table: each distinct value meets the grid once
@@ -224,7 +231,7 @@ def kde(long: DataFrame, keys: list[str], points: int = KDE_POINTS, margin: floa
             "step": (F.col("hi") - F.col("lo")) * (1 + 2 * margin) / (points - 1),
         }
     )
-    rows = value_counts(long, keys).join(shape, keys).select(
+    rows = value_counts(long, keys).join(per_group(shape, registry), keys).select(
         *keys, "value", "cnt", "n", "bandwidth", "start", "step",
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
     )

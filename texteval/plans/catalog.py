@@ -14,6 +14,7 @@ from texteval.operators import (
 )
 from texteval.plans import inputs
 from texteval.sources import nested, qa, results, runs, sinks
+from texteval.sources.tables import small_table
 from texteval.streaming import tokens as tk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +87,7 @@ def _text_metrics(spark, d):
 
 def _registry(spark):
     rows = [(f"{m}_{x}", m, x) for m in inputs.MODELS[:4] for x in inputs.DATASETS]
-    return spark.createDataFrame(rows, "pattern string, model string, dataset string")
+    return small_table(spark, rows, "pattern string, model string, dataset string")
 
 
 @query
@@ -183,7 +184,8 @@ def flt5_select_group(spark, d):
 
 @query
 def flt6_melt_metrics(spark, d):
-    return inputs.melted(spark, d).select("dataset", "model", "item_id", "metric", "value", "label", "better")
+    rows = filters.describe_metrics(inputs.melted(spark, d))
+    return rows.select("dataset", "model", "item_id", "metric", "value", "label", "better")
 
 
 @query
@@ -242,7 +244,7 @@ def jn4_apply_repairs(spark, d):
 
 
 def _rates(spark):
-    return spark.createDataFrame(inputs.RATES, "model string, price_in double, price_out double, kwh_per_token double")
+    return small_table(spark, inputs.RATES, "model string, price_in double, price_out double, kwh_per_token double")
 
 
 @query
@@ -592,7 +594,8 @@ def met9_parse_time(spark, d):
 
 
 def _summary(spark, d):
-    return summary.summary(inputs.long_metrics(spark, d), [*GROUP, "better", "model", "ord"])
+    stats_rows = summary.summary(inputs.long_metrics(spark, d), [*GROUP, "model", "ord"])
+    return filters.describe_metrics(stats_rows)
 
 
 @query
@@ -626,7 +629,7 @@ def agg5_best_model(spark, d):
 
 
 def _paired_long(spark, d):
-    return windows.pair_models(inputs.paired_items(spark, d), CELL)
+    return windows.pair_models(inputs.paired_items(spark, d), CELL, registry=inputs.experiment_groups(spark))
 
 
 @query
@@ -669,7 +672,7 @@ RUN = ["grp", "dataset", "metric", "model"]
 
 @query
 def win1_pair_positional(spark, d):
-    return windows.pair_models(inputs.long_metrics(spark, d), GROUP, "positional").select(*RUN, "item_id", "value")
+    return windows.pair_models(inputs.long_metrics(spark, d), GROUP, "positional", registry=inputs.experiment_groups(spark)).select(*RUN, "item_id", "value")
 
 
 @query
@@ -701,28 +704,29 @@ def win4_log_checkpoints(spark, d):
 
 @query
 def win5_box_stats(spark, d):
-    return windows.box_stats(inputs.long_metrics(spark, d), RUN)
+    return windows.box_stats(inputs.long_metrics(spark, d), RUN, registry=inputs.experiment_groups(spark))
 
 
 @query
 def win6_outlier_sample(spark, d):
-    return windows.outlier_sample(inputs.long_metrics(spark, d), RUN).select(*RUN, "item_id", "value")
+    return windows.outlier_sample(inputs.long_metrics(spark, d), RUN, registry=inputs.experiment_groups(spark)).select(*RUN, "item_id", "value")
 
 
 @query
 def win7_iqr_filter_density(spark, d):
-    return windows.iqr_filter(inputs.long_metrics(spark, d), RUN).select(*RUN, "item_id", "value")
+    return windows.iqr_filter(inputs.long_metrics(spark, d), RUN, registry=inputs.experiment_groups(spark)).select(*RUN, "item_id", "value")
 
 
 @query
 def win7_iqr_filter_violin(spark, d):
-    return windows.iqr_filter(inputs.long_metrics(spark, d), RUN, 1.5, "violin").select(*RUN, "item_id", "value")
+    return windows.iqr_filter(inputs.long_metrics(spark, d), RUN, 1.5, "violin", registry=inputs.experiment_groups(spark)).select(*RUN, "item_id", "value")
 
 
 @query
 def win8_kde(spark, d):
     long = inputs.long_metrics(spark, d).filter(F.col("metric") == "ROUGE_L")
-    return windows.kde(windows.iqr_filter(long, RUN), RUN)
+    few = inputs.experiment_groups(spark)
+    return windows.kde(windows.iqr_filter(long, RUN, registry=few), RUN, registry=few)
 
 
 @query
@@ -791,7 +795,8 @@ def sta6_cd_groups(spark, d):
 
 @query
 def sta7_bootstrap_ci(spark, d):
-    return stats.bootstrap_ci(inputs.paired_items(spark, d), [*CELL, "model"], replicates=200)
+    return stats.bootstrap_ci(inputs.paired_items(spark, d), [*CELL, "model"], replicates=200,
+                              registry=inputs.experiment_groups(spark))
 
 
 # --- vocabulary --------------------------------------------------------------

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texteval.operators.filters import melt_metrics, range_policy, select_group
+from texteval.sources.tables import read_table, small_table
 
 # The registry of the stand-in runs: event types play the models.
 MODELS = ["click", "error", "purchase", "signup", "view"]
 CATEGORIES = {"click": "browse", "view": "browse", "purchase": "buy", "signup": "buy", "error": "fail"}
 DATASETS = ["d0", "d1", "d2"]
 RATES = [("m0", 8e-7, 2e-6, 5e-7), ("m1", 2e-7, 2e-7, 2e-7)]
+# Tables whose texts are scored row by row, with the column to spread them by.
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
 EPOCH_START = 1704067200
 SYSTEM_PROMPT = (
     "You are a text generation service. "
@@ -23,7 +26,8 @@ SYSTEM_PROMPT = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = TEXT_KEYS.get(name)
+    return read_table(spark, f"{sf_dir}/{name}.parquet", key)
 
 
 def wide_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def wide_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def experiment_groups(spark: SparkSession) -> DataFrame:
     rows = [("G1", d, m, CATEGORIES[m], i) for d in DATASETS for i, m in enumerate(MODELS, 1)]
     rows += [("G2", "d0", m, CATEGORIES[m], i) for i, m in enumerate(["view", "click"], 1)]
-    return spark.createDataFrame(rows, "grp string, dataset string, model string, category string, ord long")
+    return small_table(spark, rows, "grp string, dataset string, model string, category string, ord long")
 
 
 def melted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,11 @@ def cut(x: str, n: int) -> str:
     return f"CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END"
 
 
+def half_up(x: str, digits: int) -> str:
+    """Round half up without being led by the last bits of a product or a mean."""
+    return f"(sign({x}) * floor(round(abs({x}) * 1e{digits}, 4) + 0.5) / 1e{digits})::DOUBLE"
+
+
 def think(x: str) -> str:
     closed = strip(f"regexp_replace({x}, '(?s)<think>.*?</think>', '', 'g')")
     return strip(f"regexp_replace({closed}, '(?s)<think>.*', '', 'g')")
@@ -113,10 +118,10 @@ cells AS (SELECT grp, dataset, metric FROM (
   SELECT grp, dataset, metric, model, count(*) AS n FROM gm GROUP BY ALL)
   GROUP BY ALL HAVING count(*) >= 2 AND min(n) >= 10),
 long AS (SELECT gm.* FROM gm JOIN cells USING (grp, dataset, metric))"""
-SUMMARY = LONG + """, sumry AS (
-SELECT grp, dataset, metric, better, model, ord, round(round(avg(value), 12), 6) AS mean,
-  round(round(quantile_cont(value, 0.5), 12), 6) AS median, round(round(stddev_samp(value), 12), 6) AS std,
-  round(min(value), 6) AS min, round(max(value), 6) AS max, count(*) AS n
+SUMMARY = LONG + f""", sumry AS (
+SELECT grp, dataset, metric, better, model, ord, {half_up('avg(value)', 6)} AS mean,
+  {half_up('quantile_cont(value, 0.5)', 6)} AS median, {half_up('stddev_samp(value)', 6)} AS std,
+  {half_up('min(value)', 6)} AS min, {half_up('max(value)', 6)} AS max, count(*) AS n
 FROM long GROUP BY ALL)"""
 PAIRED = EV + f""", pu AS (
 SELECT user_id AS item_id, event_type AS model, sum(c)::DOUBLE AS s, count(*) AS n FROM ev GROUP BY ALL),
@@ -422,13 +427,15 @@ def gram_stats(source: str, key: str, pred: str, ref: str, scheme: str) -> str:
     """bl(key, m1..m4, t1..t4, pl, rl): clipped n-gram matches per row."""
     per_n = ", ".join(f"coalesce(sum(m) FILTER (n = {n}), 0)::DOUBLE AS m{n}" for n in range(1, 5))
     totals = ", ".join(f"greatest(len(p) - {n - 1}, 0) AS t{n}" for n in range(1, 5))
+    lead = ", ".join(f"lead(w, {j}) OVER s AS w{j}" for j in range(1, 4))
+    gram = {1: "w", 2: "w || chr(1) || w1", 3: "w || chr(1) || w1 || chr(1) || w2",
+            4: "w || chr(1) || w1 || chr(1) || w2 || chr(1) || w3"}
+    grams = " UNION ALL ".join(f"SELECT {key}, side, {n} AS n, {g} AS g FROM ld WHERE {g} IS NOT NULL" for n, g in gram.items())
     return f"""tk AS (SELECT {key}, {words(pred, scheme)} AS p, {words(ref, scheme)} AS r FROM {source}),
-gr AS (SELECT {key}, n, side, g, count(*) AS c FROM (
-  SELECT {key}, n, 'p' AS side, unnest(list_transform(range(1, greatest(len(p) - n + 2, 1)), lambda i: array_to_string(p[i:i + n - 1], chr(1)))) AS g
-  FROM tk, range(1, 5) q(n)
-  UNION ALL
-  SELECT {key}, n, 'r', unnest(list_transform(range(1, greatest(len(r) - n + 2, 1)), lambda i: array_to_string(r[i:i + n - 1], chr(1))))
-  FROM tk, range(1, 5) q(n)) GROUP BY ALL),
+un AS (SELECT {key}, 'p' AS side, unnest(p) AS w, unnest(range(len(p))) AS i FROM tk
+  UNION ALL SELECT {key}, 'r', unnest(r), unnest(range(len(r))) FROM tk),
+ld AS (SELECT *, {lead} FROM un WINDOW s AS (PARTITION BY {key}, side ORDER BY i)),
+gr AS (SELECT {key}, n, side, g, count(*) AS c FROM ({grams}) GROUP BY ALL),
 mt AS (SELECT a.{key}, a.n, sum(least(a.c, b.c)) AS m FROM gr a JOIN gr b ON a.{key} = b.{key} AND a.n = b.n AND a.g = b.g
   WHERE a.side = 'p' AND b.side = 'r' GROUP BY ALL),
 ms AS (SELECT {key}, {per_n} FROM mt GROUP BY ALL),
@@ -447,9 +454,9 @@ def _smooth(n: int) -> str:
 SMOOTH = f"""CASE WHEN pl > 0 AND m1 > 0 THEN round(CASE WHEN pl < rl THEN exp(1 - rl::DOUBLE / pl) ELSE 1.0::DOUBLE END
   * exp(({_smooth(1)} + {_smooth(2)} + {_smooth(3)} + {_smooth(4)}) / 4), 4) ELSE 0.0::DOUBLE END"""
 PARSED = f"coalesce(TRY_CAST({strip(chr(34).join(['regexp_replace(seconds, ' + chr(39) + '[', ';]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')']))} AS DOUBLE), 1.5::DOUBLE)"
-ACCOUNTS = RATED + """, accounts AS (
+ACCOUNTS = RATED + f""", accounts AS (
 SELECT *, length(input) // 4 + 45 AS ti, length(generated) // 4 AS tu FROM rated),
-costed AS (SELECT *, round(ti * price_in + tu * price_out, 8) AS cost, round((ti + tu) * kwh_per_token * 475.0::DOUBLE, 6) AS co2 FROM accounts)"""
+costed AS (SELECT *, {half_up('(ti * price_in + tu * price_out)', 8)} AS cost, {half_up('((ti + tu) * kwh_per_token * 475.0::DOUBLE)', 6)} AS co2 FROM accounts)"""
 add("inf3_run_summary", ACCOUNTS + ", " + gram_stats("results", "seq", "generated", "reference", "13a") + f""", full_rows AS (
 SELECT c.*, {BLEU} AS bleu, {PARSED} AS secs, NOT starts_with(generated, 'Error:') AS ok FROM costed c JOIN bl USING (seq))""", """
 SELECT model, dataset, round(sum(secs), 4) AS total_seconds, round(avg(secs), 4) AS mean_seconds,
@@ -574,8 +581,8 @@ p AS (SELECT coalesce(metric, '(total)') AS metric, count(*) AS pairs, count(*)
   count(*) FILTER (1 - r < 0.9 AND effect = 'pequeño') AS significant_small,
   count(*) FILTER (1 - r < 0.9 AND effect = 'nulo') AS significant_none FROM we GROUP BY ROLLUP (metric))""",
     "SELECT * FROM t JOIN p USING (metric)")
-add("agg7_by_category", LONG, """
-SELECT grp, dataset, metric, category, count(DISTINCT model) AS models, count(*) AS n, round(round(avg(value), 12), 6) AS mean
+add("agg7_by_category", LONG, f"""
+SELECT grp, dataset, metric, category, count(DISTINCT model) AS models, count(*) AS n, {half_up('avg(value)', 6)} AS mean
 FROM long GROUP BY ALL""")
 add("agg8_inventory", WIDE, "SELECT count(*) AS rows, count(DISTINCT model) AS models, count(DISTINCT dataset) AS datasets FROM wide")
 add("agg9_length_stats", LINES, """
@@ -621,9 +628,9 @@ SELECT grp, dataset, metric, model, count(*) AS n, quantile_cont(value, 0.25) AS
   quantile_cont(value, 0.75) AS q3, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr,
   quantile_cont(value, 0.01) AS p01, quantile_cont(value, 0.99) AS p99 FROM long GROUP BY ALL),
 lq AS (SELECT * FROM long JOIN qs USING (grp, dataset, metric, model))"""
-add("win5_box_stats", QUART, """
-SELECT grp, dataset, metric, model, any_value(n) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median,
-  round(any_value(q3), 6) AS q3, round(any_value(iqr), 6) AS iqr,
+add("win5_box_stats", QUART, f"""
+SELECT grp, dataset, metric, model, any_value(n) AS n, {half_up('any_value(q1)', 6)} AS q1, {half_up('any_value(median)', 6)} AS median,
+  {half_up('any_value(q3)', 6)} AS q3, {half_up('any_value(iqr)', 6)} AS iqr,
   coalesce(min(value) FILTER (value >= q1 - 1.5 * iqr), any_value(q1)) AS whisker_low,
   coalesce(max(value) FILTER (value <= q3 + 1.5 * iqr), any_value(q3)) AS whisker_high,
   count(*) FILTER (value < q1 - 1.5 * iqr OR value > q3 + 1.5 * iqr) AS outliers FROM lq GROUP BY grp, dataset, metric, model""")
