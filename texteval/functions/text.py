@@ -23,13 +23,19 @@ ONLY_REASONING = "Error: modelo solo genero thinking sin respuesta"
 EMPTY_ANSWER = "Error: modelo devolvio respuesta vacia"
 EMPTY_GENERATION = "<vacio>"
 
-# The punctuation rules of the 13a tokeniser, in order.
-TOKENISER_13A = [
+# Literal replacements and punctuation rules of the 13a tokeniser, in order.
+LITERALS_13A = [
+    ("<skipped>", ""), ("-\n", ""), ("\n", " "),
+    ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"),
+]
+RULES_13A = [
     (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" $1 "),
     (r"([^0-9])([\.,])", r"$1 $2 "),
     (r"([\.,])([^0-9])", r" $1 $2"),
     (r"([0-9])(-)", r"$1 $2 "),
 ]
+NOT_ASCII_WORD = "[^a-z0-9]+"
+NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def strip(col: Column) -> Column:
@@ -99,19 +105,16 @@ def tokens(col: Column, scheme: str = "rouge") -> Column:
     """Token array: ``rouge`` (ASCII), ``unicode``, ``whitespace`` or ``13a``."""
     text = F.coalesce(col, F.lit(""))
     if scheme == "rouge":
-        parts = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " ")
+        parts = F.split(F.regexp_replace(F.lower(text), NOT_ASCII_WORD, " "), " ")
     elif scheme == "unicode":
-        parts = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " ")
+        parts = F.split(F.regexp_replace(F.lower(text), NOT_WORD, " "), " ")
     elif scheme == "whitespace":
         parts = F.split(text, f"{WHITESPACE}+")
     elif scheme == "13a":
-        text = F.replace(text, F.lit("<skipped>"), F.lit(""))
-        text = F.replace(text, F.lit("-\n"), F.lit(""))
-        text = F.replace(text, F.lit("\n"), F.lit(" "))
-        for entity, char in [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]:
-            text = F.replace(text, F.lit(entity), F.lit(char))
+        for old, new in LITERALS_13A:
+            text = F.replace(text, F.lit(old), F.lit(new))
         text = F.concat(F.lit(" "), text, F.lit(" "))
-        for pattern, spaced in TOKENISER_13A:
+        for pattern, spaced in RULES_13A:
             text = F.regexp_replace(text, pattern, spaced)
         parts = F.split(text, f"{WHITESPACE}+")
     else:

@@ -1,7 +1,7 @@
 """Scores of a generated text against its reference, per row and per corpus.
 
-Texts are tokenised by Catalyst; a row's own score is made in an Arrow batch
-next to its data, so no token is ever shuffled.
+A row's score needs only the row, so texts are tokenised and compared in Arrow
+batches where they are, whole, and no token is ever shuffled.
 """
 
 from __future__ import annotations
@@ -11,13 +11,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from texteval.functions.numbers import steady_round
 from texteval.functions.porter import stem
-from texteval.functions.text import approx_tokens, parse_time, tokens
+from texteval.functions.text import (
+    LITERALS_13A, NOT_ASCII_WORD, NOT_WORD, RULES_13A, approx_tokens, parse_time,
+)
 from texteval.operators.joins import with_rates
 
 # Weights of the alignment score and constants of the accounts.
@@ -49,28 +52,57 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - rows.bit_count()
 
 
-# Tokens handled at a time inside a batch; a single longer row is handled alone.
-CHUNK_TOKENS = 1 << 20
+# Bytes of text handled at a time inside a batch; a single longer row is handled alone.
+CHUNK_BYTES = 8 << 20
 
 
-def _chunks(p: pa.Array, r: pa.Array) -> Iterator[tuple]:
-    """Slices of a batch: (words, ids, lengths of p, lengths of r) for about CHUNK_TOKENS tokens.
+def arrow_tokens(texts: pa.Array, scheme: str) -> pa.Array:
+    """The token schemes of ``functions.text.tokens`` for a batch; no tokens become null."""
+    texts = pc.fill_null(texts, "")
+    if scheme == "rouge":
+        texts = pc.replace_substring_regex(pc.utf8_lower(texts), NOT_ASCII_WORD, " ")
+    elif scheme == "unicode":
+        texts = pc.replace_substring_regex(pc.utf8_lower(texts), NOT_WORD, " ")
+    elif scheme == "13a":
+        for old, new in LITERALS_13A:
+            texts = pc.replace_substring(texts, old, new)
+        texts = pc.binary_join_element_wise(" ", texts, " ", "")
+        for pattern, spaced in RULES_13A:
+            texts = pc.replace_substring_regex(texts, pattern, spaced.replace("$", "\\"))
+    elif scheme != "whitespace":
+        raise ValueError(f"unknown token scheme {scheme!r}")
+    texts = pc.utf8_trim_whitespace(texts)
+    return pc.utf8_split_whitespace(pc.if_else(pc.equal(texts, ""), None, texts))
+
+
+def _chunks(p: pa.Array, r: pa.Array, scheme: str) -> Iterator[tuple]:
+    """Slices of a batch: (words, ids, lengths of p, lengths of r) for about CHUNK_BYTES of text.
 
     ``ids`` number the distinct words of the slice; they list all of p, then all of r.
     """
-    size_p, size_r = (np.asarray(x.value_lengths().fill_null(0)) for x in (p, r))
-    ends = np.cumsum(size_p + size_r)
+    size = sum(np.asarray(pc.fill_null(pc.binary_length(x), 0)).astype(np.int64) for x in (p, r))
+    ends = np.cumsum(size)
     start = 0
     while start < len(ends):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK_TOKENS, "right")))
-        flat = pa.concat_arrays([x.slice(start, stop - start).flatten() for x in (p, r)])
-        coded = flat.dictionary_encode()
+        stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
+        lists = [arrow_tokens(x.slice(start, stop - start), scheme) for x in (p, r)]
+        coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
         ids = np.asarray(coded.indices).astype(np.int64)
-        yield coded.dictionary.to_pylist(), ids, size_p[start:stop], size_r[start:stop]
+        size_p, size_r = (np.asarray(pc.fill_null(pc.list_value_length(x), 0)).astype(np.int64) for x in lists)
+        yield coded.dictionary.to_pylist(), ids, size_p, size_r
         start = stop
 
 
+def _struct(**columns: list) -> pa.Array:
+    arrays = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in columns.values()]
+    return pa.StructArray.from_arrays(arrays, list(columns))
+
+
+def _longs(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.LongType()) for n in names])
+
+
 def _row_lists(ids: np.ndarray, size_p: np.ndarray, size_r: np.ndarray) -> Iterator[tuple[list, list]]:
     """The two id lists of each row."""
     ep, er = np.cumsum(size_p), size_p.sum() + np.cumsum(size_r)
@@ -87,23 +119,21 @@ def _stem_long(word: str) -> str:
     return stem(word) if len(word) > STEM_LONGER_THAN else word
 
 
-def _lcs_lengths(p: pa.Array, r: pa.Array, form: Callable[[str], str] | None) -> pa.Array:
-    out = []
-    for words, ids, size_p, size_r in _chunks(p, r):
-        if form is not None and words:
-            ids = _classes(words, form)[ids]
-        out += [common_subsequence(a, b) for a, b in _row_lists(ids, size_p, size_r)]
-    return pa.array(out, pa.int64())
+def _lcs(scheme: str, form: Callable[[str], str] | None):
+    """UDF: common subsequence and lengths of both token lists."""
 
+    @F.arrow_udf(_longs("lcs", "pred_len", "ref_len"))
+    def lengths(p: pa.Array, r: pa.Array) -> pa.Array:
+        lcs, in_p, in_r = [], [], []
+        for words, ids, size_p, size_r in _chunks(p, r, scheme):
+            if form is not None and words:
+                ids = _classes(words, form)[ids]
+            lcs.append(np.array([common_subsequence(a, b) for a, b in _row_lists(ids, size_p, size_r)], np.int64))
+            in_p.append(size_p)
+            in_r.append(size_r)
+        return _struct(lcs=lcs, pred_len=in_p, ref_len=in_r)
 
-@F.arrow_udf(T.LongType())
-def _lcs(p: pa.Array, r: pa.Array) -> pa.Array:
-    return _lcs_lengths(p, r, None)
-
-
-@F.arrow_udf(T.LongType())
-def _lcs_stemmed(p: pa.Array, r: pa.Array) -> pa.Array:
-    return _lcs_lengths(p, r, _stem_long)
+    return lengths
 
 
 def rouge_l(
@@ -115,13 +145,11 @@ def rouge_l(
     scheme: str = "rouge",
 ) -> DataFrame:
     """F-measure of the longest common token subsequence, over whole texts."""
-    out = df.withColumns({"__p": tokens(F.col(pred), scheme), "__r": tokens(F.col(ref), scheme)})
-    lcs = (_lcs_stemmed if stem_words else _lcs)("__p", "__r")
-    out = out.withColumn("__lcs", lcs.cast("double"))
-    precision = F.col("__lcs") / F.size("__p")
-    recall = F.col("__lcs") / F.size("__r")
-    f = F.when(F.col("__lcs") > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
-    return out.withColumn(name, F.round(f, 4)).drop("__p", "__r", "__lcs")
+    out = df.withColumn("__s", _lcs(scheme, _stem_long if stem_words else None)(pred, ref))
+    lcs = F.col("__s.lcs").cast("double")
+    precision, recall = lcs / F.col("__s.pred_len"), lcs / F.col("__s.ref_len")
+    f = F.when(lcs > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
+    return out.withColumn(name, F.round(f, 4)).drop("__s")
 
 
 def _clipped(ids: np.ndarray, size_p: np.ndarray, size_r: np.ndarray) -> list[np.ndarray]:
@@ -146,21 +174,30 @@ def _clipped(ids: np.ndarray, size_p: np.ndarray, size_r: np.ndarray) -> list[np
     return out
 
 
-@F.arrow_udf(T.StructType([T.StructField(f"m{n}", T.LongType()) for n in range(1, 5)]))
-def _gram_matches(p: pa.Array, r: pa.Array) -> pa.Array:
-    parts = [_clipped(ids, size_p, size_r) for _, ids, size_p, size_r in _chunks(p, r)]
-    columns = [np.concatenate([c[n] for c in parts]) if parts else np.empty(0, np.int64) for n in range(4)]
-    return pa.StructArray.from_arrays([pa.array(c) for c in columns], [f"m{n}" for n in range(1, 5)])
+BLEU_COUNTS = ["m1", "m2", "m3", "m4", "pred_len", "ref_len"]
+
+
+def _gram_matches(scheme: str):
+    """UDF: clipped matches and lengths of both token lists."""
+
+    @F.arrow_udf(_longs(*BLEU_COUNTS))
+    def matches(p: pa.Array, r: pa.Array) -> pa.Array:
+        columns: dict = {name: [] for name in BLEU_COUNTS}
+        for _, ids, size_p, size_r in _chunks(p, r, scheme):
+            for name, values in zip(BLEU_COUNTS, [*_clipped(ids, size_p, size_r), size_p, size_r]):
+                columns[name].append(values)
+        return _struct(**columns)
+
+    return matches
 
 
 def bleu_stats(df: DataFrame, pred: str = "generated", ref: str = "reference", scheme: str = "13a") -> DataFrame:
     """Sufficient statistics of BLEU per row: m1..m4, t1..t4, pred_len, ref_len."""
-    out = df.withColumns({"__p": tokens(F.col(pred), scheme), "__r": tokens(F.col(ref), scheme)})
-    out = out.withColumn("__g", _gram_matches("__p", "__r"))
-    cols = {f"m{n}": F.col(f"__g.m{n}") for n in range(1, 5)}
-    cols |= {f"t{n}": F.greatest(F.size("__p") - (n - 1), F.lit(0)).cast("long") for n in range(1, 5)}
-    cols |= {"pred_len": F.size("__p").cast("long"), "ref_len": F.size("__r").cast("long")}
-    return out.withColumns(cols).drop("__p", "__r", "__g")
+    out = df.withColumn("__g", _gram_matches(scheme)(pred, ref))
+    size = F.col("__g.pred_len")
+    cols = {name: F.col(f"__g.{name}") for name in BLEU_COUNTS}
+    cols |= {f"t{n}": F.greatest(size - (n - 1), F.lit(0)) for n in range(1, 5)}
+    return out.withColumns(cols).drop("__g")
 
 
 def bleu_score(smoothing: str | None = None) -> Column:
@@ -249,13 +286,13 @@ def meteor(
     @F.arrow_udf(T.DoubleType())
     def score(h: pa.Array, r: pa.Array) -> pa.Array:
         out = []
-        for words, ids, size_h, size_r in _chunks(h, r):
+        for words, ids, size_h, size_r in _chunks(h, r, scheme):
             coded = [ids, *[_classes(words, form)[ids] for form in forms if words]]
             rows = zip(*[_row_lists(c, size_h, size_r) for c in coded])
             out += [alignment_score(stages) for stages in rows]
         return pa.array(out, pa.float64())
 
-    value = score(tokens(F.lower(F.col(pred)), scheme), tokens(F.lower(F.col(ref)), scheme))
+    value = score(F.lower(pred), F.lower(ref))
     return df.withColumn(name, F.round(F.coalesce(value, F.lit(0.0)), 4))
 
 
