@@ -1,11 +1,19 @@
 import random
+import sys
 from collections import Counter
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from texteval.operators import inference, joins, prompts
 
+def by_value(fn):
+    """Executors cannot import a test module, so its code travels with the task."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return fn
+
+
 SYSTEM = "Be brief. Output ONLY the final English sentence."
 
 
@@ -49,33 +57,34 @@ def test_repairs_replace_only_errors(spark):
     assert got == {1: ("new", "9", True), 2: ("fine", "1", False), 3: ("Error: 2", "1", False)}
 
 
-class Flaky:
+def flaky():
     """Fails a fixed number of times per prompt, within one task."""
+    calls = Counter()
 
-    def __init__(self):
-        self.calls = Counter()
-
-    def __call__(self, messages, temperature):
+    def client(messages, temperature):
         text = messages[-1][1]
-        self.calls[text] += 1
+        calls[text] += 1
         if "dead" in text:
             raise ValueError("boom " + "x" * 300)
-        if "twice" in text and self.calls[text] < 3:
+        if "twice" in text and calls[text] < 3:
             raise ValueError("429")
         if "blank" in text:
             return " "
         return "<think>why</think>\nanswer\r\nto " + text
 
+    return client
+
 
 def test_generate_retries(spark):
+    factory = by_value(flaky)
     rows = spark.createDataFrame([(i, t, "m") for i, t in enumerate(["ok", "twice", "dead", "blank"])], "seq long, input string, model string")
     asked = prompts.chat_messages(rows, SYSTEM)
-    got = {r.input: r for r in inference.generate(asked, Flaky, retries=3, sleep=lambda s: None).collect()}
+    got = {r.input: r for r in inference.generate(asked, factory, retries=3, sleep=lambda s: None).collect()}
     assert (got["ok"].generated, got["ok"].attempts) == ("answer to ok", 1)
     assert (got["twice"].generated, got["twice"].attempts) == ("answer to twice", 3)
     assert got["dead"].generated == "Error: " + ("boom " + "x" * 300)[:200] and got["dead"].attempts == 3
     assert got["blank"].generated.startswith("Error:")
-    marked = inference.generate(asked, Flaky, retries=2, empty_policy="mark", sleep=lambda s: None)
+    marked = inference.generate(asked, factory, retries=2, empty_policy="mark", sleep=lambda s: None)
     assert {r.input: r.generated for r in marked.collect()}["blank"] == "<vacio>"
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if getattr(context, "_texteval_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="texteval-package-")) / root.name
+    context.addPyFile(shutil.make_archive(str(archive), "zip", root.parent, root.name))
+    context._texteval_shipped = True
+
+
 def local_session(cores: str = "*", app: str = "texteval") -> SparkSession:
     """A session for tests and the bench."""
     return (
