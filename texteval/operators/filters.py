@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from texteval.functions.text import is_error, is_footer
 from texteval.operators.bounds import per_group
@@ -71,14 +74,20 @@ def keyword_filter(
     ``substring`` also matches inside words ("led" in "called"); ``word`` does not.
     """
     words = list(dict.fromkeys(k.lower() for k in (STEM_KEYWORDS if keywords is None else keywords)))
-    alternatives = "|".join(re.escape(k).replace("\\ ", " ") for k in words)
+    pattern = "|".join(re.escape(w).replace("\\ ", " ") for w in words)
     if mode == "word":
-        alternatives = rf"(^|[^\p{{L}}\p{{N}}])({alternatives})($|[^\p{{L}}\p{{N}}])"
+        pattern = rf"(?:^|[^\p{{L}}\p{{N}}])(?:{pattern})(?:$|[^\p{{L}}\p{{N}}])"
     elif mode != "substring":
         raise ValueError(f"unknown mode {mode!r}")
+
+    # one automaton for all keywords reads a text once; Java's regex tries them one by one
+    @F.arrow_udf(T.BooleanType())
+    def found(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern)
+
     for c in cols:
         df = df.filter(F.length(c) > 0)
-    return df.filter(F.lower(F.concat_ws(" ", *cols)).rlike(alternatives))
+    return df.filter(found(F.lower(F.concat_ws(" ", *cols))))
 
 
 def length_band(df: DataFrame, bands: dict[str, tuple[int, int]]) -> DataFrame:

@@ -16,8 +16,8 @@ MODELS = ["click", "error", "purchase", "signup", "view"]
 CATEGORIES = {"click": "browse", "view": "browse", "purchase": "buy", "signup": "buy", "error": "fail"}
 DATASETS = ["d0", "d1", "d2"]
 RATES = [("m0", 8e-7, 2e-6, 5e-7), ("m1", 2e-7, 2e-7, 2e-7)]
-# Tables whose texts are scored row by row, with the column to spread them by.
-TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+# Tables with much work per row, and the column to spread them by when they are one small file.
+SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "events": "event_id"}
 EPOCH_START = 1704067200
 SYSTEM_PROMPT = (
     "You are a text generation service. "
@@ -26,7 +26,7 @@ SYSTEM_PROMPT = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = TEXT_KEYS.get(name)
+    key = SPREAD_KEYS.get(name)
     return read_table(spark, f"{sf_dir}/{name}.parquet", key)
 
 
