@@ -21,7 +21,7 @@ def test_clean_output(spark, raw, want):
     assert apply(spark, raw, tx.clean_output) == want
 
 
-@pytest.mark.parametrize("raw,want", [("a $$x$$ b", "a \n\\[x\\]\n b"), ("cost $y$ now", "cost \\(y\\) now"), ("one $ only", "one $ only"),
+@pytest.mark.parametrize("raw,want", [("a $$x$$ b", "a \n\\[\nx\n\\]\n b"), ("cost $y$ now", "cost \\(y\\) now"), ("one $ only", "one $ only"),
                                       ("$$\na\n$$", "\\[\na\n\\]")])
 def test_normalise_math(spark, raw, want):
     assert apply(spark, raw, tx.normalise_math) == want
