@@ -30,7 +30,10 @@ def test_any_chunking_gives_the_same_text(text, want):
 
 def run(spark, df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    try:
+        assert q.awaitTermination(60)
+    finally:
+        q.stop()
     return spark.table(name)
 
 
@@ -41,7 +44,7 @@ def test_stream_equals_batch(spark, tmp_path):
     batch.filter(early).coalesce(1).write.parquet(str(tmp_path / "t"))
     batch.filter(~early).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
-    out = run(spark, tk.filter_think_stream(stream), "visible_chunks")
+    out = run(spark, tk.filter_think_stream(stream, silence_seconds=None), "visible_chunks")
     got = {}
     for r in out.orderBy("request_id", "seq").collect():
         got[r.request_id] = got.get(r.request_id, "") + r.visible

@@ -41,13 +41,15 @@ def filter_step(buffer: str, inside: bool, token: str) -> tuple[str, bool, str]:
         inside = not inside
 
 
-def filter_think_stream(stream: DataFrame, silence_seconds: int = SILENCE_SECONDS) -> DataFrame:
+def filter_think_stream(stream: DataFrame, silence_seconds: int | None = SILENCE_SECONDS) -> DataFrame:
     """Visible text chunks of each request as they arrive, reasoning removed.
 
     State per request is what may still become a tag and whether a block is
     open, a few characters. Tokens of a request must reach a trigger in order of
     ``seq`` across triggers; inside one trigger they are sorted. A row with
     ``last`` true, or silence, flushes the rest; an unclosed block is dropped.
+    Pass no silence limit to replay a stored stream: a limit by the clock keeps
+    the query alive, so it never ends by itself.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,7 +73,8 @@ def filter_think_stream(stream: DataFrame, silence_seconds: int = SILENCE_SECOND
             state.remove()
         else:
             state.update((buffer, inside, seq))
-            state.setTimeoutDuration(silence_seconds * 1000)
+            if silence_seconds is not None:
+                state.setTimeoutDuration(silence_seconds * 1000)
         yield pd.DataFrame(out, columns=["request_id", "seq", "visible", "timed_out"])
 
     kind = stream.schema["request_id"].dataType.simpleString()
@@ -80,7 +83,7 @@ def filter_think_stream(stream: DataFrame, silence_seconds: int = SILENCE_SECOND
         f"request_id {kind}, seq long, visible string, timed_out boolean",
         "buffer string, inside boolean, seq long",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.NoTimeout if silence_seconds is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
