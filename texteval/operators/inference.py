@@ -25,7 +25,7 @@ from texteval.functions.text import (
     strip_think,
 )
 from texteval.operators.joins import apply_repairs
-from texteval.operators.prompts import message_list, model_family, repair_attempts
+from texteval.operators.prompts import attempt_list, message_list, model_family
 
 Client = Callable[[list, float], str]
 
@@ -116,15 +116,13 @@ def repair(
     the first answer.
     """
     failed = results.filter(is_error(F.col("generated"))).select(*key, "input", model)
-    attempts = repair_attempts(failed, system)
     family = model_family(F.col(model))
-    plans = attempts.groupBy(*key).agg(
-        F.array_sort(
-            F.collect_list(  # three per row
-                F.struct("attempt", "temperature", message_list(F.col("system"), F.col("user"), family).alias("messages"))
-            )
-        ).alias("plan")
-    )
+
+    def step(a):
+        turns = message_list(a["system"], a["user"], family)
+        return F.struct(a["attempt"].alias("attempt"), a["temperature"].alias("temperature"), turns.alias("messages"))
+
+    plans = failed.select(*key, F.transform(attempt_list(system), step).alias("plan"))
     schema = T.StructType(
         [plans.schema[k] for k in key]
         + [

@@ -89,19 +89,18 @@ def sft_export(
     return rows.select(id_col, "split", "messages", (plain if template is None else template).alias("text"))
 
 
-def repair_attempts(
-    failed: DataFrame,
+def attempt_list(
     system: str,
     user_prefix: str = DATA_PREFIX,
     last_prefix: str = REFORMULATED,
     firm_system: str | None = None,
     max_chars: int = 5000,
-) -> DataFrame:
-    """Three attempts per failed row: warmer each time, the last one reworded."""
+) -> Column:
+    """array<struct<attempt, temperature, system, user>> for the row's ``input``."""
     firm = firm_system if firm_system is not None else system.replace(PLAIN_RULE, FIRM_RULE)
     data = flatten_lines(ellipsis(F.col("input"), max_chars))
     prefixes = (user_prefix, user_prefix, last_prefix)
-    attempts = F.array(
+    return F.array(
         *[
             F.struct(
                 F.lit(i).alias("attempt"),
@@ -112,7 +111,11 @@ def repair_attempts(
             for i, (t, p) in enumerate(zip(REPAIR_TEMPERATURES, prefixes), 1)
         ]
     )
-    return failed.select("*", F.inline(attempts))
+
+
+def repair_attempts(failed: DataFrame, system: str, **options) -> DataFrame:
+    """Three attempts per failed row: warmer each time, the last one reworded."""
+    return failed.select("*", F.inline(attempt_list(system, **options)))
 
 
 def context_window(messages: DataFrame, conv: str, order: str, n: int = CONTEXT_MESSAGES) -> DataFrame:
