@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from texteval.llm.shared import settle
-from texteval.operators.order import integer_bucket, with_position
+from texteval.operators.order import with_position
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))
     ranked = with_position(
         sizes.withColumn("__source", key), ["__source", "size"], ["__order", "doc_id"],
-        integer_bucket(F.shiftright("__order", 44), 16), "__rank",
+        F.shiftright("__order", 55), "__rank",
     ).drop("__source")
     whole, extra = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")
     copies = F.coalesce(whole + (F.col("__rank") <= extra).cast("long"), F.lit(0)).cast("long")
