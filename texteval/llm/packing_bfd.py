@@ -22,7 +22,7 @@ PAD_ID = 0
 BLOCK_IDS = 4_000_000
 _ROW = (
     "sequence_id long, n_ids int, doc_ids array<long>, starts array<long>, "
-    "cu_seqlens array<int>, ids array<int>, positions array<int>"
+    "cu_seqlens array<int>, position_resets array<int>, ids array<int>"
 )
 
 
@@ -75,14 +75,12 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[list[int]]:
 def _matrix(pieces: list[tuple], window: int, first: int) -> pa.RecordBatch:
     rows = best_fit_decreasing([len(ids) for _, _, ids in pieces], window)
     ids = np.full((len(rows), window), PAD_ID, dtype=np.int32)
-    positions = np.zeros((len(rows), window), dtype=np.int32)
     docs, starts, cuts, used = [], [], [], []
     for r, row in enumerate(rows):
         at, ends = 0, [0]
         for p in row:
             own = pieces[p][2]
             ids[r, at : at + len(own)] = own
-            positions[r, at : at + len(own)] = np.arange(len(own))
             at += len(own)
             ends.append(at)
         docs.append([pieces[p][0] for p in row])
@@ -90,22 +88,22 @@ def _matrix(pieces: list[tuple], window: int, first: int) -> pa.RecordBatch:
         cuts.append(ends)
         used.append(at)
     every = pa.array(np.arange(0, len(rows) * window + 1, window, dtype=np.int32))
-    matrix = [pa.ListArray.from_arrays(every, pa.array(m.ravel())) for m in (ids, positions)]
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
     return pa.RecordBatch.from_arrays(
         [
             pa.array(range(first, first + len(rows)), pa.int64()), pa.array(used, pa.int32()),
-            pa.array(docs, longs), pa.array(starts, longs), pa.array(cuts, ints), *matrix,
+            pa.array(docs, longs), pa.array(starts, longs), pa.array(cuts, ints),
+            pa.array([ends[:-1] for ends in cuts], ints), pa.ListArray.from_arrays(every, pa.array(ids.ravel())),
         ],
-        ["sequence_id", "n_ids", "doc_ids", "starts", "cu_seqlens", "ids", "positions"],
+        ["sequence_id", "n_ids", "doc_ids", "starts", "cu_seqlens", "position_resets", "ids"],
     )
 
 
 def pack_matrix(docs: DataFrame, tokenizer: str, window: int = WINDOW, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Packed rows of all texts of ``docs`` (doc_id, text): one row per window.
 
-    ids and positions have ``window`` entries, ids padded with 0 from n_ids on; positions
-    start again at 0 with each piece; cu_seqlens are the pieces' bounds; doc_ids and starts say which
+    ids has ``window`` entries, padded with 0 from n_ids on; cu_seqlens are the pieces' bounds;
+    position ids start again at 0 at each entry of position_resets; doc_ids and starts say which
     ids of which document a piece holds. Each document ends with id 1; null and empty texts are
     that id alone; null and repeated doc_ids are documents like others; an empty table gives no rows.
     """

@@ -20,11 +20,16 @@ class WordIds:
     """Little-endian unsigned 32-bit ids of texts; the cache forgets all words when full."""
 
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        (mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        names = self.tokenizer.get_vocab()
+        self.is_mark, self.ends_word = (np.zeros(max(names.values()) + 1, dtype=bool) for _ in range(2))
+        self.is_mark[mark] = True
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -33,14 +38,31 @@ class WordIds:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _new_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words not seen before: one call for all, cut at the mark's id."""
+        """Ids of words not seen before.
+
+        A word of letters only is one unit for the tokenizer, and its last id is marked as a word end;
+        other words are separated by the mark and cut at the mark's id.
+        """
+        plain = [w for w in words if w.isalpha()]
+        made = self._cut(plain, " ".join(plain), self.ends_word)
+        if made is None:
+            plain, made = [], {}
+        rest = [w for w in words if w not in made] if len(made) < len(words) else []
+        if rest:
+            made |= self._cut(rest, f" {MARK} ".join([*rest, ""]), self.is_mark, 1)
+        return made
+
+    def _cut(self, words: list[str], text: str, cuts, drop: int = 0) -> dict[str, bytes] | None:
         import numpy as np
 
-        text = f" {MARK} ".join([*words, ""])
+        if not words:
+            return {}
         ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(ids == self.mark).tolist()
-        starts = [0] + [e + 1 for e in ends]
-        return {w: ids[a:b].tobytes() for w, a, b in zip(words, starts, ends)}
+        ends = (np.flatnonzero(cuts[ids]) + 1).tolist()
+        if len(ends) != len(words):
+            return None
+        raw = ids.tobytes()
+        return {w: raw[4 * a : 4 * (b - drop)] for w, a, b in zip(words, [0, *ends], ends)}
 
     def of(self, text: str | None) -> bytes:
         if not text:
