@@ -130,33 +130,62 @@ def deal_blocks(buckets: DataFrame, payload: DataFrame, chunk: int) -> DataFrame
     return dealt.join(lists.join(payload, "id"), "id")
 
 
-def first_shared(left: list, right: list, bucket: int) -> bool:
-    """Whether ``bucket`` is the first common entry of two ascending lists."""
-    i = j = 0
-    while True:
-        a, b = left[i], right[j]
-        if a == b:
-            return a == bucket
-        if a < b:
-            i += 1
-        else:
-            j += 1
-
-
-def spanning(n: int, pairs) -> list[tuple[int, int]]:
-    """Those of ``pairs`` (indices under n) that join two parts not joined before."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    kept = []
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        if x != y:
-            root[y] = x
-            kept.append((a, b))
-    return kept
+def _first_shared(buckets: list, bucket: int):
+    """Boolean matrix: pairs whose smallest common bucket is ``bucket``."""
+    import numpy as np
+
+    rows = [np.asarray(b)[: np.searchsorted(b, bucket)] for b in buckets]
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    earlier, column, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    use = (count > 1)[column]
+    held = np.zeros((len(rows), int((count > 1).sum())), dtype=np.float32)
+    held[at[use], shared[column[use]]] = 1.0
+    return held @ held.T == 0
+
+
+def _spanning(linked) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a boolean matrix."""
+    import numpy as np
+
+    seen, edges = np.zeros(len(linked), dtype=bool), []
+    for start in range(len(linked)):
+        stack = [] if seen[start] else [start]
+        seen[start] = True
+        while stack:
+            u = stack.pop()
+            new = np.flatnonzero(linked[u] & ~seen)
+            seen[new] = True
+            edges += [(u, v) for v in new.tolist()]
+            stack += new.tolist()
+    return edges
+
+
+def block_links(dealt: DataFrame, similar) -> DataFrame:
+    """Compare the pairs of each block: rows (id, links, other).
+
+    ``similar(block)`` is the boolean matrix of verified pairs of a pandas block with columns
+    id, copies, buckets and the payload. ``links`` adds the copies of the ids linked with id
+    in this block; a row with ``other`` is an edge of a spanning forest of the block's links.
+    A pair counts only in the block of its two parts and in the first bucket it shares, so
+    sums over all blocks are exact, and no list of pairs is ever made.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        ids, part = block["id"].to_numpy(), block["part"].to_numpy()
+        linked = similar(block)
+        np.fill_diagonal(linked, False)
+        if block["lo"].iat[0] != block["hi"].iat[0]:
+            linked &= part[:, None] != part[None, :]
+        if linked.any():
+            linked &= _first_shared(block["buckets"].tolist(), block["bucket"].iat[0])
+        links = linked @ block["copies"].to_numpy()
+        some = np.flatnonzero(links)
+        edges = _spanning(linked[np.ix_(some, some)])
+        made = [(int(ids[i]), int(links[i]), None) for i in some]
+        made += [(int(ids[some[a]]), 0, int(ids[some[b]])) for a, b in edges]
+        return pd.DataFrame(made, columns=["id", "links", "other"]).astype({"other": "Int64"})
+
+    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(compare, "id long, links long, other long")
