@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from texteval.llm.shared import block_links, components, deal_blocks, settle, shared_buckets
+from texteval.llm.shared import block_links, components, settle, shared_buckets
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -89,7 +89,7 @@ def _grams_of(n: int):
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [shingles(text.as_py().split(), n).tobytes() for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["id", "grams", "copies"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["id", "payload", "copies"])
 
     return grams
 
@@ -100,8 +100,8 @@ def _similar(threshold: float):
 
     ratio = Fraction(threshold).limit_denominator(1000)
 
-    def similar(block) -> np.ndarray:
-        sets = [np.frombuffer(g, dtype=np.uint64) for g in block["grams"]]
+    def similar(payloads: list[bytes]) -> np.ndarray:
+        sets = [np.frombuffer(g, dtype=np.uint64) for g in payloads]
         sizes = np.array([len(s) for s in sets])
         row = np.repeat(np.arange(len(sets)), sizes)
         _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -150,15 +150,15 @@ def near_duplicates(
             F.col("least.doc_id").alias("at_doc"), F.col("least.text_key").alias("at_key"), F.col("least.keys").alias("keys"),
         )
     )
-    buckets = shared_buckets(classes.select(F.explode("keys").alias("bucket"), "id"))
+    buckets = shared_buckets(classes.select(F.explode(F.array_distinct("keys")).alias("bucket"), "id"))
     wanted = classes.join(buckets.select("id").distinct(), "id").select("id", "copies", "at_doc", "at_key")
     same = texts["doc_id"].eqNullSafe(wanted["at_doc"]) & (texts["text_key"] == wanted["at_key"])
     found = texts.join(wanted, same).select("id", "text", "copies").mapInArrow(
-        _grams_of(n), "id long, grams binary, copies long"
+        _grams_of(n), "id long, payload binary, copies long"
     )
     # a row that occurs twice stands for its class once
     payload = settle(found).dropDuplicates(["id"])
-    links = settle(block_links(deal_blocks(buckets, payload, chunk), _similar(threshold)))
+    links = settle(block_links(buckets, payload, chunk, _similar(threshold)))
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     reach = components(links.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = (

@@ -89,12 +89,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """(bucket, id) rows of buckets with several ids, buckets of equal content kept once.
+    """(bucket, id, size) rows of buckets with several ids, buckets of equal content kept once.
 
     Copies of one group meet in many hash tables; only one of equal buckets has to
     be compared. Content is told by count, smallest id and two sums of hashes.
     """
-    members = settle(members.select("bucket", "id").distinct())
+    members = settle(members.select("bucket", "id"))
     kept = (
         members.groupBy("bucket")
         .agg(
@@ -161,31 +161,49 @@ def _spanning(linked) -> list[tuple[int, int]]:
     return edges
 
 
-def block_links(dealt: DataFrame, similar) -> DataFrame:
-    """Compare the pairs of each block: rows (id, links, other).
+#: Rows that one call compares: as many small buckets as come to this, or one block of a large one.
+PACK_ROWS = 4000
 
-    ``similar(block)`` is the boolean matrix of verified pairs of a pandas block with columns
-    id, copies, buckets and the payload. ``links`` adds the copies of the ids linked with id
-    in this block; a row with ``other`` is an edge of a spanning forest of the block's links.
+
+def block_links(buckets: DataFrame, payload: DataFrame, chunk: int, similar) -> DataFrame:
+    """Compare the pairs of each bucket: rows (id, links, other).
+
+    ``payload`` is (id, payload, copies); ``similar(list of payloads)`` is the boolean matrix of
+    verified pairs. ``links`` adds the copies of the ids linked with id in one
+    block; a row with ``other`` is an edge of a spanning forest of the block's links.
     A pair counts only in the block of its two parts and in the first bucket it shares, so
     sums over all blocks are exact, and no list of pairs is ever made.
     """
     import numpy as np
     import pandas as pd
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        ids, part = block["id"].to_numpy(), block["part"].to_numpy()
-        linked = similar(block)
-        np.fill_diagonal(linked, False)
-        if block["lo"].iat[0] != block["hi"].iat[0]:
-            linked &= part[:, None] != part[None, :]
-        if linked.any():
-            linked &= _first_shared(block["buckets"].tolist(), block["bucket"].iat[0])
-        links = linked @ block["copies"].to_numpy()
-        some = np.flatnonzero(links)
-        edges = _spanning(linked[np.ix_(some, some)])
-        made = [(int(ids[i]), int(links[i]), None) for i in some]
-        made += [(int(ids[some[a]]), 0, int(ids[some[b]])) for a, b in edges]
+    rows = buckets.agg(F.sum(F.ceil(F.col("size") / chunk))).first()[0] or 0
+    packs = max(1, -(-int(rows) // PACK_ROWS))
+
+    def compare(pack: pd.DataFrame) -> pd.DataFrame:
+        pack = pack.sort_values(["bucket", "lo", "hi"], kind="stable")
+        bucket, lo, hi, ids, part, copies = (
+            pack[c].to_numpy() for c in ("bucket", "lo", "hi", "id", "part", "copies")
+        )
+        payloads, lists = pack["payload"].tolist(), pack["buckets"].tolist()
+        turn = (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        bounds = [0, *(np.flatnonzero(turn) + 1).tolist(), len(pack)]
+        made = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            linked = similar(payloads[a:b])
+            np.fill_diagonal(linked, False)
+            if lo[a] != hi[a]:
+                linked &= part[a:b, None] != part[None, a:b]
+            if not linked.any():
+                continue
+            linked &= _first_shared(lists[a:b], bucket[a])
+            links = linked @ copies[a:b]
+            some = np.flatnonzero(links)
+            own = ids[a:b][some].tolist()
+            made += [(i, n, None) for i, n in zip(own, links[some].tolist())]
+            made += [(own[x], 0, own[y]) for x, y in _spanning(linked[np.ix_(some, some)])]
         return pd.DataFrame(made, columns=["id", "links", "other"]).astype({"other": "Int64"})
 
-    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(compare, "id long, links long, other long")
+    dealt = deal_blocks(buckets, payload, chunk)
+    pack = F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(packs))
+    return dealt.groupBy(pack).applyInPandas(compare, "id long, links long, other long")
