@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from texteval.llm import mixing, packing_bfd, packing_nnls
+from texteval.llm import embeddings, jaccard, langid, mixing, packing_bfd, packing_nnls, secrets
+from texteval.llm.shared import fold
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -14,10 +16,20 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    filters = langid.train(docs.filter(fold(F.col("doc_id"), 5) != 0))
+    return langid.predict(docs, filters, [F.col("doc_id"), (fold(F.col("doc_id"), 5) == 0).alias("held_out")])
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_bfd.pack_matrix(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_texts(_read(spark, sf_dir, "documents"), ["doc_id"]).drop("redacted")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -26,5 +38,19 @@ def op7_pack_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_nnls.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_mix_sources, op7_pack_combinations)}
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_filters, op2_best_fit_packing, op3_secret_layers, op4_mix_sources,
+        op7_pack_combinations, op9_ngram_jaccard, op10_embedding_duplicates,
+    )
+}
 ORACLE: dict[str, str] = {}
