@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texteval.llm import embeddings, jaccard, langid, mixing, packing_bfd, packing_nnls, secrets
+from texteval.llm import embeddings, jaccard, langid, mixing, packing_bfd, packing_nnls, pii, quality, secrets
 from texteval.llm.shared import fold
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(quality.measure(_read(spark, sf_dir, "documents"), ["doc_id"]))
+
+
+def op6_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_read(spark, sf_dir, "documents"), ["doc_id"]).drop("found")
+
+
 def op7_pack_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_nnls.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -50,7 +58,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_filters, op2_best_fit_packing, op3_secret_layers, op4_mix_sources,
-        op7_pack_combinations, op9_ngram_jaccard, op10_embedding_duplicates,
+        op5_rule_ledger, op6_disclosing_terms, op7_pack_combinations, op9_ngram_jaccard, op10_embedding_duplicates,
     )
 }
 ORACLE: dict[str, str] = {}
