@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texteval.llm import embeddings, jaccard, langid, mixing, packing_bfd, packing_nnls, pii, quality, secrets
+from texteval.llm import embeddings, jaccard, langid, lmscore, mixing, packing_bfd, packing_nnls, pii, quality, secrets
 from texteval.llm.shared import fold
 
 TOKENIZER = "word_bpe_49k.json"
@@ -46,6 +46,10 @@ def op7_pack_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_nnls.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents")).drop("text_key")
 
@@ -58,7 +62,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_filters, op2_best_fit_packing, op3_secret_layers, op4_mix_sources,
-        op5_rule_ledger, op6_disclosing_terms, op7_pack_combinations, op9_ngram_jaccard, op10_embedding_duplicates,
+        op5_rule_ledger, op6_disclosing_terms, op7_pack_combinations, op8_context_mixing, op9_ngram_jaccard, op10_embedding_duplicates,
     )
 }
 ORACLE: dict[str, str] = {}
