@@ -2,5 +2,54 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from texteval.llm import jaccard, langid, mixing, packing_nnls, secrets
+from texteval.llm.shared import settle
+
+#: Below this share of known n-grams a text is in none of the learned languages.
+LEAST_KNOWN = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from all labelled rows; texts without letters or in no learned language go."""
+    return langid.keep_known(docs, langid.train(docs), LEAST_KNOWN)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return jaccard.one_of_each(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets, open and encoded, are replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that sources come to their targets."""
+    return mixing.take(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 ids."""
+    return packing_nnls.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard", ngram_jaccard),
+    ("secret_scans", secret_scans),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
+#: MinHash prefixes, nested decoding, Newton iterations and the tokenizer have no SQL form; the tests use brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -176,3 +176,21 @@ def near_duplicates(
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (F.col("copy_key").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, one of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows that repeat doc_id and text are one group and leave one row; rows without a word all stay.
+    Rows without a doc_id go if their group has one with, and all stay otherwise.
+    """
+    found = settle(near_duplicates(docs, **options))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
+    key = F.xxhash64("text")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__doc"]) & (key == gone["__key"]), "left_anti")
+    again = found.filter("kept and n_links > 0").groupBy("doc_id", "text_key").count().filter("count > 1 and doc_id is not null")
+    again = again.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
+    # texts are only regrouped for the rows that do occur more than once
+    same = (F.col("doc_id") == F.col("__doc")) & (key == F.col("__key"))
+    once = left.join(again, same, "left_anti")
+    return once.unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

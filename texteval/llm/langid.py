@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from texteval.llm.shared import settle
+
 SHARE = 1e-5
 CONTRAST = 8.0
 PROBES = 3
@@ -123,6 +125,7 @@ def train(docs: DataFrame, share: float = SHARE, contrast: float = CONTRAST) ->
         .mapInArrow(_count, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
+    counts = settle(counts)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
     # at most 1 / share n-grams of a language pass, so what is collected has a fixed bound per language
@@ -156,3 +159,19 @@ def predict(docs: DataFrame, filters: Filters, keys: list[Column]) -> DataFrame:
 
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").select("key.*", "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, filters: Filters, least: float) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text is in a learned language: score at least ``least``.
+
+    Rows with null text or without a letter go.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(filters)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [known.value.predict(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in made], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -14,7 +14,7 @@ documents is no heavier than its distinct sizes.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from texteval.llm.shared import settle
@@ -104,16 +104,20 @@ def _round_cells(most: int):
     return by_source
 
 
+def row_key() -> Column:
+    """A hash that orders the rows of one source and size and finds a row again."""
+    return F.xxhash64("doc_id", "text", F.lit(11))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of ``docs`` (doc_id, text, source).
+    """doc_id, size, source_size, target, taken, copies, row_key for every row of ``docs`` (doc_id, text, source).
 
     Null text has size 0 and is taken 0 times, as any text without a word; a null source is the
     last source; null and repeated doc_ids are rows like others; an empty table gives none.
     The order of rows of one (source, size) is a hash of doc_id and text, so reruns agree.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    order = F.xxhash64("doc_id", "text", F.lit(11))
-    sizes = settle(docs.select("doc_id", "source", size.alias("size"), order.alias("__order")))
+    sizes = settle(docs.select("doc_id", "source", size.alias("size"), row_key().alias("__order")))
     targets = settle(source_targets(sizes, weights, most))
     cells = settle(sizes.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     solved = tilts(cells, targets, most).withColumnRenamed("source", "s")
@@ -133,8 +137,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     whole, extra = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")
     copies = F.coalesce(whole + (F.col("__rank") <= extra).cast("long"), F.lit(0)).cast("long")
     taken = ranked.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
-    taken = taken.select("doc_id", "source", "size", copies.alias("copies"))
+    taken = taken.select("doc_id", "source", "size", copies.alias("copies"), F.col("__order").alias("row_key"))
     per = targets.withColumnRenamed("source", "s")
     return taken.join(per, taken["source"].eqNullSafe(per["s"])).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "row_key"
+    )
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, columns as they are."""
+    plan = mix(docs, weights, most).groupBy(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key")).agg(
+        F.sort_array(F.collect_list("copies"), asc=False).alias("__copies")
     )
+    plan = plan.filter(F.element_at("__copies", 1) > 0)
+    keyed = docs.withColumn("__row", row_key())
+    found = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["__doc"]) & (keyed["__row"] == plan["__key"]))
+    # rows that repeat doc_id and text share the list of copies, one entry each
+    nth = F.row_number().over(Window.partitionBy("__doc", "__key").orderBy(F.lit(0)))
+    often = found.withColumn("__nth", nth).withColumn("__times", F.get("__copies", F.col("__nth") - 1)).filter("__times > 0")
+    return often.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)

@@ -233,3 +233,17 @@ def scan_texts(docs: DataFrame, keys: list[str], mark: str | None = None) -> Dat
     rows = docs.select(F.struct(*keys).alias("key"), "text")
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, {_FOUND}").select("key.*", *[p.split()[0] for p in _FOUND.split(", ")])
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs`` with secrets in the text replaced; n_chars, if there, is counted again.
+
+    All other columns stay as they are, whatever their names; null text stays null.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    inner = docs.select(F.struct(*rest).alias("__rest"), "text")
+    clean = scan_texts(inner, ["__rest"], mark).select("__rest.*", F.col("redacted").alias("__text"))
+    counted = F.coalesce(F.length("__text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in rest else None
+    return clean.select(*[
+        F.col("__text").alias(c) if c == "text" else counted.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns
+    ])
