@@ -62,7 +62,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
             grams, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))],
+                [pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))],
                 ["lang", "gram", "n"],
             )
         held.clear()
