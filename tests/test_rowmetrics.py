@@ -145,3 +145,9 @@ def test_cosine_blocks_give_the_same_result(spark):
                                        ("generalization", "gener"), ("skies", "sky"), ("enjoy", "enjoy"), ("adoption", "adopt")])
 def test_stems(word, want):
     assert stem(word) == want
+
+
+def test_zero_vector_has_no_cosine(spark):
+    made = [(1, "candidate", 0, [0.0, 0.0]), (1, "reference", 0, [1.0, 0.0])]
+    got = rm.greedy_cosine_f1(spark.createDataFrame(made, "item_id long, side string, pos long, vec array<double>")).first()
+    assert (got.precision, got.recall, got.f1) == (0.0, 0.0, 0.0)

@@ -45,9 +45,19 @@ def test_resume_ignores_outer_white_space(spark):
 def test_compaction(spark):
     rows = [(1, "a", "r", "Error: 1", "1"), (2, "b", "r", "Error: 2", "1"), (3, "a", "r", "ok", "1"),
             (4, "c", "r", "ok", "1"), (5, "d", "r", "Error: 3", "1")]
-    got = joins.compact_results(results(spark, rows), 3).orderBy("rank").collect()
+    got = joins.compact_results(results(spark, rows), spark.range(3)).orderBy("rank").collect()
     assert [(r["rank"], r.seq) for r in got] == [(1, 3), (2, 4), (3, 2)]
-    assert [r.seq for r in joins.compact_results(results(spark, rows), 1).collect()] == [3]
+    assert [r.seq for r in joins.compact_results(results(spark, rows), spark.range(1)).collect()] == [3]
+
+
+def test_null_keys_and_generations_stay(spark):
+    made = [(1, "a", "r", None, "1", "m"), (2, "b", "r", "ok", "1", None), (3, "c", "r", "ok", "1", None), (4, "d", "r", "ok", "1", "m")]
+    schema = "seq long, input string, reference string, generated string, seconds string, model string"
+    saved = spark.createDataFrame(made, schema)
+    items = saved.select("seq", "input", "reference", "model")
+    assert joins.compact_results(saved, items, ["model"]).count() == 4
+    done, pending = joins.resume_plan(items, saved, ["model"])
+    assert sorted(r.seq for r in done.collect()) == [2, 3, 4] and [r.seq for r in pending.collect()] == [1]
 
 
 def test_repairs_replace_only_errors(spark):

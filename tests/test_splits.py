@@ -65,3 +65,11 @@ def test_write_split(corpus, spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "split"))
     assert back.count() == corpus.count()
     assert joins.rows_in_split(corpus, back, ["val", "test"]).count() == back.filter("split != 'train'").count()
+
+
+def test_blank_groups_get_a_split(spark):
+    made = [(i, "s", None if i % 2 else "t", None if i % 3 else f"u{i}") for i in range(24)]
+    got = splits.group_split(spark.createDataFrame(made, "id long, subject string, topic string, subtopic string"), "id", ["subject", "topic"], ["subject", "topic", "subtopic"])
+    assert got.count() == 24 and got.filter("split is null").count() == 0
+    blank = got.filter("topic is null and subtopic is null")
+    assert blank.select("split").distinct().count() == 1

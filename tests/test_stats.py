@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from texteval.functions import special
-from texteval.operators import joins, stats, windows
+from texteval.operators import joins, stats, summary, windows
 
 CELL = ["dataset", "metric"]
 
@@ -54,9 +54,16 @@ def test_friedman_all_tied_and_too_few(spark):
     assert stats.friedman(paired(spark, [[1, 2, 3]] * 9), CELL).count() == 0
 
 
-def test_friedman_uses_at_most_500_items(spark):
+def test_friedman_uses_all_items_unless_asked(spark):
     m = np.random.default_rng(1).random((700, 3))
-    assert stats.friedman(paired(spark, m), CELL).first().n == 500
+    assert stats.friedman(paired(spark, m), CELL).first().n == 700
+    assert stats.friedman(paired(spark, m), CELL, items=500).first().n == 500
+
+
+def test_anova_is_steady_under_a_shift(spark):
+    m = np.random.default_rng(2).integers(0, 9, (40, 3)) / 8
+    near, far = (stats.anova(paired(spark, m + shift), CELL).first() for shift in (0, 1e8))
+    assert near.F == pytest.approx(far.F, rel=1e-4) and far.F > 0
 
 
 def test_anova(spark):
@@ -148,3 +155,10 @@ def test_flat_groups(spark):
     box = windows.box_stats(df, ["g"]).first()
     assert (box.outliers, box.whisker_low, box.whisker_high) == (1, 1.0, 1.0)
     assert [r.value for r in windows.outlier_sample(df, ["g"]).collect()] == [5.0]
+
+
+@pytest.mark.parametrize("start, step", [(1e6, 0.01), (1e9, 0.125)])
+def test_deviation_of_large_values(spark, start, step):
+    rows = [("g", start + i * step) for i in range(3)]
+    got = summary.summary(spark.createDataFrame(rows, "grp string, value double"), ["grp"]).first()
+    assert got["std"] == pytest.approx(step, rel=1e-4)

@@ -52,11 +52,6 @@ def flatten_lines(col: Column, cr: str = "") -> Column:
     return F.replace(F.replace(col, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(cr))
 
 
-def truncate(col: Column, max_chars: int = 5000) -> Column:
-    """Long inputs keep ``max_chars`` characters and get an ellipsis."""
-    return ellipsis(col, max_chars)
-
-
 def ellipsis(col: Column, n: int) -> Column:
     return F.when(F.length(col) > n, F.concat(F.substring(col, 1, n), F.lit("..."))).otherwise(col)
 

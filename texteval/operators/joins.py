@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from texteval.functions.text import is_error, signature
-from texteval.operators.order import integer_bucket, with_position
+from texteval.operators.order import null_safe_join, integer_bucket, with_position
 
 
 def rows_in_split(df: DataFrame, assigned: DataFrame, splits: list[str], id_col: str = "id") -> DataFrame:
@@ -34,30 +34,40 @@ def resume_plan(
     run = run or []
     sig = signature(F.col("input"), F.col("reference"))
     todo = _numbered(items.withColumn("sig", sig), run, seq, "sig")
-    saved = _numbered(results.filter(~is_error(F.col("generated"))).withColumn("sig", sig), run, seq, "sig")
+    saved = _numbered(results.filter(~_failed()).withColumn("sig", sig), run, seq, "sig")
     key = [*run, "sig", "occurrence"]
-    done = todo.join(saved.select(*key, "generated", "seconds"), key).drop("sig", "occurrence")
-    pending = todo.join(saved.select(*key), key, "left_anti").drop("sig", "occurrence")
+    done = null_safe_join(todo, saved.select(*key, "generated", "seconds"), key).drop("sig", "occurrence")
+    pending = null_safe_join(todo, saved.select(*key), key, "left_anti").drop("sig", "occurrence")
     return done, pending
 
 
-def compact_results(df: DataFrame, total: int, run: list[str] | None = None, seq: str = "seq") -> DataFrame:
-    """Successes first, up to ``total`` per run; unresolved errors fill what is left.
+def _failed():
+    """A saved row without a generation counts as an error."""
+    return F.coalesce(is_error(F.col("generated")), F.lit(True))
 
-    An error is resolved when its run has a success with the same texts.
+
+def compact_results(df: DataFrame, items: DataFrame, run: list[str] | None = None, seq: str = "seq") -> DataFrame:
+    """Successes first, up to the run's number of items; unresolved errors fill what is left.
+
+    ``items`` has one row per item and run. An error is resolved when its run has a success with the
+    same texts; a row without a generation is an error.
     """
     run = run or []
     marked = df.withColumns(
-        {"sig": signature(F.col("input"), F.col("reference")), "failed": is_error(F.col("generated"))}
+        {"sig": signature(F.col("input"), F.col("reference")), "failed": _failed()}
     )
     good = marked.filter(~F.col("failed"))
     key = [*run, "sig"]
-    open_errors = marked.filter("failed").join(good.select(*key), key, "left_anti")
+    open_errors = null_safe_join(marked.filter("failed"), good.select(*key), key, "left_anti")
     kept = good.unionByName(open_errors)
     # successes come before errors: their buckets sort lower
     bucket = integer_bucket(F.col(seq)) + F.when(F.col("failed"), F.lit(1 << 48)).otherwise(F.lit(0))
     placed = with_position(kept, run, ["failed", seq], bucket, "rank")
-    return placed.filter(F.col("rank") <= total).drop("sig", "failed")
+    totals = items.groupBy(*run).agg(F.count(F.lit(1)).alias("__items")) if run else items.agg(F.count(F.lit(1)).alias("__items"))
+    key_of = placed.withColumn("__all", F.lit(0)) if not run else placed
+    totals = totals if run else totals.withColumn("__all", F.lit(0))
+    counted = null_safe_join(key_of, totals, run or ["__all"])
+    return counted.filter(F.col("rank") <= F.col("__items")).drop("sig", "failed", "__items", "__all")
 
 
 def apply_repairs(results: DataFrame, repairs: DataFrame, key: list[str]) -> DataFrame:
@@ -125,12 +135,12 @@ def union_splits(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), dfs)
 
 
-def dedupe_prefix(df: DataFrame, col: str, n: int, order: str) -> DataFrame:
-    """The first row for each ``n``-character beginning.
+def dedupe_prefix(df: DataFrame, col: str, order: str, n: int | None = None) -> DataFrame:
+    """The first row for each text; with ``n``, for each ``n``-character beginning.
 
     The winner of a prefix is found by a map-side ``min`` over (digest, order),
     so a very common prefix costs one partial row per task.
     """
-    keyed = df.withColumn("__prefix", F.md5(F.substring(col, 1, n).cast("binary")))
+    keyed = df.withColumn("__prefix", F.md5((F.col(col) if n is None else F.substring(col, 1, n)).cast("binary")))
     winners = keyed.groupBy("__prefix").agg(F.min(order).alias(order)).select(order)
     return df.join(winners, order, "left_semi")

@@ -7,11 +7,13 @@ side, their running sum gives each bucket its offset, and rows are then ordered
 only inside their own (group, bucket). A group that holds a third of the data is
 spread over as many tasks as it has buckets.
 
-Group keys must not be null.
+A null group key is a group of its own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,13 @@ def double_bucket(col: Column, per_unit: int = 64) -> Column:
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys come from the left side."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [left[k].eqNullSafe(named[f"__right_{k}"]) for k in keys])
+    return left.join(named, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def prefix_sum(
     df: DataFrame,
     keys: list[str],
@@ -75,7 +84,7 @@ def prefix_sum(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        rows.join(offsets, [*keys, _BUCKET])
+        null_safe_join(rows, offsets, [*keys, _BUCKET])
         .withColumn(name, F.col(_OFFSET) + F.coalesce(F.sum(_WEIGHT).over(inside), zero))
         .drop(_BUCKET, _WEIGHT, _OFFSET)
     )
@@ -121,7 +130,7 @@ def first_in_random_order(
     )
     inside = Window.partitionBy(*keys, _BUCKET).orderBy("__digest", key)
     return (
-        rows.join(wanted, [*keys, _BUCKET])
+        null_safe_join(rows, wanted, [*keys, _BUCKET])
         .withColumn("__position", F.col(_OFFSET) + F.row_number().over(inside))
         .filter(F.col("__position") <= n)
         .drop("__position", "__digest", _BUCKET, _OFFSET)

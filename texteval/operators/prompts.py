@@ -94,11 +94,12 @@ def attempt_list(
     user_prefix: str = DATA_PREFIX,
     last_prefix: str = REFORMULATED,
     firm_system: str | None = None,
-    max_chars: int = 5000,
+    max_chars: int | None = None,
 ) -> Column:
     """array<struct<attempt, temperature, system, user>> for the row's ``input``."""
     firm = firm_system if firm_system is not None else system.replace(PLAIN_RULE, FIRM_RULE)
-    data = flatten_lines(ellipsis(F.col("input"), max_chars))
+    text = F.col("input")
+    data = flatten_lines(text if max_chars is None else ellipsis(text, max_chars))
     prefixes = (user_prefix, user_prefix, last_prefix)
     return F.array(
         *[

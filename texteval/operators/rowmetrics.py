@@ -306,7 +306,8 @@ def greedy_cosine_f1(vectors: DataFrame, item: str = "item_id", block: int = 512
     over its block pairs.
     """
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    unit = F.transform("vec", lambda x: x.cast("double") / length)
+    # a vector without length has cosine 0 with any other
+    unit = F.transform("vec", lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))
     blocks = (
         vectors.withColumns({"__unit": unit, "__block": F.floor(F.col("pos") / F.lit(float(block)))})
         .groupBy(item, "side", "__block")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from texteval.operators.order import (
+    null_safe_join,
     digest_bucket,
     first_in_random_order,
     random_order,
@@ -44,7 +45,7 @@ def group_split(
         raise ValueError("train and val must leave room for test")
     groups = df.select(*group_cols).distinct().withColumn("__digest", random_order(seed, *group_cols))
     placed = with_position(
-        groups, stratum, ["__digest"], digest_bucket(F.col("__digest")), "__position", total="__n"
+        groups, stratum, ["__digest", *group_cols], digest_bucket(F.col("__digest")), "__position", total="__n"
     )
     n_train, n_val = _split_sizes(F.col("__n"), train, val)
     split = (
@@ -53,7 +54,7 @@ def group_split(
         .otherwise(F.lit("test"))
     )
     chosen = placed.select(*group_cols, split.alias("split"))
-    return df.select(id_col, *group_cols).join(chosen, group_cols)
+    return null_safe_join(df.select(id_col, *group_cols), chosen, group_cols)
 
 
 def split_summary(assigned: DataFrame, group_cols: list[str]) -> DataFrame:

@@ -23,7 +23,6 @@ from texteval.operators.windows import item_ranks, mean_ranks
 # Level, sizes and seed of the tests.
 ALPHA = 0.05
 MIN_ROWS = 10
-FRIEDMAN_ITEMS = 500
 BOOTSTRAP_REPLICATES = 10_000
 SEED = 42
 # Fixed value: counts above this use the normal form of a Poisson draw.
@@ -31,9 +30,9 @@ POISSON_LADDER = 20
 
 
 def friedman(
-    paired: DataFrame, cell: list[str], items: int | None = FRIEDMAN_ITEMS, seed: int = SEED, item: str = "item_id"
+    paired: DataFrame, cell: list[str], items: int | None = None, seed: int = SEED, item: str = "item_id"
 ) -> DataFrame:
-    """Tie-corrected Friedman chi-square per cell, on at most ``items`` items.
+    """Tie-corrected Friedman chi-square per cell, on all items, or on a sample of ``items`` of them.
 
     Null when every rank is tied. Cells need two models and ten items.
     """
@@ -68,15 +67,15 @@ def anova(paired: DataFrame, cell: list[str]) -> DataFrame:
     per_model = paired.groupBy(*cell, "model").agg(
         F.count("value").cast("double").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")
     )
-    grand = per_model.groupBy(*cell).agg(
+    within_cell = Window.partitionBy(*cell)
+    middle = F.sum(F.col("n") * F.col("m")).over(within_cell) / F.sum("n").over(within_cell)
+    grand = per_model.withColumn("off", F.col("m") - middle).groupBy(*cell).agg(
         F.count(F.lit(1)).cast("double").alias("k"),
         F.sum("n").alias("total"),
-        F.sum(F.col("n") * F.col("m")).alias("s"),
-        F.sum(F.col("n") * F.col("m") * F.col("m")).alias("s2"),
+        F.sum(F.col("n") * F.col("off") * F.col("off")).alias("between"),
         F.sum(F.col("n") * F.col("v")).alias("within"),
     ).filter(F.col("k") >= 2)
-    between = F.col("s2") - F.col("s") * F.col("s") / F.col("total")
-    f = (between / (F.col("k") - 1)) / (F.col("within") / (F.col("total") - F.col("k")))
+    f = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("total") - F.col("k")))
     return (
         grand.withColumns({"F": steady_round(F.when(F.col("within") > 0, f), 5), "df_between": F.col("k") - 1, "df_within": F.col("total") - F.col("k")})
         .withColumn("p", F.when(F.col("F").isNotNull(), f_sf("F", "df_between", "df_within")))

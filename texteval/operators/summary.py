@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from texteval.functions.numbers import steady_round
 from texteval.operators.distribution import quantile_aggs, ranked_values
+from texteval.operators.order import null_safe_join
 
 ALPHA = 0.05
 
@@ -21,17 +22,21 @@ def summary(long: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     their task only as counts.
     """
     x, w = F.col("value"), F.col("cnt")
-    sums = ranked_values(long, keys).groupBy(*keys).agg(
+    values = ranked_values(long, keys)
+    sums = values.groupBy(*keys).agg(
         *quantile_aggs({"median": 0.5}),
         F.max("n").alias("n"),
         F.sum(x * w).alias("s"),
-        F.sum(x * x * w).alias("s2"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
     )
     mean = F.col("s") / F.col("n")
-    spread = F.greatest(F.col("s2") - F.col("s") * mean, F.lit(0.0))
-    std = F.when(F.col("n") > 1, F.sqrt(spread / (F.col("n") - 1)))
+    # deviations from the mean, as squares of the values themselves would cancel
+    off = x - F.col("__mean")
+    spread = null_safe_join(values.select(*keys, x, w), sums.select(*keys, mean.alias("__mean")), keys)
+    spread = spread.groupBy(*keys).agg(F.sum(off * off * w).alias("spread"))
+    sums = null_safe_join(sums, spread, keys)
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("spread") / (F.col("n") - 1)))
     return sums.select(
         *keys,
         steady_round(mean, digits).alias("mean"),

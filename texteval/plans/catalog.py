@@ -231,7 +231,7 @@ def _mixed_results(spark, d):
 
 @query
 def jn3_compact_results(spark, d):
-    kept = joins.compact_results(_mixed_results(spark, d), 50, ["model", "dataset"])
+    kept = joins.compact_results(_mixed_results(spark, d), inputs.results(spark, d), ["model", "dataset"])
     return kept.select("model", "seq", "rank", "generated")
 
 
@@ -278,7 +278,13 @@ def set1_union_splits(spark, d):
 
 @query
 def set2_dedupe_prefix(spark, d):
-    return joins.dedupe_prefix(inputs.table(spark, d, "documents"), "text", 200, "doc_id").select("doc_id", "source")
+    """The option with a prefix as the key."""
+    return joins.dedupe_prefix(inputs.table(spark, d, "documents"), "text", "doc_id", 200).select("doc_id", "source")
+
+
+@query
+def set2_dedupe_text(spark, d):
+    return joins.dedupe_prefix(inputs.table(spark, d, "documents"), "text", "doc_id").select("doc_id", "source")
 
 
 @query

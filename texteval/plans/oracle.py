@@ -195,7 +195,7 @@ add("src3_flatten_triples", "", """
 SELECT p_partkey AS id, p_name || ' brand ' || p_brand || ' | ' || p_name || ' type ' || p_type AS input,
   p_brand || ' ' || p_name AS reference FROM part""")
 add("src4_normalise_pairs", PAIRS,
-    f"SELECT item_id, {cut(one_line('generated'), 5000)} AS input, {one_line('reference')} AS reference FROM pairs")
+    f"SELECT item_id, {one_line('generated')} AS input, {one_line('reference')} AS reference FROM pairs")
 add("src5_result_rows", TURNS, f"""
 SELECT seq, CASE WHEN conv_id % 5 = 1 THEN 'a b' ELSE {one_line('input')} END AS input,
   CASE WHEN conv_id % 5 = 1 THEN 'c' ELSE {one_line('answer')} END AS reference,
@@ -269,8 +269,9 @@ SELECT seq + 1000000000, model, input, reference, 'again ' || reference FROM res
 f AS (SELECT *, starts_with(generated, 'Error:') AS failed FROM mixed),
 kept AS (SELECT * FROM f a WHERE NOT failed OR NOT EXISTS (SELECT 1 FROM f b WHERE NOT b.failed AND a.model = b.model
   AND {strip('a.input')} = {strip('b.input')} AND {strip('a.reference')} = {strip('b.reference')})),
-placed AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY failed, seq) AS rank FROM kept)""",
-    "SELECT model, seq, rank, generated FROM placed WHERE rank <= 50")
+placed AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY failed, seq) AS rank FROM kept),
+items AS (SELECT model, count(*) AS n FROM results GROUP BY model)""",
+    "SELECT model, seq, rank, generated FROM placed JOIN items USING (model) WHERE rank <= n")
 add("jn4_apply_repairs", RESULTS, """
 SELECT seq, CASE WHEN fix THEN 'repaired ' || input ELSE generated END AS generated,
   CASE WHEN fix THEN '0.5' ELSE seconds END AS seconds, fix AS repaired
@@ -290,6 +291,7 @@ SELECT a.grp, a.dataset, a.metric, a.model AS model_a, b.model AS model_b FROM c
 ON a.grp = b.grp AND a.dataset = b.dataset AND a.metric = b.metric AND a.ord < b.ord AND a.lo <= b.hi AND b.lo <= a.hi""")
 add("set1_union_splits", assigned(), """
 SELECT id, qa.subject, answer FROM qa JOIN assigned USING (id) WHERE split IN ('val', 'test')""")
+add("set2_dedupe_text", "", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 add("set2_dedupe_prefix", "", """
 SELECT doc_id, source FROM documents
 QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 200) ORDER BY doc_id) = 1""")
@@ -391,7 +393,7 @@ FIRM = SYSTEM_PROMPT.replace(
     "Output ONLY the final English sentence",
     "You MUST output exactly one English sentence. Never output an empty response.\nOutput ONLY the final English sentence")
 add("prm3_repair_attempts", RESULTS + f""", failed AS (
-SELECT seq, {one_line(cut('input', 5000))} AS data FROM results WHERE starts_with(generated, 'Error:'))""", f"""
+SELECT seq, {one_line('input')} AS data FROM results WHERE starts_with(generated, 'Error:'))""", f"""
 SELECT seq, attempt, temperature, {lit(FIRM)} AS system, CASE WHEN attempt < 3 THEN 'Data: '
   ELSE 'Data: The following is structured data. Please describe it in one sentence: ' END || data AS user
 FROM failed, (VALUES (1::BIGINT, 0.3::DOUBLE), (2, 0.5), (3, 0.7)) t(attempt, temperature)""")
@@ -413,7 +415,7 @@ SELECT seq, model, CASE WHEN length(u) % 5 = 0 THEN 'Error: ' || substr('429 rat
   WHEN length(u) % 7 = 0 THEN 'Error: modelo devolvio respuesta vacia' ELSE {strip(one_line(strip("'reply ' || u")))} END AS generated,
   CASE WHEN length(u) % 5 = 0 OR length(u) % 7 = 0 THEN 3 ELSE 1 END::BIGINT AS attempts FROM asked""")
 add("inf2_repair", RESULTS + f""", failed AS (
-SELECT seq, {one_line(cut('input', 5000))} AS data FROM results WHERE starts_with(generated, 'Error:')),
+SELECT seq, {one_line('input')} AS data FROM results WHERE starts_with(generated, 'Error:')),
 tries AS (SELECT seq, attempt, temperature, CASE WHEN attempt < 3 THEN 'Data: '
   ELSE 'Data: The following is structured data. Please describe it in one sentence: ' END || data AS u
 FROM failed, (VALUES (1, 0.3), (2, 0.5), (3, 0.7)) t(attempt, temperature)),
@@ -540,8 +542,7 @@ SELECT model, dataset, count(*) AS rows, round(sum(Coste_USD), 6) AS "total_Cost
   round(sum(CO2_gramos), 6) AS "total_CO2_gramos", round(sum(Time_seconds), 6) AS "total_Time_seconds" FROM wide GROUP BY ALL""")
 add("agg5_best_model", SUMMARY, f"""
 SELECT grp, dataset, metric, model AS best_model, mean AS best_mean FROM sumry QUALIFY {position('mean')} = 1""")
-FRIEDMAN = COMPLETE + """, keep AS (SELECT * FROM complete QUALIFY dense_rank() OVER (
-  PARTITION BY dataset, metric ORDER BY md5('42|' || CAST(item_id AS VARCHAR)), item_id) <= 500),
+FRIEDMAN = COMPLETE + """, keep AS (SELECT * FROM complete),
 rk AS (SELECT *, rank() OVER (PARTITION BY dataset, metric, item_id ORDER BY value)
   + (count(*) OVER (PARTITION BY dataset, metric, item_id, value) - 1) / 2.0::DOUBLE AS rnk,
   count(*) OVER (PARTITION BY dataset, metric, item_id, value) AS tied FROM keep),

@@ -47,11 +47,12 @@ def flatten_triples(df: DataFrame) -> DataFrame:
     ).drop("modified_triple_sets", "lex")
 
 
-def normalise_pairs(df: DataFrame, max_chars: int = 5000, cr: str = "") -> DataFrame:
-    """One-line texts; an input longer than ``max_chars`` is cut and marked with ``...``."""
+def normalise_pairs(df: DataFrame, max_chars: int | None = None, cr: str = "") -> DataFrame:
+    """One-line texts; with ``max_chars``, a longer input is cut and marked with ``...``."""
+    line = flatten_lines(F.col("input"), cr)
     return df.withColumns(
         {
-            "input": ellipsis(flatten_lines(F.col("input"), cr), max_chars),
+            "input": line if max_chars is None else ellipsis(line, max_chars),
             "reference": flatten_lines(F.col("reference"), cr),
         }
     )
