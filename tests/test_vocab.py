@@ -45,6 +45,13 @@ def test_learns_the_rules_one_by_one_would(corpus):
     assert vocab.learn_bpe(corpus, ["text"], 8, coverage=1.0, look_ahead=3) == want[:8]
 
 
+def test_a_doubled_symbol_ends_the_batch(spark):
+    texts = ["xxxxxxxx pcd qcd"]
+    want, _ = plain_bpe(texts, 2)
+    got = vocab.learn_bpe(spark.createDataFrame([(0, texts[0])], "id long, text string"), ["text"], 2, coverage=1.0)
+    assert got == want
+
+
 def test_encoding_applies_the_rules(corpus):
     rules, spelt = plain_bpe(TEXTS, 14)
     for r in vocab.encode_bpe(corpus, "text", rules).collect():

@@ -94,6 +94,9 @@ def _independent(top: list, want: int) -> list[tuple[str, str]]:
             break
         used |= {row["a"], row["b"]}
         free.append(row)
+        if row["a"] == row["b"]:  # its result can pair with itself, as often as half of it
+            bound = row["cnt"]
+            break
     safe = [r for r in free if r["cnt"] > bound] or free[:1]
     return [(r["a"], r["b"]) for r in safe[:want]]
 

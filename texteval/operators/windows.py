@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,9 +217,8 @@ def kde(
 ) -> DataFrame:
     """Gaussian density curve per group with Scott's bandwidth.
 
-    The sum runs over the value table: each distinct value meets the grid once
-    and the partial sums are combined map side. Groups without spread have no
-    curve.
+    Each task adds the distinct values it has into one curve per group, so no
+    value becomes ``points`` rows. Groups without spread have no curve.
     """
     shape = long.filter(F.col("value").isNotNull()).groupBy(*keys).agg(
         F.count("value").alias("n"),
@@ -231,21 +233,47 @@ def kde(
             "step": (F.col("hi") - F.col("lo")) * (1 + 2 * margin) / (points - 1),
         }
     )
+    shape = shape.withColumn("__group", F.to_json(F.struct(*keys)))
     rows = value_counts(long, keys).join(per_group(shape, registry), keys).select(
-        *keys, "value", "cnt", "n", "bandwidth", "start", "step",
-        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
+        "__group", "value", F.col("cnt").cast("double"), "bandwidth", "start", "step"
     )
-    x = F.col("start") + F.col("point") * F.col("step")
-    z = (x - F.col("value")) / F.col("bandwidth")
-    curve = rows.groupBy(*keys, "point").agg(
-        F.first(x).alias("x"),
-        F.sum(F.col("cnt") * F.exp(-0.5 * z * z)).alias("mass"),
-        F.first("n").alias("n"),
-        F.first("bandwidth").alias("bandwidth"),
+    grid = np.arange(points, dtype=float)
+
+    def masses(batches):
+        """One partial curve per group and task."""
+        held: dict[str, np.ndarray] = {}
+
+        def flush():
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string()), pa.array([m.tolist() for m in held.values()], pa.list_(pa.float64()))],
+                ["__group", "masses"],
+            )
+            held.clear()
+            return made
+
+        for batch in batches:
+            group = batch.column(0).dictionary_encode()
+            codes = np.asarray(group.indices)
+            value, cnt, bandwidth, start, step = (np.asarray(batch.column(i)) for i in range(1, 6))
+            for code, name in enumerate(group.dictionary.to_pylist()):
+                own = np.flatnonzero(codes == code)
+                x = start[own[0]] + grid * step[own[0]]
+                for some in np.array_split(own, -(-len(own) // 4096)):
+                    z = (x - value[some, None]) / bandwidth[own[0]]
+                    held[name] = held.get(name, 0.0) + cnt[some] @ np.exp(-0.5 * z * z)
+            if len(held) > 2000:
+                yield flush()
+        if held:
+            yield flush()
+
+    partial = rows.mapInArrow(masses, "__group string, masses array<double>")
+    curve = partial.select("__group", F.posexplode("masses").alias("point", "mass")).groupBy("__group", "point").agg(
+        F.sum("mass").alias("mass")
     )
+    x = F.col("start") + F.col("point") * F.col("step")
     density = F.col("mass") / (F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi))
-    return curve.select(
-        *keys, F.col("point").cast("long").alias("point"), steady_round("x", 6).alias("x"), steady_round(density, 6).alias("density")
+    return curve.join(shape, "__group").select(
+        *keys, F.col("point").cast("long").alias("point"), steady_round(x, 6).alias("x"), steady_round(density, 6).alias("density")
     )
 
 

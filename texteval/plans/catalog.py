@@ -730,7 +730,7 @@ def win7_iqr_filter_violin(spark, d):
 
 @query
 def win8_kde(spark, d):
-    long = inputs.long_metrics(spark, d).filter(F.col("metric") == "ROUGE_L")
+    long = inputs.long_metrics(spark, d)
     few = inputs.experiment_groups(spark)
     return windows.kde(windows.iqr_filter(long, RUN, registry=few), RUN, registry=few)
 

@@ -656,7 +656,7 @@ QUALIFY iqr <= 0 OR value BETWEEN q1 - 1.5 * iqr AND q3 + 1.5 * iqr
 add("win8_kde", DENSITY + """, sh AS (
 SELECT grp, dataset, metric, model, count(*) AS n, stddev_samp(value) * pow(count(*)::DOUBLE, -0.2::DOUBLE) AS h,
   min(value) - 0.08::DOUBLE * (max(value) - min(value)) AS start, (max(value) - min(value)) * 1.16::DOUBLE / 199 AS step
-FROM dn WHERE metric = 'ROUGE_L' GROUP BY ALL HAVING stddev_samp(value) > 0)""", """
+FROM dn GROUP BY ALL HAVING stddev_samp(value) > 0)""", """
 SELECT grp, dataset, metric, model, point, round(start + point * step, 6) AS x,
   round(sum(exp(-0.5::DOUBLE * pow((start + point * step - value) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density
 FROM dn JOIN sh USING (grp, dataset, metric, model), range(200) p(point) GROUP BY grp, dataset, metric, model, point, start, step, n, h""")
