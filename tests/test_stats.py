@@ -119,7 +119,7 @@ def test_groups_of_equal_models(spark):
 
 @pytest.mark.parametrize("decimals", [4, 1])
 def test_bootstrap_agrees_with_resampling(spark, decimals):
-    # one decimal: values repeat often, so weights come from the normal form
+    # one decimal: values repeat often, so their weights are large
     x = np.round(np.random.default_rng(8).gamma(2, 0.2, 600), decimals)
     df = spark.createDataFrame([("a", float(v)) for v in x] + [("few", 1.0)] * 5, "g string, value double")
     rows = stats.bootstrap_ci(df, ["g"], replicates=3000).collect()
@@ -162,3 +162,19 @@ def test_deviation_of_large_values(spark, start, step):
     rows = [("g", start + i * step) for i in range(3)]
     got = summary.summary(spark.createDataFrame(rows, "grp string, value double"), ["grp"]).first()
     assert got["std"] == pytest.approx(step, rel=1e-4)
+
+
+def test_small_values_are_ranked_unrounded(spark):
+    rows = [("g", "A", 1, "lower", 4.4e-7)] * 3 + [("g", "B", 2, "lower", 1.1e-7)] * 3
+    df = spark.createDataFrame(rows, "grp string, model string, ord long, better string, value double")
+    made = summary.summary(df, ["grp", "model", "ord", "better"])
+    assert [r.model for r in summary.leaderboard(made, ["grp"]).orderBy("position").collect()] == ["B", "A"]
+    assert summary.best_model(made, ["grp"]).first().best_mean == pytest.approx(1.1e-7)
+
+
+def test_bootstrap_of_small_values_null_groups_and_reruns(spark):
+    x = np.random.default_rng(3).random(40) * 1e-9
+    df = spark.createDataFrame([(None, float(v)) for v in x], "g string, value double")
+    first, again = (stats.bootstrap_ci(df, ["g"], replicates=500).collect() for _ in range(2))
+    assert first == again and first[0].g is None and first[0].n == 40
+    assert first[0].ci_low < x.mean() < first[0].ci_high and first[0].ci_width > 1e-11

@@ -13,3 +13,9 @@ def steady_round(col: Column | str, digits: int) -> Column:
     runs; a first rounding at 12 digits keeps ties from flipping.
     """
     return F.round(F.round(col, 12), digits)
+
+
+def significant(col: Column | str, digits: int = 9) -> Column:
+    """Round to so many significant digits, whatever the size of the value."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.when(col.isNotNull(), F.format_string(f"%.{digits - 1}e", col.cast("double")).cast("double"))

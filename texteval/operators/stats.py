@@ -7,16 +7,19 @@ themselves are formulas over one small row per model, pair or cell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from texteval.functions.numbers import steady_round
+from texteval.functions.numbers import significant, steady_round
 from texteval.functions.labels import effect_class, p_stars
-from texteval.functions.special import chi2_sf, f_sf, normal_quantile, studentized_range_sf
-from texteval.operators.bounds import per_group
-from texteval.operators.distribution import quantile_aggs, ranked_values, value_counts
+from texteval.functions.special import chi2_sf, f_sf, studentized_range_sf
+from texteval.operators.distribution import ranked_values, value_counts
 from texteval.operators.joins import model_pairs
-from texteval.operators.order import random_order
+from texteval.operators.order import null_safe_join
 from texteval.operators.splits import paired_subsample
 from texteval.operators.windows import item_ranks, mean_ranks
 
@@ -25,8 +28,8 @@ ALPHA = 0.05
 MIN_ROWS = 10
 BOOTSTRAP_REPLICATES = 10_000
 SEED = 42
-# Fixed value: counts above this use the normal form of a Poisson draw.
-POISSON_LADDER = 20
+#: Groups whose replicates a task holds at once.
+HELD_GROUPS = 256
 
 
 def friedman(
@@ -188,69 +191,61 @@ def cd_groups(ranks: DataFrame, pairs: DataFrame, cell: list[str], alpha: float
     ).select(*cell, F.col("first").cast("long"), F.col("last").cast("long"), "size", "models")
 
 
-def _poisson_steps(mean: Column) -> Column:
-    """Distribution function of a Poisson variable at 0, 1, 2, ... as an array."""
-    # the upper end leaves less than 1e-9 of the mass out up to the ladder's limit
-    upto = F.sequence(F.lit(0), (mean * 2 + 14).cast("int"))
-    start = F.struct(
-        F.lit(0.0).alias("sum"), F.exp(-mean.cast("double")).alias("next"), F.array().cast("array<double>").alias("out")
-    )
-
-    def add(acc: Column, k: Column) -> Column:
-        total = acc["sum"] + acc["next"]
-        return F.struct(
-            total.alias("sum"),
-            (acc["next"] * mean / (k + 1)).alias("next"),
-            F.concat(acc["out"], F.array(total)).alias("out"),
-        )
-
-    return F.aggregate(upto, start, add)["out"]
-
-
 def bootstrap_ci(
     long: DataFrame,
     keys: list[str],
     replicates: int = BOOTSTRAP_REPLICATES,
     alpha: float = ALPHA,
     seed: int = SEED,
-    registry: DataFrame | None = None,
 ) -> DataFrame:
     """Percentile interval of the mean per group; groups below ten rows are skipped.
 
     Resampling n rows gives each row a Poisson(1) weight, so a value that occurs
     c times gets a Poisson(c) weight: replicates are drawn per distinct value,
-    not per row. Draws come from a digest of (seed, group, value, replicate), so
-    a lost task redraws the same ones, and partial sums are combined map side.
+    not per row. A counter-based generator keyed by (seed, group, value) makes the
+    draws, so a lost task makes the same ones again. A task adds up its draws, and
+    hands over one sum per group and replicate.
     """
     counts = value_counts(long, keys)
     size = counts.groupBy(*keys).agg(
         F.sum("cnt").alias("n"), (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean")
     ).filter(F.col("n") >= MIN_ROWS)
-    few = F.col("cnt") <= POISSON_LADDER
-    drawn = counts.join(per_group(size.select(*keys), registry), keys, "left_semi").withColumn(
-        "steps", F.when(few, _poisson_steps(F.col("cnt")))
-    ).select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    digest = random_order(seed, *keys, F.format_string("%.8f", F.col("value")), F.col("replicate"))
-    uniform = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
-    drawn = drawn.withColumn("u", uniform)
-    ladder = F.size(F.filter("steps", lambda s: s < F.col("u"))).cast("double")
-    c = F.col("cnt").cast("double")
-    z = normal_quantile(F.col("u"))
-    # Cornish-Fisher: the Poisson's skewness is worth (z^2 - 1) / 6
-    wide = F.greatest(F.floor(c + F.sqrt(c) * z + (z * z - 1) / 6 + 0.5), F.lit(0)).cast("double")
-    weighted = drawn.withColumn("w", F.when(few, ladder).otherwise(wide))
-    means = weighted.groupBy(*keys, "replicate").agg(
-        F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("value")).alias("swx")
-    ).filter(F.col("sw") > 0).select(*keys, (F.col("swx") / F.col("sw")).alias("value"))
+    used = null_safe_join(counts, size.select(*keys), keys, "left_semi").select(
+        F.struct(*keys).alias("group"), F.xxhash64(F.lit(seed), *keys, "value").alias("key"), "value", "cnt"
+    )
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, sums = None, {}
+
+        def handed_over() -> pa.RecordBatch:
+            groups = pa.array([dict(zip(keys, g)) for g in sums], kind)
+            weights, weighted = (pa.array([list(s[k]) for s in sums.values()], pa.list_(pa.float64())) for k in (0, 1))
+            sums.clear()
+            return pa.RecordBatch.from_arrays([groups, weights, weighted], ["group", "sw", "swx"])
+
+        for batch in batches:
+            kind = batch.schema.field("group").type
+            for group, key, value, cnt in zip(*(column.to_pylist() for column in batch.columns)):
+                weights = np.random.Generator(np.random.Philox(key=key & (2**64 - 1))).poisson(cnt, replicates)
+                total = sums.setdefault(tuple(group.values()), np.zeros((2, replicates)))
+                total[0] += weights
+                total[1] += weights * value
+                if len(sums) >= HELD_GROUPS:
+                    yield handed_over()
+        if sums:
+            yield handed_over()
+
+    kind = used.schema["group"].dataType.simpleString()
+    parts = used.mapInArrow(draw, f"`group` {kind}, sw array<double>, swx array<double>")
+    sums = parts.select("group", F.posexplode(F.arrays_zip("sw", "swx")).alias("replicate", "s"))
+    means = sums.groupBy("group", "replicate").agg(F.sum("s.sw").alias("sw"), F.sum("s.swx").alias("swx"))
+    means = means.filter(F.col("sw") > 0).select("group.*", (F.col("swx") / F.col("sw")).alias("value"))
     # at most one row per replicate, a fixed number
     bounds = means.groupBy(*keys).agg(
         F.percentile("value", F.lit(alpha / 2)).alias("ci_low"),
         F.percentile("value", F.lit(1 - alpha / 2)).alias("ci_high"),
     )
-    return size.join(bounds, keys).select(
-        *keys, "n",
-        steady_round("mean", 6).alias("mean"),
-        steady_round("ci_low", 6).alias("ci_low"),
-        steady_round("ci_high", 6).alias("ci_high"),
-        steady_round(F.col("ci_high") - F.col("ci_low"), 6).alias("ci_width"),
+    return null_safe_join(size, bounds, keys).select(
+        *keys, "n", *[significant(c).alias(c) for c in ("mean", "ci_low", "ci_high")],
+        significant(F.col("ci_high") - F.col("ci_low")).alias("ci_width"),
     )

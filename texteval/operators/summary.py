@@ -8,16 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from texteval.functions.numbers import steady_round
+from texteval.functions.numbers import significant, steady_round
 from texteval.operators.distribution import quantile_aggs, ranked_values
 from texteval.operators.order import null_safe_join
 
 ALPHA = 0.05
 
 
-def summary(long: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
-    """Mean, median, sample deviation, range and count per group.
+def summary(long: DataFrame, keys: list[str], digits: int = 9) -> DataFrame:
+    """Mean, median, sample deviation, range and count per group, to ``digits`` significant digits.
 
+    Costs a row are tiny, so a fixed number of decimals would make them tie in a ranking.
     All of it comes from the value table, so the rows are read once and leave
     their task only as counts.
     """
@@ -39,11 +40,11 @@ def summary(long: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     std = F.when(F.col("n") > 1, F.sqrt(F.col("spread") / (F.col("n") - 1)))
     return sums.select(
         *keys,
-        steady_round(mean, digits).alias("mean"),
-        steady_round("median", digits).alias("median"),
-        steady_round(std, digits).alias("std"),
-        steady_round("min", digits).alias("min"),
-        steady_round("max", digits).alias("max"),
+        significant(mean, digits).alias("mean"),
+        significant("median", digits).alias("median"),
+        significant(std, digits).alias("std"),
+        significant("min", digits).alias("min"),
+        significant("max", digits).alias("max"),
         "n",
     )
 

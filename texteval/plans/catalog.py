@@ -77,12 +77,12 @@ def _text_metrics(spark, d):
     """Metric rows as text with footer lines among them."""
     rows = inputs.wide_metrics(spark, d).select(
         F.concat("model", F.lit("_"), "dataset").alias("run"), "item_id",
-        F.col("ROUGE_L").cast("string").alias("ROUGE_L"), F.col("METEOR").cast("string").alias("METEOR"),
+        *[F.col(c).cast("string").alias(c) for c in runs.METRIC_COLUMNS],
     )
     footers = rows.groupBy("run").agg(F.count(F.lit(1)).cast("string").alias("METEOR")).select(
-        "run", F.lit(-1).cast("long").alias("item_id"), F.lit("Filas").alias("ROUGE_L"), "METEOR"
+        "run", F.lit(-1).cast("long").alias("item_id"), F.lit("Filas").alias(runs.METRIC_COLUMNS[0]), "METEOR"
     )
-    return rows.unionByName(footers)
+    return rows.unionByName(footers, allowMissingColumns=True)
 
 
 def _registry(spark):
@@ -92,14 +92,14 @@ def _registry(spark):
 
 @query
 def src6_load_metrics(spark, d):
-    rows, _ = runs.numeric_metrics(_text_metrics(spark, d), ["ROUGE_L", "METEOR"])
+    rows, _ = runs.numeric_metrics(_text_metrics(spark, d))
     tagged, _ = runs.tag_runs(rows, "run", _registry(spark))
-    return tagged.select("run", "model", "dataset", "item_id", "ROUGE_L", "METEOR")
+    return tagged.select("run", "model", "dataset", "item_id", *runs.METRIC_COLUMNS)
 
 
 @query
 def src6_unmapped_runs(spark, d):
-    rows, _ = runs.numeric_metrics(_text_metrics(spark, d), ["ROUGE_L", "METEOR"])
+    rows, _ = runs.numeric_metrics(_text_metrics(spark, d))
     return runs.tag_runs(rows, "run", _registry(spark))[1]
 
 
@@ -642,8 +642,8 @@ def _paired_long(spark, d):
 def agg6_test_rollup(spark, d):
     paired = _paired_long(spark, d)
     tests = stats.friedman(paired, CELL)
-    pairs = stats.wilcoxon_r(joins.model_pairs(paired, CELL), CELL).withColumn("p", 1 - F.col("r"))
-    return summary.test_rollup(tests, pairs, ["metric"], alpha=0.9)
+    pairs = stats.posthoc(paired, CELL).withColumnRenamed("p_adj", "p")
+    return summary.test_rollup(tests, pairs, ["metric"])
 
 
 @query
@@ -790,19 +790,21 @@ def sta5_posthoc(spark, d):
     return stats.posthoc(_paired_long(spark, d), CELL)
 
 
+@query
+def sta5_posthoc_significant(spark, d):
+    return stats.posthoc(_paired_long(spark, d), CELL).drop("p_adj", "stars")
+
+
 @query
 def sta6_cd_groups(spark, d):
-    # pairs closer than a fixed rank distance count as equal, so SQL can follow
     paired = _paired_long(spark, d)
     ranks = windows.mean_ranks(paired, CELL, ascending=True)
-    pairs = stats.nemenyi(paired, CELL).withColumn("p_adj", F.when(F.col("q") < 3.0, 0.5).otherwise(0.01))
-    return stats.cd_groups(ranks, pairs, CELL)
+    return stats.cd_groups(ranks, stats.nemenyi(paired, CELL), CELL)
 
 
 @query
 def sta7_bootstrap_ci(spark, d):
-    return stats.bootstrap_ci(inputs.paired_items(spark, d), [*CELL, "model"], replicates=200,
-                              registry=inputs.experiment_groups(spark))
+    return stats.bootstrap_ci(inputs.paired_items(spark, d), [*CELL, "model"])
 
 
 # --- vocabulary --------------------------------------------------------------

@@ -38,6 +38,11 @@ def half_up(x: str, digits: int) -> str:
     return f"(sign({x}) * floor(round(abs({x}) * 1e{digits}, 4) + 0.5) / 1e{digits})::DOUBLE"
 
 
+def nine(x: str) -> str:
+    """Nine significant digits."""
+    return f"printf('%.8e', {x}::DOUBLE)::DOUBLE"
+
+
 def think(x: str) -> str:
     closed = strip(f"regexp_replace({x}, '(?s)<think>.*?</think>', '', 'g')")
     return strip(f"regexp_replace({closed}, '(?s)<think>.*', '', 'g')")
@@ -119,9 +124,9 @@ cells AS (SELECT grp, dataset, metric FROM (
   GROUP BY ALL HAVING count(*) >= 2 AND min(n) >= 10),
 long AS (SELECT gm.* FROM gm JOIN cells USING (grp, dataset, metric))"""
 SUMMARY = LONG + f""", sumry AS (
-SELECT grp, dataset, metric, better, model, ord, {half_up('avg(value)', 6)} AS mean,
-  {half_up('quantile_cont(value, 0.5)', 6)} AS median, {half_up('stddev_samp(value)', 6)} AS std,
-  {half_up('min(value)', 6)} AS min, {half_up('max(value)', 6)} AS max, count(*) AS n
+SELECT grp, dataset, metric, better, model, ord, {nine('avg(value)')} AS mean,
+  {nine('quantile_cont(value, 0.5)')} AS median, {nine('stddev_samp(value)')} AS std,
+  {nine('min(value)')} AS min, {nine('max(value)')} AS max, count(*) AS n
 FROM long GROUP BY ALL)"""
 PAIRED = EV + f""", pu AS (
 SELECT user_id AS item_id, event_type AS model, sum(c)::DOUBLE AS s, count(*) AS n FROM ev GROUP BY ALL),
@@ -205,7 +210,8 @@ add("src5_result_footers", TURNS, """
 SELECT seq, '--- TOTAL TIME ---' AS label, CAST(length(answer) / 1000.0::DOUBLE AS VARCHAR) AS time_value
 FROM turns WHERE conv_id % 5 = 2""")
 add("src6_load_metrics", WIDE, """
-SELECT model || '_' || dataset AS run, model, dataset, item_id, ROUGE_L, METEOR FROM wide WHERE model <> 'view'""")
+SELECT model || '_' || dataset AS run, model, dataset, item_id, ROUGE_L, METEOR, BERTScore, BLEU, Time_seconds,
+  Tokens_Input::DOUBLE AS Tokens_Input, Tokens_Output::DOUBLE AS Tokens_Output, Coste_USD, CO2_gramos FROM wide WHERE model <> 'view'""")
 add("src6_unmapped_runs", WIDE,
     "SELECT model || '_' || dataset AS run, count(*) AS rows FROM wide WHERE model = 'view' GROUP BY ALL")
 add("src7_parse_run_names", "", """
@@ -573,15 +579,6 @@ FROM al2 LEFT JOIN ws USING (dataset, metric, model_a, model_b)),
 we AS (SELECT *, CASE WHEN r < 0.1 THEN 'nulo' WHEN r < 0.3 THEN 'pequeño' WHEN r < 0.5 THEN 'mediano' ELSE 'grande' END AS effect FROM wx)"""
 
 
-add("agg6_test_rollup", FRIEDMAN + wilcoxon(True) + f""",
-t AS (SELECT coalesce(metric, '(total)') AS metric, count(*) AS tests, count(*) FILTER ({CHI4} < 0.9) AS tests_significant,
-  count(*) FILTER ({CHI4} >= 0.9) AS tests_not_significant FROM fr GROUP BY ROLLUP (metric)),
-p AS (SELECT coalesce(metric, '(total)') AS metric, count(*) AS pairs, count(*) FILTER (1 - r < 0.9) AS pairs_significant,
-  count(*) FILTER (1 - r < 0.9 AND effect = 'grande') AS significant_large,
-  count(*) FILTER (1 - r < 0.9 AND effect = 'mediano') AS significant_medium,
-  count(*) FILTER (1 - r < 0.9 AND effect = 'pequeño') AS significant_small,
-  count(*) FILTER (1 - r < 0.9 AND effect = 'nulo') AS significant_none FROM we GROUP BY ROLLUP (metric))""",
-    "SELECT * FROM t JOIN p USING (metric)")
 add("agg7_by_category", LONG, f"""
 SELECT grp, dataset, metric, category, count(DISTINCT model) AS models, count(*) AS n, {half_up('avg(value)', 6)} AS mean
 FROM long GROUP BY ALL""")
@@ -679,6 +676,8 @@ g AS (SELECT dataset, metric, count(*) AS k, sum(n) AS t, sum(n * m) / sum(n) AS
 SELECT dataset, metric, (any_value(k) - 1)::BIGINT AS df_between, (any_value(t) - any_value(k))::BIGINT AS df_within,
   round((sum(n * (m - gm) * (m - gm)) / (any_value(k) - 1)) / (sum(n * v) / (any_value(t) - any_value(k))), 5) AS "F"
 FROM pm JOIN g USING (dataset, metric) GROUP BY dataset, metric""")
+# Upper 5 % points of the studentised range, infinite degrees of freedom, from printed tables.
+RANGE_05 = "CASE k WHEN 2 THEN 2.772 WHEN 3 THEN 3.314 WHEN 4 THEN 3.633 WHEN 5 THEN 3.858 END"
 RANKS = COMPLETE + """, rk AS (
 SELECT *, rank() OVER (PARTITION BY dataset, metric, item_id ORDER BY value)
   + (count(*) OVER (PARTITION BY dataset, metric, item_id, value) - 1) / 2.0::DOUBLE AS rnk FROM complete),
@@ -691,29 +690,28 @@ ny AS (SELECT a.dataset, a.metric, a.model AS model_a, b.model AS model_b, a.n::
 add("sta3_nemenyi_q", RANKS, "SELECT * FROM ny")
 add("sta4_wilcoxon_r", COMPLETE + wilcoxon(True), "SELECT * FROM we")
 add("sta4_wilcoxon_r_no_ties", COMPLETE + wilcoxon(False), "SELECT * FROM we")
-add("sta6_cd_groups", RANKS + """, pl AS (
+POSTHOC = RANKS + wilcoxon(True) + f""", ph AS (
+SELECT *, q > {RANGE_05} AS significant FROM we JOIN ny USING (dataset, metric, model_a, model_b, n))"""
+add("sta5_posthoc_significant", POSTHOC,
+    "SELECT dataset, metric, model_a, model_b, n, mean_diff, q, significant, r, effect FROM ph")
+add("agg6_test_rollup", FRIEDMAN + POSTHOC.removeprefix(COMPLETE).replace("rk AS (", "rk2 AS (").replace("FROM rk GROUP", "FROM rk2 GROUP") + f""",
+t AS (SELECT coalesce(metric, '(total)') AS metric, count(*) AS tests, count(*) FILTER ({CHI4} < 0.05) AS tests_significant,
+  count(*) FILTER ({CHI4} >= 0.05) AS tests_not_significant FROM fr GROUP BY ROLLUP (metric)),
+p AS (SELECT coalesce(metric, '(total)') AS metric, count(*) AS pairs, count(*) FILTER (significant) AS pairs_significant,
+  count(*) FILTER (significant AND effect = 'grande') AS significant_large,
+  count(*) FILTER (significant AND effect = 'mediano') AS significant_medium,
+  count(*) FILTER (significant AND effect = 'pequeño') AS significant_small,
+  count(*) FILTER (significant AND effect = 'nulo') AS significant_none FROM ph GROUP BY ROLLUP (metric))""",
+    "SELECT * FROM t JOIN p USING (metric)")
+add("sta6_cd_groups", RANKS + f""", pl AS (
 SELECT dataset, metric, model, row_number() OVER (PARTITION BY dataset, metric ORDER BY mr, ord) AS place FROM mr),
 sp AS (SELECT ny.dataset, ny.metric, least(a.place, b.place) AS f, greatest(a.place, b.place) AS l FROM ny
   JOIN pl a ON a.dataset = ny.dataset AND a.metric = ny.metric AND a.model = model_a
-  JOIN pl b ON b.dataset = ny.dataset AND b.metric = ny.metric AND b.model = model_b WHERE q < 3.0),
+  JOIN pl b ON b.dataset = ny.dataset AND b.metric = ny.metric AND b.model = model_b WHERE q < {RANGE_05}),
 mx AS (SELECT * FROM sp x WHERE NOT EXISTS (SELECT 1 FROM sp y WHERE y.dataset = x.dataset AND y.metric = x.metric
   AND y.f <= x.f AND y.l >= x.l AND (y.f < x.f OR y.l > x.l)))""", """
 SELECT mx.dataset, mx.metric, f AS first, l AS last, count(*) AS size, string_agg(model, ' | ' ORDER BY place) AS models
 FROM mx JOIN pl ON pl.dataset = mx.dataset AND pl.metric = mx.metric AND place BETWEEN f AND l GROUP BY mx.dataset, mx.metric, f, l""")
-Z = quantile("u")
-add("sta7_bootstrap_ci", PAIRED + f""", vc AS (SELECT dataset, metric, model, value, count(*) AS c FROM paired GROUP BY ALL),
-sz AS (SELECT dataset, metric, model, sum(c)::BIGINT AS n, sum(value * c) / sum(c) AS mean FROM vc GROUP BY ALL HAVING sum(c) >= 10),
-ps AS (SELECT c, k, sum(p) OVER (PARTITION BY c ORDER BY k) AS cdf FROM (
-  SELECT c, k, exp(-c::DOUBLE + k * ln(c::DOUBLE) - lgamma(k + 1)) AS p FROM range(1, 21) a(c), range(0, 56) b(k) WHERE k <= 2 * c + 14)),
-st AS (SELECT c, list(cdf ORDER BY k) AS steps FROM ps GROUP BY c),
-dr AS (SELECT vc.*, b, (('0x' || substr(md5('42|' || dataset || '|' || metric || '|' || model || '|' || printf('%.8f', value) || '|' || CAST(b AS VARCHAR)), 1, 8))::BIGINT + 0.5::DOUBLE)
-  / 4294967296.0::DOUBLE AS u FROM vc SEMI JOIN sz USING (dataset, metric, model), range(1, 201) r(b)),
-wt AS (SELECT dr.*, CASE WHEN dr.c <= 20 THEN len(list_filter(steps, lambda s: s < u))::DOUBLE
-  ELSE greatest(floor(dr.c + sqrt(dr.c) * ({Z}) + (({Z}) * ({Z}) - 1) / 6 + 0.5), 0) END AS w FROM dr LEFT JOIN st ON dr.c = st.c),
-bm AS (SELECT dataset, metric, model, b, sum(w * value) / sum(w) AS m FROM wt GROUP BY ALL HAVING sum(w) > 0),
-ci AS (SELECT dataset, metric, model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY ALL)""", """
-SELECT dataset, metric, model, n, round(mean, 6) AS mean, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(hi - lo, 6) AS ci_width
-FROM sz JOIN ci USING (dataset, metric, model)""")
 
 # --- vocabulary --------------------------------------------------------------
 
