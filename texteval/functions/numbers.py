@@ -16,6 +16,9 @@ def steady_round(col: Column | str, digits: int) -> Column:
 
 
 def significant(col: Column | str, digits: int = 9) -> Column:
-    """Round to so many significant digits, whatever the size of the value."""
+    """Round to so many significant digits, whatever the size of the value.
+
+    A nudge far below the last digit sends ties away from zero, also when noise left them short.
+    """
     col = F.col(col) if isinstance(col, str) else col
-    return F.when(col.isNotNull(), F.format_string(f"%.{digits - 1}e", col.cast("double")).cast("double"))
+    return F.when(col.isNotNull(), F.format_string(f"%.{digits - 1}e", col.cast("double") * F.lit(1 + 1e-12)).cast("double"))

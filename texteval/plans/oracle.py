@@ -39,8 +39,8 @@ def half_up(x: str, digits: int) -> str:
 
 
 def nine(x: str) -> str:
-    """Nine significant digits."""
-    return f"printf('%.8e', {x}::DOUBLE)::DOUBLE"
+    """Nine significant digits, ties away from zero."""
+    return f"printf('%.8e', {x}::DOUBLE * 1.000000000001::DOUBLE)::DOUBLE"
 
 
 def think(x: str) -> str:
