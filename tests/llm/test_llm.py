@@ -1,19 +1,24 @@
 """The dealt operators against brute force, round trips and odd input."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import io
 import itertools
+import lzma
 import math
 import random
 import re
+import tarfile
 import urllib.parse
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -158,6 +163,51 @@ def test_op3_unwraps(encoded):
     assert base == [] and [(a, b) for a, _, b in spans] == [(3, 3 + len(encoded))]
 
 
+def _tar(data):
+    made = io.BytesIO()
+    with tarfile.open(fileobj=made, mode="w") as tar:
+        info = tarfile.TarInfo("a.env")
+        info.size = len(data)
+        tar.addfile(info, io.BytesIO(data))
+    return made.getvalue()
+
+
+RAW = SECRET.encode()
+LONG = b"".join(b"%d:%s\n" % (i, hashlib.md5(b"%d" % i).hexdigest()[:20].encode()) for i in range(400))
+
+
+@pytest.mark.parametrize("data", [
+    b"\xef\xbb\xbf" + RAW, b"\0" + RAW, b"\x1b[31m" + RAW, RAW + b"\xff", b"\xe9" * 80 + RAW, SECRET.encode("utf-16-le"), SECRET.encode("utf-16"),
+    SECRET.encode("utf-16-be"), gzip.compress(_tar(RAW)), gzip.compress(LONG) + gzip.compress(RAW), gzip.compress(RAW[:9]) + gzip.compress(RAW[9:]),
+    _tar(gzip.compress(RAW)), bz2.compress(LONG) + bz2.compress(RAW), lzma.compress(LONG) + lzma.compress(RAW), zstandard.compress(LONG) + zstandard.compress(RAW),
+])
+def test_op3_scans_every_byte_layer(data):
+    for encoded in (base64.b64encode(data).decode(), "".join(f"%{b:02X}" for b in data), "".join(f"\\x{b:02x}" for b in data)):
+        _, spans, unread = secrets.find(f"é😀 {encoded} end")
+        assert spans and unread == 0 and all(3 <= a < b <= 3 + len(encoded) for a, _, b in spans), encoded
+
+
+@pytest.mark.parametrize("data", [RAW * 9, LONG + RAW + LONG, gzip.compress(LONG + RAW), gzip.compress(LONG) + gzip.compress(RAW)])
+@pytest.mark.parametrize("width", [76, 64, 61])
+@pytest.mark.parametrize("cut", ["\n", "\r\n", "\n    ", "\\n"])
+def test_op3_joins_wrapped_base64(data, width, cut):
+    run = base64.b64encode(data).decode()
+    encoded = cut.join(run[i : i + width] for i in range(0, len(run), width))
+    _, spans, unread = secrets.find(f"key: |{chr(10)}{encoded}\n\nend")
+    assert any((a, b) == (7, 7 + len(encoded)) for a, _, b in spans)
+
+
+def test_op3_reads_to_the_end(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 4096)
+    for data in (LONG * 3 + RAW, LONG[:4090] + RAW + LONG, LONG[:4090] + base64.b64encode(b"x" * 50 + RAW) + LONG):
+        assert [k for _, k, _ in secrets.find(base64.b64encode(gzip.compress(data)).decode())[1]] == [0]
+    cut = base64.b64encode(gzip.compress(RAW + LONG)[:-2000]).decode()
+    assert secrets.find(cut)[1:] == ([(0, 0, len(cut))], 1)
+    twice = base64.b64encode(b"note " + urllib.parse.quote(SECRET, safe="").encode() + b" end").decode()
+    assert len(secrets.find(f"{twice} and {twice}")[1]) == 2
+    assert secrets.find("internationalization/and/localisation-of-everything " * 50 + "\n" + "x" * 300_000)[1:] == ([], 0)
+
+
 def test_op3_base_and_ends(spark, odd, empty):
     assert secrets.find("token=abc secret=token :abcdefg")[0] == []
     assert secrets.find("%2525252541 " * 50)[1] == []
