@@ -299,6 +299,22 @@ def test_op6_equals_brute_force(spark, odd, empty):
     assert pii.scan(odd, ["doc_id", "key"]).count() == len(ODD) and pii.scan(empty, ["doc_id"]).count() == 0
 
 
+def test_op6_scores_whole_documents(spark):
+    far = " ".join(f"w{'abcdefghij'[j % 10]}" for j in range(60))
+    made = [(i, f"Zebulon {far} n{'abcdef'[i]}y {far} mail ann@example.org now, Yours sincerely") for i in range(6)]
+    made += [(10 + i, f"plain {far} mail now about the weather in week number and {i}") for i in range(60)]
+    made += [(80, f"plain {far} and Zebulon again")]
+    made += [(90 + i, f"copied Quixote {far} bob@example.org") for i in range(3)]
+    got = rows(pii.scan(spark.createDataFrame(made, "doc_id long, text string"), ["doc_id"]))
+    assert all("term:0:7" in got[i].spans.split(",") for i in range(6))  # far away from the entity
+    at = made[66][1].index("Zebulon")
+    assert got[80].spans == f"term:{at}:{at + 7}"  # in a document without it
+    for i in range(6):  # the same surroundings in different documents
+        at = made[i][1].index("sincerely")
+        assert f"term:{at}:{at + 9}" in got[i].spans.split(",")
+    assert all("term" not in got[i].spans for i in (*range(10, 70), *range(90, 93)))
+
+
 def test_op6_finds_disclosing_terms(spark):
     made = [(i, f"note {i} from Zebulon about ann@example.org in week {'abcdef'[i]}x") for i in range(6)]
     made += [(10 + i, f"plain note about the weather in week number and {i}") for i in range(60)]

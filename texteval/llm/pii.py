@@ -1,10 +1,10 @@
 """Personal data by pattern, and terms that give it away by co-occurrence.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers: the protected entities. For
-each term that stands near an entity, the corpus tells how much of the entity's information the term
+each term that occurs in documents of an entity, the corpus tells how much of the entity's information the term
 carries: pointwise mutual information of term and entity, divided by the entity's own
 information, 1 if the term never occurs without it. Terms above a threshold, seen with the
-entity in different contexts, are generalised; close to 1 they are removed.
+entity in different texts, are generalised wherever they occur; close to 1 they are removed.
 
 Everything is SQL functions: matches come from ``regexp_extract_all``, their places from
 the lengths of what ``split`` leaves between them.
@@ -12,7 +12,7 @@ the lengths of what ``split`` leaves between them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from texteval.llm.shared import settle
@@ -42,7 +42,8 @@ VALID = {
     "phone": f"length({_DIGITS}) between 10 and 15",
 }
 TERM = r"\p{L}[\p{L}\p{N}'-]+"
-CONTEXT = 80
+#: Terms in more than one of so many documents are few: at most as many times a document's distinct terms.
+COMMON = 1000
 DISCLOSURE = 0.9
 REMOVAL = 0.999
 _SPAN = "struct<start: bigint, kind: int, end: bigint, value: string>"
@@ -56,13 +57,14 @@ def _quoted(pattern: str) -> str:
 _START = "(acc.at + length(x['0']))"
 
 
-def places(text: str, pattern: str, made: str, kind: str) -> str:
-    """SQL: ``made``, of type ``kind``, for each leftmost match in order."""
+def places(text: str, pattern: str, made: str, kind: str, wanted: str = "true") -> str:
+    """SQL: ``made``, of type ``kind``, for each leftmost match in order that is ``wanted``."""
     pieces, matches = f"split({text}, {_quoted(pattern)}, -1)", f"regexp_extract_all({text}, {_quoted(pattern)}, 0)"
     return (
         f"aggregate(arrays_zip(slice({pieces}, 1, size({matches})), {matches}), "
         f"struct(0L as at, cast(array() as array<{kind}>) as out), (acc, x) -> struct("
-        f"acc.at + length(x['0']) + length(x['1']) as at, concat(acc.out, array({made})) as out), acc -> acc.out)"
+        f"acc.at + length(x['0']) + length(x['1']) as at, "
+        f"case when {wanted} then concat(acc.out, array({made})) else acc.out end as out), acc -> acc.out)"
     )
 
 
@@ -74,78 +76,75 @@ def _spans(text: str, kind: str) -> str:
     return f"case when {hint} then filter({every}, f -> {valid}) else cast(array() as array<{_SPAN}>) end"
 
 
-def _terms(window: str, offset: str) -> str:
-    start = f"({offset} + {_START})"
-    made = f"struct({start} as start, {start} + length(x['1']) as end, lower(x['1']) as term)"
-    return places(window, TERM, made, "struct<start: bigint, end: bigint, term: string>")
+def _own() -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all("free", F.lit(TERM), 0), F.lower))
 
 
 def entities(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, a row number, the pattern spans of each text and the terms around them.
+    """``keys``, a row number, the pattern spans of each text, its entities, a hash of it, and the text with blanks for the spans.
 
-    Null text has no spans. Settled, without the texts.
+    Null text has no spans. Settled.
     """
     rows = docs.select(*keys, F.coalesce("text", F.lit("")).alias("__text"))
     for kind in PATTERNS:
         rows = rows.withColumn(f"__{kind}", F.expr(_spans("__text", kind)))
     rows = rows.withColumn("base", F.array_sort(F.concat(*[f"__{kind}" for kind in PATTERNS])))
-    # CONTEXT code points on either side, without the words that the cut hits
-    around = (
-        f"transform(base, e -> struct(e.start as start, e.kind as kind, e.end as end, e.value as value, "
-        f"substring(__text, int(greatest(e.start - {CONTEXT}, 0)) + 1, int(least(e.start, {CONTEXT}))) as left, "
-        f"substring(__text, int(e.end) + 1, {CONTEXT}) as right))"
+    own = (
+        "array_distinct(transform(base, e -> struct(e.kind as kind, "
+        "case when e.kind = 0 then lower(e.value) when e.kind = 1 then e.value else regexp_replace(e.value, '[^0-9]', '') end as entity)))"
     )
-    cut = (
-        "transform(__around, e -> struct(e.start as start, e.kind as kind, e.end as end, e.value as value, e.left as left, e.right as right, "
-        f"case when e.start > {CONTEXT} then length(regexp_extract(e.left, '^[^ \\\\t-\\\\r]*', 0)) else 0 end as skip, "
-        f"case when length(e.right) = {CONTEXT} then length(regexp_extract(e.right, '[^ \\\\t-\\\\r]*$', 0)) else 0 end as drop))"
+    free = (
+        "case when size(base) = 0 then __text else aggregate(base, struct('' as out, 0L as at), (acc, s) -> case when s.end > acc.at then "
+        "struct(concat(acc.out, substring(__text, int(acc.at) + 1, int(greatest(s.start - acc.at, 0L))), "
+        "repeat(' ', int(s.end - greatest(s.start, acc.at)))) as out, s.end as at) else acc end, "
+        "acc -> concat(acc.out, substring(__text, int(acc.at) + 1))) end"
     )
-    rows = rows.withColumn("__around", F.expr(around)).withColumn("__around", F.expr(cut))
-    terms = (
-        "transform(__around, e -> struct(e.kind as kind, "
-        "case when e.kind = 0 then lower(e.value) when e.kind = 1 then e.value else regexp_replace(e.value, '[^0-9]', '') end as entity, "
-        "xxhash64(e.left, e.right) as context, concat("
-        + _terms("substring(e.left, e.skip + 1)", f"greatest(e.start - {CONTEXT}, 0L) + e.skip")
-        + ", "
-        + _terms("substring(e.right, 1, length(e.right) - e.drop)", "e.end")
-        + ") as terms))"
-    )
-    rows = rows.withColumn("mentions", F.expr(terms))
-    return settle(rows.select(*keys, F.monotonically_increasing_id().alias("row"), "base", "mentions"))
+    return settle(rows.select(
+        *keys, F.monotonically_increasing_id().alias("row"), "base", F.expr(own).alias("entities"),
+        F.xxhash64("__text").alias("copy"), F.expr(free).alias("free"),
+    ))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(kind, entity, term, row, start, end, disclosure) of the occurrences to sanitise.
+def disclosing_terms(found: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(kind, entity, term, disclosure) of the terms to sanitise.
 
-    Counts are documents, over the whole corpus; a pair counts if it occurs in two documents
-    and two different contexts, so that copies of one text are no evidence.
+    Counts are documents, over the whole corpus, and terms those outside the patterns' spans; a pair counts if it
+    occurs in two documents of different text, so that copies of one text are no evidence.
     """
     rows = found.count()
-    near = settle(
-        found.filter(F.size("mentions") > 0).select("row", F.inline("mentions"))
-        .select("row", "kind", "entity", "context", F.inline("terms"))
+    with_term = settle(found.select(F.explode(_own()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
+    holders = found.filter(F.size("entities") > 0)
+    with_entity = settle(
+        holders.select("copy", F.inline("entities")).groupBy("kind", "entity")
+        .agg(F.count(F.lit(1)).alias("n_entity"), (F.min("copy") != F.max("copy")).alias("varied"))
+        .filter("n_entity > 1 and varied").drop("varied")
     )
-    together = (
-        near.groupBy("kind", "entity", "term")
-        .agg(F.count_distinct("row").alias("both"), (F.min("context") != F.max("context")).alias("varied"))
-        .filter("both > 1 and varied").drop("varied")
+    held = (
+        holders.select("row", F.inline("entities")).join(with_entity, ["kind", "entity"])
+        .groupBy("row").agg(F.collect_list(F.struct("kind", "entity", "n_entity")).alias("held"))
     )
-    with_entity = (
-        found.filter(F.size("mentions") > 0).select("row", F.inline("mentions")).select("row", "kind", "entity").distinct()
-        .groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_entity"))
+
+    # a term of n documents discloses at most log(rows / n) / log(rows / n_entity): pairs that can't reach it are not made
+    def information(n: str) -> Column:
+        return F.log(F.lit(float(rows)) / F.col(n))
+
+    common = F.broadcast(with_term.filter(F.col("n_term") * COMMON > rows).withColumnRenamed("n_term", "n_common"))
+    reaches = F.col("n_common").isNull() | (information("n_common") + 1e-9 >= information("n_entity") * disclosure)
+    together = settle(
+        holders.select("row", "copy", _own().alias("own")).join(held, "row").select("copy", "held", F.explode("own").alias("term"))
+        .join(common, "term", "left").select("copy", "term", "n_common", F.inline("held")).filter(reaches)
+        .groupBy("kind", "entity", "term")
+        .agg(F.count(F.lit(1)).alias("both"), F.max("n_entity").alias("n_entity"), (F.min("copy") != F.max("copy")).alias("varied"))
+        .filter("both > 1 and varied").drop("varied")
     )
-    own = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower))
-    with_term = docs.select(F.explode(own).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     informs = F.log(F.col("both") * rows / (F.col("n_entity") * F.col("n_term")))
-    scored = (
-        together.join(with_entity, ["kind", "entity"]).join(with_term, "term")
-        .withColumn("disclosure", F.try_divide(informs, F.log(F.lit(float(rows)) / F.col("n_entity"))))
+    return (
+        together.join(with_term, "term")
+        .withColumn("disclosure", F.try_divide(informs, information("n_entity")))
         .filter(F.col("disclosure") >= disclosure)
         .select("kind", "entity", "term", "disclosure")
     )
-    return near.join(scored, ["kind", "entity", "term"]).select(
-        "kind", "entity", "term", "row", "start", "end", "disclosure"
-    )
 
 
 def _listed(spans: str) -> str:
@@ -162,14 +161,19 @@ def scan(docs: DataFrame, keys: list[str], disclosure: float = DISCLOSURE, remov
     """
     found = entities(docs, keys)
     marks = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    added = (
-        disclosing_terms(docs, found, disclosure).groupBy("row", "start", "end").agg(F.max("disclosure").alias("d"))
-        .groupBy("row")
-        .agg(F.collect_list(F.expr(
-            f"struct(start, {len(KINDS) - 1} as kind, end, case when d >= {removal} then '' else '[TERM]' end as mark)"
-        )).alias("terms"))
+    flagged = settle(disclosing_terms(found, disclosure).groupBy("term").agg(F.max("disclosure").alias("d")))
+    # a flagged term is marked wherever it occurs, in documents without the entity too
+    hits = settle(
+        found.select("row", F.explode(_own()).alias("term")).join(flagged, "term")
+        .groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("hits"))
+    )
+    made = (
+        f"struct({_START} as start, {len(KINDS) - 1} as kind, {_START} + length(x['1']) as end, "
+        f"case when hits[lower(x['1'])] >= {removal} then '' else '[TERM]' end as mark)"
     )
-    every = found.join(added, "row", "left").withColumn(
+    spans = places("free", TERM, made, "struct<start: bigint, kind: int, end: bigint, mark: string>", "map_contains_key(hits, lower(x['1']))")
+    added = found.select("row", "free").join(hits, "row").select("row", F.expr(spans).alias("terms"))
+    every = found.drop("free").join(added, "row", "left").withColumn(
         "found",
         F.expr(
             f"array_sort(concat(transform(base, b -> struct(b.start as start, b.kind as kind, b.end as end, array({marks})[b.kind] as mark)), "
