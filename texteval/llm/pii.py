@@ -172,7 +172,9 @@ def scan(docs: DataFrame, keys: list[str], disclosure: float = DISCLOSURE, remov
         f"case when hits[lower(x['1'])] >= {removal} then '' else '[TERM]' end as mark)"
     )
     spans = places("free", TERM, made, "struct<start: bigint, kind: int, end: bigint, mark: string>", "map_contains_key(hits, lower(x['1']))")
-    added = found.select("row", "free").join(hits, "row").select("row", F.expr(spans).alias("terms"))
+    # few rows have hits, so their numbers go ahead and the other texts stay where they are
+    few = settle(hits.select("row"))
+    added = found.select("row", "free").join(few, "row", "left_semi").join(hits, "row").select("row", F.expr(spans).alias("terms"))
     every = found.drop("free").join(added, "row", "left").withColumn(
         "found",
         F.expr(
