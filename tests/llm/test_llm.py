@@ -363,6 +363,12 @@ def test_op8_base_and_held_out(spark, docs, odd, empty):
     assert lmscore.score(empty, F.lit(True)).count() == 0
 
 
+def test_op8_fitting_texts_are_read_by_all_tasks(spark):
+    read = spark.range(0, 8, 1, 8).select(F.concat(F.lit("w"), F.spark_partition_id()).alias("text"))
+    got = lmscore.one_task(read).withColumn("at", F.spark_partition_id()).collect()
+    assert [r.text for r in got] == [f"w{i}" for i in range(8)] and {r.at for r in got} == {0}
+
+
 def _links(source):
     sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for k, t in source.items()}
     near, least = collections.Counter(), {k: k for k in sets}
