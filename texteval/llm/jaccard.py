@@ -1,8 +1,8 @@
-"""Jaccard join of documents on word n-grams with a MinHash LSH forest.
+"""Jaccard join of documents on word n-grams with MinHash banding.
 
-Every text gets ``trees`` sequences of min-hashes. Documents match in a tree when their sequences
-agree on a prefix; prefixes are shortened from ``deepest`` on until pairs at the threshold
-meet in some tree with the target recall. Documents that share a prefix are then compared on
+Every text gets ``trees`` sequences of min-hashes, each as long as ``prefix_depth`` gives: the longest, up to ``deepest``,
+at which pairs at the threshold meet in some sequence with the target recall. This is banding in place of an LSH forest:
+the length doesn't depend on the data. Documents that share a sequence are then compared on
 their whole n-gram sets. Texts with equal words are one class and are compared once.
 """
 
