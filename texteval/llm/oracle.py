@@ -53,4 +53,47 @@ def _license_blocks() -> str:
     """
 
 
-ORACLE: dict[str, str] = {"op11_license_blocks": _license_blocks()}
+def _variants() -> str:
+    """Words one edit apart by what is left without one code point; checksums by their table of 256 entries."""
+    return """
+    WITH RECURSIVE crc AS (
+        SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS entries
+        FROM range(0, 256) AS r(b)),
+    runs AS (
+        SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) AS run FROM documents)
+        WHERE length(run) >= 6 GROUP BY ALL),
+    bytes AS (SELECT run, n, hex(encode(id || ':' || run)) AS h FROM runs),
+    summed AS (
+        SELECT run, n, xor(4294967295, list_reduce(
+            list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT))),
+            lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))) AS h
+        FROM bytes, crc),
+    words AS MATERIALIZED (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n
+        FROM (SELECT n, CASE WHEN h % 199 = 0
+            THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM summed)
+        WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    cut AS MATERIALIZED (
+        SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM words, unnest(range(1, length(word) + 1)) AS spot(i)),
+    near AS (
+        SELECT a.word, b.word AS near, b.n AS near_n FROM cut AS a JOIN cut AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT c.word, w.word, w.n FROM cut AS c JOIN words AS w ON c.rest = w.word
+        UNION SELECT w.word, c.word, c.n FROM cut AS c JOIN words AS w ON c.rest = w.word),
+    best AS (
+        SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+    led AS MATERIALIZED (
+        SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form,
+            CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+        FROM words LEFT JOIN best USING (word)),
+    way AS (
+        SELECT word, word AS reached FROM led
+        UNION ALL SELECT way.word, led.form FROM way JOIN led ON led.word = way.reached WHERE led.form IS NOT NULL),
+    ends AS (SELECT way.word, reached AS root FROM way JOIN led ON led.word = way.reached WHERE led.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM led JOIN ends USING (word)
+    """
+
+
+ORACLE: dict[str, str] = {"op11_license_blocks": _license_blocks(), "op12_index_variants": _variants()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texteval.llm import embeddings, jaccard, langid, licenses, lmscore, mixing, packing_bfd, packing_nnls, pii, quality, secrets
+from texteval.llm import embeddings, jaccard, langid, licenses, lmscore, mixing, packing_bfd, packing_nnls, pii, quality, secrets, spelling, whitening
 from texteval.llm.oracle import ORACLE as ORACLE
 from texteval.llm.shared import fold
 
@@ -63,11 +63,19 @@ def op11_license_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op12_index_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_filters, op2_best_fit_packing, op3_secret_layers, op4_mix_sources,
         op5_rule_ledger, op6_disclosing_terms, op7_pack_combinations, op8_context_mixing, op9_ngram_jaccard, op10_embedding_duplicates,
-        op11_license_blocks,
+        op11_license_blocks, op12_index_variants, op13_block_whitening,
     )
 }
