@@ -258,6 +258,21 @@ def _ledger(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def test_take_keeps_sources_apart(spark):
+    """One text in two sources: each source gets what its own rows were given, whatever the order of the rows."""
+    rows = [(1, "a b c d " * 3, "en", "A", k) for k in range(20)] + [(1, "a b c d " * 3, "en", "B", k) for k in range(2)]
+    rows += [(2, "x y", None, None, 0), (2, "x y", None, "", 1)]
+    taken = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, SCHEMA)
+        plan = mixing.mix(docs).join(docs.select("doc_id", "source", mixing.row_key().alias("row_key")).distinct(), ["doc_id", "row_key"])
+        want = {r.source: r.n for r in plan.groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+        got = collections.Counter(r.source for r in mixing.take(docs).collect())
+        assert {k: n for k, n in want.items() if n} == dict(got)
+        taken.append(sorted(mixing.take(docs).collect(), key=str))
+    assert taken[0] == taken[1]
+
+
 def test_op5_equals_brute_force(spark, docs, odd, empty):
     for table in (docs, odd):
         got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.measure(table, ["doc_id"]).collect()]

@@ -105,8 +105,8 @@ def _round_cells(most: int):
 
 
 def row_key() -> Column:
-    """A hash that orders the rows of one source and size and finds a row again."""
-    return F.xxhash64("doc_id", "text", F.lit(11))
+    """A hash that orders the rows of one source and size and finds a row again; equal texts of two sources differ in it."""
+    return F.xxhash64("doc_id", "text", F.lit(11), "source", F.col("source").isNull())
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 
     Null text has size 0 and is taken 0 times, as any text without a word; a null source is the
     last source; null and repeated doc_ids are rows like others; an empty table gives none.
-    The order of rows of one (source, size) is a hash of doc_id and text, so reruns agree.
+    The order of rows of one (source, size) is a hash of doc_id, text and source, so reruns agree.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     sizes = settle(docs.select("doc_id", "source", size.alias("size"), row_key().alias("__order")))
@@ -152,7 +152,8 @@ def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_C
     plan = plan.filter(F.element_at("__copies", 1) > 0)
     keyed = docs.withColumn("__row", row_key())
     found = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["__doc"]) & (keyed["__row"] == plan["__key"]))
-    # rows that repeat doc_id and text share the list of copies, one entry each
-    nth = F.row_number().over(Window.partitionBy("__doc", "__key").orderBy(F.lit(0)))
+    # rows that repeat doc_id, text and source share the list of copies, one entry each, by a hash of all columns
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    nth = F.row_number().over(Window.partitionBy("__doc", "__key").orderBy(whole))
     often = found.withColumn("__nth", nth).withColumn("__times", F.get("__copies", F.col("__nth") - 1)).filter("__times > 0")
     return often.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
