@@ -178,3 +178,30 @@ def test_bootstrap_of_small_values_null_groups_and_reruns(spark):
     first, again = (stats.bootstrap_ci(df, ["g"], replicates=500).collect() for _ in range(2))
     assert first == again and first[0].g is None and first[0].n == 40
     assert first[0].ci_low < x.mean() < first[0].ci_high and first[0].ci_width > 1e-11
+
+
+@pytest.mark.parametrize("leaf_values", [500, 4])
+def test_each_replicate_draws_all_rows(spark, monkeypatch, leaf_values):
+    """Multinomial draws: n in each replicate, and the mean and variance that resampling has."""
+    monkeypatch.setattr(stats, "LEAF_VALUES", leaf_values)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.gamma(2, 3, 200), 1)
+    rows = [("a", float(v)) for v in x] + [(None, float(k)) for k in range(12)] + [("one", 2.5)] * 30 + [("few", 1.0)] * 9
+    df = spark.createDataFrame(rows, "g string, value double")
+    got = stats.bootstrap_sums(df, ["g"], replicates=2000).toPandas()
+    assert set(got["g"]) == {"a", None, "one"} and len(got) == 6000
+    assert (got["drawn"] == got["n"]).all()
+    assert (got[got["g"] == "one"]["total"] == 75).all()
+    means = got[got["g"] == "a"]["total"] / 200
+    assert means.mean() == pytest.approx(x.mean(), abs=4 * x.std() / (200 * 2000) ** 0.5)
+    assert means.var() == pytest.approx(x.var() / 200, rel=0.15)
+    null = got[got["g"].isna()]["total"] / 12
+    assert null.var() == pytest.approx(np.arange(12).var() / 12, rel=0.15)
+
+
+def test_split_draws_share_everything():
+    draws = np.array([0, 1, 7, 100_000])
+    counts = np.array([3, 1, 1, 10, 5])
+    parts = list(stats._split_draws(draws, counts, -5, 9))
+    assert len(parts) == 5 and (sum(parts) == draws).all()
+    assert parts[3][3] / 100_000 == pytest.approx(0.5, abs=0.01)

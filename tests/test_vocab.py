@@ -1,8 +1,13 @@
+import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from texteval.operators import vocab
+from texteval.session import checkpoint_dir
 
 TEXTS = ["low lower lowest newer newest wider new low low", "a.b (x) $1 \\E [q] a.b a.b", "aaaa aaa aa été été"]
 
@@ -41,8 +46,9 @@ def corpus(spark):
 def test_learns_the_rules_one_by_one_would(corpus):
     want, _ = plain_bpe(TEXTS, 18)
     assert vocab.learn_bpe(corpus, ["text"], 18, coverage=1.0) == want
-    # a short look-ahead must not change the result
-    assert vocab.learn_bpe(corpus, ["text"], 8, coverage=1.0, look_ahead=3) == want[:8]
+    # short runs, and a head of few words whose proposals are often wrong, must not change the result
+    assert vocab.learn_bpe(corpus, ["text"], 8, coverage=1.0, ahead=3) == want[:8]
+    assert vocab.learn_bpe(corpus, ["text"], 12, coverage=1.0, head_words=2) == want[:12]
 
 
 def test_a_doubled_symbol_ends_the_batch(spark):
@@ -52,6 +58,77 @@ def test_a_doubled_symbol_ends_the_batch(spark):
     assert got == want
 
 
+def prose(seed, words=400, letters="abcde"):
+    rng = random.Random(seed)
+    known = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(60)]
+    return [" ".join(rng.choices(known, weights=range(60, 0, -1), k=20)) for _ in range(words // 20)]
+
+
+@pytest.mark.parametrize("seed,head,ahead", [(0, 10_000, 4096), (1, 25, 40), (2, 8, 7)])
+def test_random_words_with_many_ties(spark, seed, head, ahead):
+    """Few letters and counts: equal counts, doubled symbols and pairs that come back."""
+    texts = prose(seed, letters="ab" if seed == 0 else "abcde")
+    want, _ = plain_bpe(texts, 60)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert vocab.learn_bpe(df, ["text"], 60, 1.0, head, ahead) == want
+
+
+def test_turns_find_the_first_better_pair():
+    rng = random.Random(5)
+    run = [(rng.choice("abcd"), rng.choice("abcd")) for _ in range(37)]
+    counts = [rng.randint(1, 6) for _ in run]
+    turns = vocab._Turns(run, counts)
+    for _ in range(400):
+        pair, cnt, start = (rng.choice("abcde"), rng.choice("abcd")), rng.randint(1, 7), rng.randrange(37)
+        end = rng.randint(start, 37)
+        want = next((t for t in range(start, end) if (-cnt, *pair) < (-counts[t], *run[t])), None)
+        assert turns.first_lost(pair, cnt, start, end) == want
+
+
+def test_vocabulary_of_a_size(spark, tmp_path):
+    texts = prose(3)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rules, alphabet = vocab.learn_vocabulary(df, ["text"], 50, 1.0)
+    ids = vocab.vocabulary(rules, alphabet)
+    assert len(ids) == 50 and sorted(ids.values()) == list(range(50)) and set(alphabet) == set("abcde▁")
+    want, _ = plain_bpe(texts, len(rules))
+    assert rules == want
+    # too small for a merge, and too few pairs for the size
+    assert vocab.learn_vocabulary(df, ["text"], 11, 1.0)[0] == []
+    small = spark.createDataFrame([("ab ab",), (None,)], "text string")
+    assert vocab.learn_vocabulary(small, ["text"], 100, 1.0) == ([("a", "b"), ("▁", "ab")], ["a", "b", "▁"])
+    none = spark.createDataFrame([], "text string")
+    assert vocab.learn_bpe(none, ["text"], 5) == [] and vocab.learn_vocabulary(none, ["text"], 50) == ([], [])
+
+
+def test_no_word_table_is_left(spark, corpus):
+    root = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(root.glob("texteval-*"))
+    vocab.learn_bpe(corpus, ["text"], 9, coverage=1.0, head_words=2)
+    assert set(root.glob("texteval-*")) == before
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abé▁", max_size=30), st.lists(st.tuples(st.sampled_from(["a", "b", "ab", "é", "aa"]), st.sampled_from(["a", "b", "é", "ab"])), max_size=12))
+def test_queue_equals_scan(word, rules):
+    """The linked list with a queue against scanning for the earliest rule again and again."""
+    rank = {p: i for i, p in reversed(list(enumerate(rules)))}
+    parts = list(word)
+    while len(parts) > 1:
+        best = min(zip(parts, parts[1:]), key=lambda p: rank.get(p, 99))
+        if best not in rank:
+            break
+        parts = vocab._joined(parts, best)
+    assert vocab.split_word(word, rank) == parts
+
+
+def test_ids_and_the_unknown_piece(spark):
+    df = spark.createDataFrame([("ab ab ☃☃a", 1), (None, 2), ("", 3)], "text string, n long")
+    got = {r.n: r.ids for r in vocab.encode_ids(df, "text", [("a", "b"), ("▁", "ab")], ["▁", "a", "b"]).collect()}
+    ids = vocab.vocabulary([("a", "b"), ("▁", "ab")], ["▁", "a", "b"])
+    assert got == {1: [ids["▁ab"], ids["▁ab"], ids["▁"], ids["<unk>"], ids["a"]], 2: [], 3: []}
+
+
 def test_encoding_applies_the_rules(corpus):
     rules, spelt = plain_bpe(TEXTS, 14)
     for r in vocab.encode_bpe(corpus, "text", rules).collect():

@@ -73,7 +73,7 @@ def compact_results(df: DataFrame, items: DataFrame, run: list[str] | None = Non
 def apply_repairs(results: DataFrame, repairs: DataFrame, key: list[str]) -> DataFrame:
     """Repaired text and time replace those of the failed row with the same key."""
     fixed = repairs.select(*key, F.col("generated").alias("__text"), F.col("seconds").alias("__seconds"))
-    joined = results.join(fixed, key, "left")
+    joined = null_safe_join(results, fixed, key, "left")
     use = is_error(F.col("generated")) & F.col("__text").isNotNull()
     return joined.withColumns(
         {
@@ -117,7 +117,7 @@ def model_pairs(paired: DataFrame, cell: list[str], item: str = "item_id") -> Da
 def ci_overlaps(cis: DataFrame, cell: list[str]) -> DataFrame:
     """Model pairs of a cell whose intervals overlap; ``cis`` has one row per model."""
     a, b = cis.alias("a"), cis.alias("b")
-    same_cell = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in cell]
+    same_cell = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cell]
     meet = [
         F.col("a.ord") < F.col("b.ord"),
         F.col("a.ci_low") <= F.col("b.ci_high"),
@@ -138,9 +138,13 @@ def union_splits(*dfs: DataFrame) -> DataFrame:
 def dedupe_prefix(df: DataFrame, col: str, order: str, n: int | None = None) -> DataFrame:
     """The first row for each text; with ``n``, for each ``n``-character beginning.
 
-    The winner of a prefix is found by a map-side ``min`` over (digest, order),
-    so a very common prefix costs one partial row per task.
+    Rows without an order come last; rows that tie in it are told apart by the text, then by a hash of the other columns. One row
+    stays for each text, null being one. The winner is a map-side minimum, so a very common
+    beginning costs one partial row per task.
     """
-    keyed = df.withColumn("__prefix", F.md5((F.col(col) if n is None else F.substring(col, 1, n)).cast("binary")))
-    winners = keyed.groupBy("__prefix").agg(F.min(order).alias(order)).select(order)
-    return df.join(winners, order, "left_semi")
+    prefix = F.md5((F.col(col) if n is None else F.substring(col, 1, n)).cast("binary"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    place = F.struct(F.col(order).isNull().alias("a"), F.col(order).alias("b"), F.col(col).alias("c"), F.xxhash64(*hashed).alias("d"))
+    first = df.groupBy(prefix.alias("__prefix")).agg(F.min_by(F.struct(*columns), place).alias("__row"))
+    return first.select("__row.*")

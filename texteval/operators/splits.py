@@ -116,4 +116,4 @@ def paired_subsample(
 ) -> DataFrame:
     """At most ``n`` items per cell, the same ones for every model."""
     items = paired.select(*cell, item).distinct()
-    return paired.join(first_in_random_order(items, n, seed, item, cell), [*cell, item], "left_semi")
+    return null_safe_join(paired, first_in_random_order(items, n, seed, item, cell), [*cell, item], "left_semi")

@@ -30,6 +30,8 @@ BOOTSTRAP_REPLICATES = 10_000
 SEED = 42
 #: Groups whose replicates a task holds at once.
 HELD_GROUPS = 256
+#: Distinct values that one leaf of the resampling tree has on average.
+LEAF_VALUES = 500
 
 
 def friedman(
@@ -143,7 +145,7 @@ def wilcoxon_r(pairs: DataFrame, cell: list[str], ties: bool = True, digits: int
     z = F.abs(F.least("w_up", "w_down") - mu) / sigma
     usable = (F.col("n") >= MIN_ROWS) & (F.col("m") >= (1 if ties else 2)) & (sigma > 0)
     r = F.when(usable, F.least(z / F.sqrt(F.col("n").cast("double")), F.lit(1.0))).otherwise(F.lit(0.0))
-    return rows.join(sums, keys, "left").select(
+    return null_safe_join(rows, sums, keys, "left").select(
         *keys, "n", "mean_diff", F.coalesce(m.cast("long"), F.lit(0)).alias("n_nonzero"), steady_round(r, 6).alias("r")
     ).withColumn("effect", effect_class(F.col("r")))
 
@@ -153,7 +155,7 @@ def posthoc(paired: DataFrame, cell: list[str], alpha: float = ALPHA, item: str
     keys = [*cell, "model_a", "model_b"]
     ranks = nemenyi(paired, cell, item).select(*keys, "q", "p_adj")
     sizes = wilcoxon_r(model_pairs(paired, cell, item), cell)
-    return sizes.join(ranks, keys).select(
+    return null_safe_join(sizes, ranks, keys).select(
         *keys, "n", "mean_diff", "q", "p_adj",
         (F.col("p_adj") < alpha).alias("significant"),
         "r", "effect", p_stars(F.col("p_adj")).alias("stars"),
@@ -172,7 +174,7 @@ def cd_groups(ranks: DataFrame, pairs: DataFrame, cell: list[str], alpha: float
     a = placed.withColumnsRenamed({"model": "model_a", "place": "pa"})
     b = placed.withColumnsRenamed({"model": "model_b", "place": "pb"})
     spans = (
-        pairs.filter(F.col(p) >= alpha).join(a, [*cell, "model_a"]).join(b, [*cell, "model_b"])
+        null_safe_join(null_safe_join(pairs.filter(F.col(p) >= alpha), a, [*cell, "model_a"]), b, [*cell, "model_b"])
         .select(*cell, F.least("pa", "pb").alias("first"), F.greatest("pa", "pb").alias("last"))
     )
     reach = spans.groupBy(*cell, "first").agg(F.max("last").alias("last"))
@@ -182,7 +184,7 @@ def cd_groups(ranks: DataFrame, pairs: DataFrame, cell: list[str], alpha: float
         .filter(F.col("last") > F.col("__covered"))
         .drop("__covered")
     )
-    members = longest.join(placed, cell).filter(F.col("place").between(F.col("first"), F.col("last")))
+    members = null_safe_join(longest, placed, cell).filter(F.col("place").between(F.col("first"), F.col("last")))
     return members.groupBy(*cell, "first", "last").agg(
         F.count(F.lit(1)).alias("size"),
         F.array_join(
@@ -191,55 +193,112 @@ def cd_groups(ranks: DataFrame, pairs: DataFrame, cell: list[str], alpha: float
     ).select(*cell, F.col("first").cast("long"), F.col("last").cast("long"), "size", "models")
 
 
-def bootstrap_ci(
-    long: DataFrame,
-    keys: list[str],
-    replicates: int = BOOTSTRAP_REPLICATES,
-    alpha: float = ALPHA,
-    seed: int = SEED,
-) -> DataFrame:
-    """Percentile interval of the mean per group; groups below ten rows are skipped.
+def _split_draws(draws: np.ndarray, counts: np.ndarray, group: int, node: int, place: int = 1) -> Iterator[np.ndarray]:
+    """Draws of each count, in order: halves of the counts share what their node got, by a binomial draw."""
+    if len(counts) == 1:
+        yield draws
+        return
+    half = len(counts) // 2
+    left = _left_draws(draws, int(counts[:half].sum()), int(counts.sum()), group, node, place)
+    yield from _split_draws(left, counts[:half], group, node, 2 * place)
+    yield from _split_draws(draws - left, counts[half:], group, node, 2 * place + 1)
+
 
-    Resampling n rows gives each row a Poisson(1) weight, so a value that occurs
-    c times gets a Poisson(c) weight: replicates are drawn per distinct value,
-    not per row. A counter-based generator keyed by (seed, group, value) makes the
-    draws, so a lost task makes the same ones again. A task adds up its draws, and
-    hands over one sum per group and replicate.
+def _left_draws(draws: np.ndarray, left: int, both: int, group: int, node: int, place: int = 0) -> np.ndarray:
+    """The part of the draws that goes left, from a generator that only the group and the place in the tree choose."""
+    key = np.array([group & (2**64 - 1), (node << 24) + place & (2**64 - 1)], dtype=np.uint64)
+    return np.random.Generator(np.random.Philox(key=key)).binomial(draws, left / both)
+
+
+def bootstrap_sums(long: DataFrame, keys: list[str], replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED) -> DataFrame:
+    """(keys..., n, replicate, drawn, total): rows drawn and their sum in each replicate of each group of ten rows or more.
+
+    A replicate draws exactly n rows, so the draws of the distinct values are multinomial. They are made in a tree:
+    values are dealt to leaves of about ``LEAF_VALUES`` by a hash, and each node shares its draws between its
+    halves by a binomial draw. A leaf finds its own draws on its way down from the root, with the same numbers as
+    its neighbours, so no group is in one task, and a lost task draws the same again. A task adds up its draws,
+    and hands over one sum per group and replicate.
     """
     counts = value_counts(long, keys)
-    size = counts.groupBy(*keys).agg(
-        F.sum("cnt").alias("n"), (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean")
-    ).filter(F.col("n") >= MIN_ROWS)
-    used = null_safe_join(counts, size.select(*keys), keys, "left_semi").select(
-        F.struct(*keys).alias("group"), F.xxhash64(F.lit(seed), *keys, "value").alias("key"), "value", "cnt"
+    size = counts.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("__values"))
+    leaves = F.greatest(F.ceil(F.log2(F.col("__values") / F.lit(float(LEAF_VALUES)))), F.lit(0)).cast("int")
+    size = size.filter(F.col("n") >= MIN_ROWS).withColumn("__depth", leaves).drop("__values")
+    dealt = null_safe_join(counts, size, keys).withColumn(
+        "__leaf", F.expr(f"pmod(xxhash64(value, {int(seed)}), shiftleft(1L, __depth))")
+    )
+    leaf = dealt.groupBy(*keys, "n", "__depth", "__leaf").agg(
+        F.array_sort(F.collect_list(F.struct("value", "cnt"))).alias("values"), F.sum("cnt").alias("__cnt")
+    )
+    # nodes by level, the root's being 0; a leaf needs the counts of the nodes it passes and of their left halves
+    level = F.explode(F.sequence(F.lit(0), F.col("__depth"))).alias("__level")
+    ways = leaf.select(*keys, "n", "__depth", "__leaf", "__cnt", level)
+    node = F.expr("shiftright(__leaf, __depth - __level)")  # leaves are numbered from the left
+    nodes = ways.groupBy(*keys, "__level", node.alias("__node")).agg(F.sum("__cnt").alias("__both"))
+    halves = nodes.select(
+        *keys, (F.col("__level") - 1).alias("__level"), F.shiftright("__node", 1).alias("__node"),
+        F.when(F.col("__node") % 2 == 0, F.col("__both")).otherwise(0).alias("__left"),
+    ).groupBy(*keys, "__level", "__node").agg(F.sum("__left").alias("__left"))
+    passed = null_safe_join(nodes, halves, [*keys, "__level", "__node"])
+    steps = null_safe_join(
+        ways.filter("__level < __depth").withColumn("__node", node), passed, [*keys, "__level", "__node"]
+    )
+    path = steps.groupBy(*keys, "__leaf").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("__level").alias("level"), F.col("__node").alias("node"), F.col("__left").alias("left"), F.col("__both").alias("both"),
+        F.expr("shiftright(__leaf, __depth - __level - 1) % 2 = 1").alias("right"),
+    ))).alias("path"))
+    rows = null_safe_join(leaf, path, [*keys, "__leaf"], "left").select(
+        F.struct(*keys).alias("group"), F.xxhash64(F.lit(seed), *keys).alias("key"), "n", F.col("__depth").alias("depth"),
+        F.col("__leaf").alias("leaf"), F.coalesce("path", F.array().cast(path.schema["path"].dataType)).alias("path"), "values",
     )
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, sums = None, {}
 
         def handed_over() -> pa.RecordBatch:
-            groups = pa.array([dict(zip(keys, g)) for g in sums], kind)
-            weights, weighted = (pa.array([list(s[k]) for s in sums.values()], pa.list_(pa.float64())) for k in (0, 1))
+            groups = pa.array([dict(zip([*keys, "n"], g)) for g in sums], kind)
+            drawn, total = (pa.array([list(s[k]) for s in sums.values()], pa.list_(pa.float64())) for k in (0, 1))
             sums.clear()
-            return pa.RecordBatch.from_arrays([groups, weights, weighted], ["group", "sw", "swx"])
+            return pa.RecordBatch.from_arrays([groups, drawn, total], ["group", "drawn", "total"])
 
         for batch in batches:
-            kind = batch.schema.field("group").type
-            for group, key, value, cnt in zip(*(column.to_pylist() for column in batch.columns)):
-                weights = np.random.Generator(np.random.Philox(key=key & (2**64 - 1))).poisson(cnt, replicates)
-                total = sums.setdefault(tuple(group.values()), np.zeros((2, replicates)))
-                total[0] += weights
-                total[1] += weights * value
+            group_type = batch.schema.field("group").type
+            kind = pa.struct([*(group_type.field(i) for i in range(group_type.num_fields)), pa.field("n", pa.int64())])
+            for group, key, n, depth, leaf, path, values in zip(*(column.to_pylist() for column in batch.columns)):
+                draws = np.full(replicates, n, dtype=np.int64)
+                for step in path:
+                    left = _left_draws(draws, step["left"], step["both"], key, (1 << step["level"]) + step["node"])
+                    draws = draws - left if step["right"] else left
+                added = sums.setdefault((*group.values(), n), np.zeros((2, replicates)))
+                x, cnt = (np.array([v[c] for v in values]) for c in ("value", "cnt"))
+                for value, weights in zip(x, _split_draws(draws, cnt, key, (1 << depth) + leaf)):
+                    added[0] += weights
+                    added[1] += weights * value
                 if len(sums) >= HELD_GROUPS:
                     yield handed_over()
         if sums:
             yield handed_over()
 
-    kind = used.schema["group"].dataType.simpleString()
-    parts = used.mapInArrow(draw, f"`group` {kind}, sw array<double>, swx array<double>")
-    sums = parts.select("group", F.posexplode(F.arrays_zip("sw", "swx")).alias("replicate", "s"))
-    means = sums.groupBy("group", "replicate").agg(F.sum("s.sw").alias("sw"), F.sum("s.swx").alias("swx"))
-    means = means.filter(F.col("sw") > 0).select("group.*", (F.col("swx") / F.col("sw")).alias("value"))
+    kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema["group"].dataType.fields)
+    parts = rows.mapInArrow(draw, f"`group` struct<{kind}, n: bigint>, drawn array<double>, total array<double>")
+    sums = parts.select("group", F.posexplode(F.arrays_zip("drawn", "total")).alias("replicate", "s"))
+    return sums.groupBy("group", "replicate").agg(
+        F.sum("s.drawn").cast("long").alias("drawn"), F.sum("s.total").alias("total")
+    ).select("group.*", "replicate", "drawn", "total")
+
+
+def bootstrap_ci(
+    long: DataFrame,
+    keys: list[str],
+    replicates: int = BOOTSTRAP_REPLICATES,
+    alpha: float = ALPHA,
+    seed: int = SEED,
+) -> DataFrame:
+    """Percentile interval of the mean per group, by ``bootstrap_sums``; groups below ten rows are skipped."""
+    counts = value_counts(long, keys)
+    size = counts.groupBy(*keys).agg(
+        F.sum("cnt").alias("n"), (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean")
+    ).filter(F.col("n") >= MIN_ROWS)
+    means = bootstrap_sums(long, keys, replicates, seed).select(*keys, (F.col("total") / F.col("n")).alias("value"))
     # at most one row per replicate, a fixed number
     bounds = means.groupBy(*keys).agg(
         F.percentile("value", F.lit(alpha / 2)).alias("ci_low"),

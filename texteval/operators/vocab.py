@@ -1,18 +1,30 @@
 """Byte-pair vocabularies learned from a corpus.
 
-The corpus is read once, into counts of distinct words. Every later step works
-on that table: pair counts are summed map side and only the leading pairs come
-to the driver.
+The corpus is read once, into counts of distinct words. Merging is one long chain of decisions, each by the counts of
+all words, so a Spark job for each merge would be thousands of jobs. Instead a round proposes a long
+run of merges from the most frequent words, a bounded head of the table, and checks all of it at once: every task
+replays the run on its words and hands over how each merge changes each pair's count; a pair
+that was ahead of a proposed one at its turn ends the run there. What is accepted is what one-by-one merging
+gives, whatever the head's size; a larger head makes fewer rounds.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from texteval.functions.text import tokens
-from texteval.session import cut_lineage
+from texteval.session import delete_stored, stored
+
+Pair = tuple[str, str]
 
 # The word-start mark, reserved pieces in id order, and coverage.
 WORD_START = "▁"
@@ -20,6 +32,13 @@ RESERVED = ["<pad>", "<s>", "</s>", "<unk>", "<SEP>"]
 UNKNOWN = "<unk>"
 COVERAGE = 0.9995
 
+#: Words of the head and exact pair counts that come to the driver, and merges proposed in one round.
+HEAD_WORDS = 200_000
+LEADING_PAIRS = 20_000
+AHEAD = 4_096
+#: Changed counts that a task holds at once.
+HELD_CHANGES = 200_000
+
 
 def word_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(word, cnt) over several text columns; words carry a start mark."""
@@ -79,101 +98,347 @@ def pair_counts(spelt: DataFrame) -> DataFrame:
     )
 
 
-def _independent(top: list, want: int) -> list[tuple[str, str]]:
-    """The leading pairs that can be merged together with the result of one by one.
+def _joined(symbols: list[str], pair: Pair) -> list[str]:
+    """Each occurrence of the pair as one symbol, from the left."""
+    out, i = [], 0
+    while i < len(symbols):
+        if symbols[i : i + 2] == list(pair):
+            out.append(symbols[i] + symbols[i + 1])
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
+
+
+def _pairs(symbols: list[str]) -> Iterator[Pair]:
+    return (p for p in zip(symbols, symbols[1:]) if UNKNOWN not in p)
+
+
+class _Head:
+    """Merging on the head of the word table: pair counts, the words of each pair, and a queue of pairs."""
+
+    def __init__(self, words: list[tuple[list[str], int]], exact: dict[Pair, int]):
+        self.words = words
+        self.count: Counter[Pair] = Counter()
+        self.holders: dict[Pair, set[int]] = defaultdict(set)
+        for at, (symbols, cnt) in enumerate(words):
+            for pair in _pairs(symbols):
+                self.count[pair] += cnt
+                self.holders[pair].add(at)
+        # what the words outside the head add to the leading pairs now
+        for pair, cnt in exact.items():
+            self.count[pair] = cnt
+        self.queue = [(-cnt, *pair) for pair, cnt in self.count.items()]
+        heapq.heapify(self.queue)
+
+    def best(self) -> Pair | None:
+        """The most frequent pair, of equal ones the smallest; entries of the queue that no longer hold are skipped."""
+        while self.queue:
+            cnt, *pair = heapq.heappop(self.queue)
+            if cnt < 0 and self.count[tuple(pair)] == -cnt:
+                return tuple(pair)
+        return None
+
+    def merge(self, pair: Pair) -> None:
+        """Touches only the words that hold the pair."""
+        changed = {pair}
+        for at in self.holders.pop(pair, ()):
+            symbols, cnt = self.words[at]
+            merged = _joined(symbols, pair)
+            if len(merged) == len(symbols):
+                continue
+            for old in _pairs(symbols):
+                self.count[old] -= cnt
+                changed.add(old)
+            for new in _pairs(merged):
+                self.count[new] += cnt
+                self.holders[new].add(at)
+                changed.add(new)
+            self.words[at] = merged, cnt
+        self.count[pair] = 0
+        for p in changed:
+            if self.count[p] > 0:
+                heapq.heappush(self.queue, (-self.count[p], *p))
+
+    def propose(self, merges: int) -> list[Pair]:
+        run: list[Pair] = []
+        while len(run) < merges and (pair := self.best()) is not None:
+            run.append(pair)
+            self.merge(pair)
+        return run
+
+
+def _steps(run: list[Pair]) -> dict[Pair, list[int]]:
+    steps: dict[Pair, list[int]] = {}
+    for step, pair in enumerate(run):
+        steps.setdefault(tuple(pair), []).append(step)
+    return steps
+
+
+def _replayed(symbols: list[str], steps: dict[Pair, list[int]]) -> Iterator[tuple[int, list[str]]]:
+    """The word after each merge of the run that changes it, with the merge's number."""
+    done = -1
+    while True:
+        following = [(s, p) for p in zip(symbols, symbols[1:]) for s in steps.get(p, ()) if s > done]
+        if not following:
+            return
+        done, pair = min(following)
+        symbols = _joined(symbols, pair)
+        yield done, symbols
+
+
+def _changes(table: DataFrame, run: list[Pair]) -> DataFrame:
+    """(a, b, step, change): by how much each merge of the run changes each pair's count; step -1 is the count before it."""
+    sent = table.sparkSession.sparkContext.broadcast(run)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, held = _steps(sent.value), Counter()
+
+        def handed_over() -> pa.RecordBatch:
+            keys, change = list(held), list(held.values())
+            held.clear()
+            a, b, step = ([k[i] for k in keys] for i in range(3))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(step, pa.int32()), pa.array(change, pa.int64())],
+                ["a", "b", "step", "change"],
+            )
+
+        for batch in batches:
+            for symbols, cnt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for a, b in _pairs(symbols):
+                    held[a, b, -1] += cnt
+                for step, merged in _replayed(symbols, steps):
+                    for a, b in _pairs(symbols):
+                        held[a, b, step] -= cnt
+                    for a, b in _pairs(merged):
+                        held[a, b, step] += cnt
+                    symbols = merged
+                if len(held) > HELD_CHANGES:
+                    yield handed_over()
+        if held:
+            yield handed_over()
+
+    found = table.select("symbols", "cnt").mapInArrow(replay, "a string, b string, step int, change long")
+    return found.groupBy("a", "b", "step").agg(F.sum("change").alias("change")).filter("change <> 0")
+
+
+class _Turns:
+    """The proposed pairs with their exact counts at their turns, to be asked which turn another pair would have taken."""
+
+    def __init__(self, run: list[Pair], counts: list[int]):
+        self.pairs = sorted(set(run))
+        self.wide = 2 * len(self.pairs) + 3
+        key = np.array([c * self.wide - self._place(p) for p, c in zip(run, counts)], dtype=np.int64)
+        self.least = [key]  # least[k][t]: smallest of 2**k turns from t on
+        while len(self.least[-1]) > 1 << (len(self.least) - 1):
+            half = 1 << (len(self.least) - 1)
+            self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
+
+    def _place(self, pair: Pair) -> int:
+        at = bisect_left(self.pairs, pair)
+        return 2 * at + (at < len(self.pairs) and self.pairs[at] == pair)
+
+    def first_lost(self, pair: Pair, count: int, start: int, end: int) -> int | None:
+        """The first turn from ``start`` to before ``end`` at which the pair with that count comes before the proposed one."""
+        mine, t = count * self.wide - self._place(pair), start
+        for k in range(len(self.least) - 1, -1, -1):
+            while t + (1 << k) <= len(self.least[0]) and self.least[k][t] >= mine:
+                t += 1 << k
+        return t if t < end else None
 
-    A merge only changes counts of pairs that share a symbol with it, and a new
-    pair is never more frequent than such a pair was. So leading pairs without a
-    common symbol are safe as long as they beat the first that has one. ``top``
-    may have been cut off; then its last count stands for all that follow.
-    """
-    bound, used, free = top[-1]["cnt"], set(), []
-    for row in top:
-        if {row["a"], row["b"]} & used:
-            bound = row["cnt"]
-            break
-        used |= {row["a"], row["b"]}
-        free.append(row)
-        if row["a"] == row["b"]:  # its result can pair with itself, as often as half of it
-            bound = row["cnt"]
-            break
-    safe = [r for r in free if r["cnt"] > bound] or free[:1]
-    return [(r["a"], r["b"]) for r in safe[:want]]
+
+def _agreed(table: DataFrame, run: list[Pair]) -> int:
+    """How many merges of the run are those that merging one by one would choose."""
+    spark = table.sparkSession
+    changes = stored(_changes(table, run))
+    turns = spark.createDataFrame([(t, *p) for t, p in enumerate(run)], "turn int, a string, b string")
+    at_turn = (
+        changes.join(F.broadcast(turns), ["a", "b"]).filter(F.col("step") < F.col("turn"))
+        .groupBy("turn").agg(F.sum("change").alias("cnt"))
+    )
+    known = {r.turn: r.cnt for r in at_turn.collect()}
+    counts = [known.get(t, 0) for t in range(len(run))]
+    if 0 in counts:
+        run, counts = run[: counts.index(0)], counts[: counts.index(0)]
+    least, n, sent = min(counts, default=0), len(run), spark.sparkContext.broadcast((run, counts))
+    by_step = Window.partitionBy("a", "b").orderBy("step")
+    holding = changes.select(
+        "a", "b", F.sum("change").over(by_step).alias("cnt"), (F.col("step") + 1).alias("start"),
+        (F.coalesce(F.lead("step").over(by_step), F.lit(n - 1)) + 1).alias("end"),
+    ).filter((F.col("cnt") >= least) & (F.col("start") < n))
+
+    def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, first = _Turns(*sent.value), []
+        for batch in batches:
+            for a, b, cnt, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+                turn = asked.first_lost((a, b), cnt, start, min(end, n))
+                if turn is not None:
+                    first = [min([turn, *first])]
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32())], ["turn"])
+
+    turn = holding.mapInArrow(lost, "turn int").agg(F.min("turn")).first()[0] if n else None
+    delete_stored(changes)
+    return n if turn is None else turn
+
+
+def _after(table: DataFrame, run: list[Pair]) -> DataFrame:
+    """The word table with the run's merges done."""
+    sent = table.sparkSession.sparkContext.broadcast(run)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = _steps(sent.value)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            for at, symbols in enumerate(words):
+                for _, words[at] in _replayed(symbols, steps):
+                    pass
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], ["symbols", "cnt"])
+
+    return table.mapInArrow(merge, "symbols array<string>, cnt long")
 
 
-def _merged(symbols: Column, pair: tuple[str, str]) -> Column:
-    a, b = (_quoted(x) for x in pair)
-    joined = (pair[0] + pair[1]).replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(symbols, f"(?<= ){a} {b}(?= )", joined)
+def _rounds(table: DataFrame, head_words: int, ahead: int) -> Iterator[list[Pair]]:
+    """Runs of accepted merges of the stored word table, until no pair is left; the last tables are deleted."""
+    try:
+        while True:
+            words = table.orderBy(F.desc("cnt"), "symbols").limit(head_words).collect()
+            spelt = table.select(F.concat(F.lit(" "), F.array_join("symbols", " "), F.lit(" ")).alias("symbols"), "cnt")
+            leading = pair_counts(spelt).orderBy(F.desc("cnt"), "a", "b").limit(LEADING_PAIRS).collect()
+            if not leading:
+                return
+            head = _Head([(list(r.symbols), r.cnt) for r in words], {(r.a, r.b): r.cnt for r in leading})
+            run = head.propose(ahead)
+            run = run[: _agreed(table, run)]
+            yield run
+            following = stored(_after(table, run))
+            delete_stored(table)
+            table = following
+    finally:
+        delete_stored(table)
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+def _word_table(words: DataFrame, alphabet: list[str]) -> DataFrame:
+    return stored(spelled(words, alphabet).select(F.split(F.trim("symbols"), " ").alias("symbols"), "cnt"))
 
 
 def learn_bpe(
-    df: DataFrame, cols: list[str], merges: int, coverage: float = COVERAGE, look_ahead: int = 64
-) -> list[tuple[str, str]]:
+    df: DataFrame, cols: list[str], merges: int, coverage: float = COVERAGE,
+    head_words: int = HEAD_WORDS, ahead: int = AHEAD,
+) -> list[Pair]:
     """Merge rules in order, learned from the rows of ``df`` (pass the train split only).
 
-    The most frequent pair is merged first; ties go to the smaller pair. The word
-    table is checkpointed after each batch of merges.
+    The most frequent pair is merged first; ties go to the smaller pair. Null texts have no words; an empty table has no
+    rules. ``head_words`` and ``ahead`` change the number of rounds, not the rules.
     """
     words = word_counts(df, cols)
-    alphabet = [r["ch"] for r in kept_characters(words, coverage).collect()]
-    table = cut_lineage(spelled(words, alphabet).select("symbols", "cnt"))
-    rules: list[tuple[str, str]] = []
-    while len(rules) < merges:
-        top = pair_counts(table).orderBy(F.desc("cnt"), "a", "b").limit(look_ahead).collect()
-        if not top:
+    rules: list[Pair] = []
+    for run in _rounds(_word_table(words, _alphabet(words, coverage)), head_words, min(ahead, merges)):
+        rules += run
+        if len(rules) >= merges:
             break
-        batch = _independent(top, merges - len(rules))
-        symbols = F.col("symbols")
-        for pair in batch:
-            symbols = _merged(symbols, pair)
-        table = cut_lineage(table.withColumn("symbols", symbols))
-        rules += batch
-    return rules
+    return rules[:merges]
 
 
-def vocabulary(rules: list[tuple[str, str]], alphabet: list[str]) -> dict[str, int]:
+def _alphabet(words: DataFrame, coverage: float) -> list[str]:
+    return [r["ch"] for r in kept_characters(words, coverage).collect()]
+
+
+def learn_vocabulary(
+    df: DataFrame, cols: list[str], size: int, coverage: float = COVERAGE,
+    head_words: int = HEAD_WORDS, ahead: int = AHEAD,
+) -> tuple[list[Pair], list[str]]:
+    """(rules, alphabet) of a vocabulary of ``size`` pieces: reserved ones, merged ones, single characters.
+
+    Two pairs may give one piece; it counts once. A corpus with too few pairs gives a smaller vocabulary.
+    """
+    words = word_counts(df, cols)
+    alphabet = _alphabet(words, coverage)
+    wanted, rules, pieces = size - len(RESERVED) - len(alphabet), [], set()
+    if wanted <= 0:
+        return [], alphabet
+    for run in _rounds(_word_table(words, alphabet), head_words, min(ahead, wanted)):
+        for a, b in run:
+            if len(pieces) < wanted:
+                rules.append((a, b))
+                pieces.add(a + b)
+        if len(pieces) >= wanted:
+            break
+    return rules, alphabet
+
+
+def vocabulary(rules: list[Pair], alphabet: list[str]) -> dict[str, int]:
     """Piece to id: reserved pieces, merged pieces in order, then single characters."""
     pieces = [*RESERVED, *dict.fromkeys(a + b for a, b in rules), *sorted(alphabet)]
     return {piece: i for i, piece in enumerate(dict.fromkeys(pieces))}
 
 
-def encode_bpe(df: DataFrame, col: str, rules: list[tuple[str, str]], name: str = "pieces") -> DataFrame:
-    """Apply the rules to each word of a text column. The rules are as many as the merges learned."""
-    rank = {pair: i for i, pair in enumerate(rules)}
-
-    def split_word(word: str) -> list[str]:
-        parts = list(word)
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: rank.get(p, len(rank)))
-            if best not in rank:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if tuple(parts[i : i + 2]) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
-    @F.pandas_udf("array<string>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        seen: dict[str, list[str]] = {}
-        out = []
-        for words in texts:
-            row: list[str] = []
-            for word in words:
-                if word not in seen:
-                    seen[word] = split_word(WORD_START + word)
-                row += seen[word]
-            out.append(row)
-        return pd.Series(out)
-
-    return df.withColumn(name, pieces(tokens(F.col(col), "whitespace")))
+def split_word(word: str, rank: dict[Pair, int]) -> list[str]:
+    """Pieces of a word: the earliest rule that fits is applied first, from the left.
+
+    Symbols form a linked list; a queue holds the neighbours that a rule joins, so a word of n characters takes
+    n log n steps. Entries whose symbols have changed since are skipped.
+    """
+    symbols: list[str | None] = list(word)
+    before, after = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
+
+    def entry(left: int) -> tuple | None:
+        right = after[left] if left >= 0 else len(symbols)
+        if right >= len(symbols) or (symbols[left], symbols[right]) not in rank:
+            return None
+        return rank[symbols[left], symbols[right]], left, symbols[left], symbols[right]
+
+    queue = [e for e in map(entry, range(len(symbols))) if e]
+    heapq.heapify(queue)
+    while queue:
+        _, left, a, b = heapq.heappop(queue)
+        right = after[left]
+        if symbols[left] != a or right >= len(symbols) or symbols[right] != b:
+            continue
+        symbols[left], symbols[right] = a + b, None
+        after[left] = after[right]
+        if after[right] < len(symbols):
+            before[after[right]] = left
+        for e in (entry(before[left]), entry(left)):
+            if e:
+                heapq.heappush(queue, e)
+    return [x for x in symbols if x is not None]
+
+
+def _encoder(df: DataFrame, rules: list[Pair], ids: dict[str, int] | None):
+    """Texts' word lists to pieces, or to ids; the rules are as many as the vocabulary's pieces."""
+    rank: dict[Pair, int] = {}
+    for pair in rules:
+        rank.setdefault(tuple(pair), len(rank))
+    sent = df.sparkSession.sparkContext.broadcast((rank, ids))
+
+    def of_word(word: str) -> list:
+        rank, ids = sent.value
+        pieces = split_word(WORD_START + word, rank)
+        if ids is None:
+            return pieces
+        unknown, out = ids[UNKNOWN], []
+        for piece in pieces:
+            i = ids.get(piece, unknown)
+            if i != unknown or out[-1:] != [unknown]:  # a run of unknown characters is one id
+                out.append(i)
+        return out
+
+    def encode(texts: pd.Series) -> pd.Series:
+        seen: dict[str, list] = {}
+        return pd.Series([
+            [x for word in words for x in (seen[word] if word in seen else seen.setdefault(word, of_word(word)))]
+            for words in texts
+        ], dtype=object)
+
+    return F.pandas_udf(encode, "array<string>" if ids is None else "array<int>")
+
+
+def encode_bpe(df: DataFrame, col: str, rules: list[Pair], name: str = "pieces") -> DataFrame:
+    """Pieces of each word of a text column."""
+    return df.withColumn(name, _encoder(df, rules, None)(tokens(F.col(col), "whitespace")))
+
+
+def encode_ids(df: DataFrame, col: str, rules: list[Pair], alphabet: list[str], name: str = "ids") -> DataFrame:
+    """Ids of the pieces of a text column; characters outside the alphabet have the unknown piece's id."""
+    return df.withColumn(name, _encoder(df, rules, vocabulary(rules, alphabet))(tokens(F.col(col), "whitespace")))

@@ -14,7 +14,7 @@ from texteval.functions.numbers import steady_round
 from texteval.functions.special import normal_quantile
 from texteval.operators.bounds import per_group
 from texteval.operators.distribution import quantile_aggs, ranked_values, value_counts
-from texteval.operators.order import digest_bucket, integer_bucket, prefix_sum, random_order, with_position
+from texteval.operators.order import digest_bucket, integer_bucket, null_safe_join, prefix_sum, random_order, with_position
 
 # Fences, zones and sizes of the distribution displays.
 WHISKER = 1.5
@@ -34,7 +34,7 @@ def pair_models(
 ) -> DataFrame:
     """Rows of the items every model of the cell has.
 
-    ``by_item`` keeps complete items. ``positional`` renumbers each model's
+    ``by_item`` keeps complete items, a repeated row of one model not standing for another. ``positional`` renumbers each model's
     non-null rows in item order and cuts to the shortest model.
     """
     rows = long.filter(F.col("value").isNotNull())
@@ -44,17 +44,18 @@ def pair_models(
     )
     if mode == "by_item":
         complete = (
-            rows.groupBy(*cell, item).agg(F.count(F.lit(1)).alias("__have"))
-            .join(per_group(size, registry), cell)
+            null_safe_join(
+                rows.groupBy(*cell, item).agg(F.size(F.collect_set("model")).alias("__have")), per_group(size, registry), cell
+            )
             .filter(F.col("__have") == F.col("__models"))
             .select(*cell, item)
         )
-        return rows.join(complete, [*cell, item], "left_semi")
+        return null_safe_join(rows, complete, [*cell, item], "left_semi")
     if mode != "positional":
         raise ValueError(f"unknown pairing {mode!r}")
     placed = with_position(rows, [*cell, "model"], [item], integer_bucket(F.col(item)), "__position")
     return (
-        placed.join(per_group(size.drop("__models"), registry), cell)
+        null_safe_join(placed, per_group(size.drop("__models"), registry), cell)
         .filter(F.col("__position") <= F.col("__shortest"))
         .withColumn(item, F.col("__position"))
         .drop("__position", "__shortest")
@@ -121,7 +122,7 @@ def box_stats(long: DataFrame, keys: list[str], registry: DataFrame | None = Non
     ranked = ranked_values(long, keys)
     q = _quartiles(ranked, keys)
     low, high = _fences(WHISKER)
-    counts = ranked.select(*keys, "value", "cnt").join(per_group(q, registry), keys)
+    counts = null_safe_join(ranked.select(*keys, "value", "cnt"), per_group(q, registry), keys)
     whiskers = counts.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in ("n", "q1", "median", "q3", "iqr")],
         F.min(F.when(F.col("value") >= low, F.col("value"))).alias("whisker_low"),
@@ -149,7 +150,7 @@ def outlier_sample(
     q = _quartiles(ranked_values(long, keys), keys).drop("median", "n")
     low, high = _fences(WHISKER)
     past = F.greatest(low - F.col("value"), F.col("value") - high)
-    out = long.filter(F.col("value").isNotNull()).join(per_group(q, registry), keys).withColumn("__past", past).filter(past > 0)
+    out = null_safe_join(long.filter(F.col("value").isNotNull()), per_group(q, registry), keys).withColumn("__past", past).filter(past > 0)
     iqr = F.col("iqr")
 
     def within(zone: tuple[float, float]) -> Column:
@@ -165,7 +166,7 @@ def outlier_sample(
         .when(F.col("__wides") > 0, F.col("__wide"))
         .otherwise(F.lit(True))
     )
-    shown = out.join(per_group(sizes, registry), keys).filter(use)
+    shown = null_safe_join(out, per_group(sizes, registry), keys).filter(use)
     first = Window.partitionBy(*keys).orderBy(random_order(seed, item), item)
     return (
         shown.withColumn("__at", F.row_number().over(first))
@@ -200,7 +201,7 @@ def iqr_filter(
     bounds = q.select(*keys, low.alias("__low"), high.alias("__high"))
     inside = (F.col("value") >= F.col("__low")) & (F.col("value") <= F.col("__high"))
     left = (
-        ranked.select(*keys, "value", "cnt").join(per_group(bounds, registry), keys).groupBy(*keys)
+        null_safe_join(ranked.select(*keys, "value", "cnt"), per_group(bounds, registry), keys).groupBy(*keys)
         .agg(
             F.first("__low").alias("__low"),
             F.first("__high").alias("__high"),
@@ -208,7 +209,7 @@ def iqr_filter(
         )
     )
     keep = F.col("__low").isNull() | (F.col("__left") < least) | inside
-    return long.filter(F.col("value").isNotNull()).join(per_group(left, registry), keys).filter(keep).select(*long.columns)
+    return null_safe_join(long.filter(F.col("value").isNotNull()), per_group(left, registry), keys).filter(keep).select(*long.columns)
 
 
 def kde(
@@ -234,7 +235,7 @@ def kde(
         }
     )
     shape = shape.withColumn("__group", F.to_json(F.struct(*keys)))
-    rows = value_counts(long, keys).join(per_group(shape, registry), keys).select(
+    rows = null_safe_join(value_counts(long, keys), per_group(shape, registry), keys).select(
         "__group", "value", F.col("cnt").cast("double"), "bandwidth", "start", "step"
     )
     grid = np.arange(points, dtype=float)

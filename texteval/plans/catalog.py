@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from texteval.operators import (
     chat, filters, inference, joins, prompts, rowmetrics, splits, stats, summary, vocab, windows,
 )
 from texteval.plans import inputs
+from texteval.session import checkpoint_dir
 from texteval.sources import nested, qa, results, runs, sinks
 from texteval.sources.tables import small_table
 from texteval.streaming import tokens as tk
@@ -807,6 +809,19 @@ def sta7_bootstrap_ci(spark, d):
     return stats.bootstrap_ci(inputs.paired_items(spark, d), [*CELL, "model"])
 
 
+@query
+def sta7_bootstrap_rows(spark, d):
+    sums = stats.bootstrap_sums(inputs.paired_items(spark, d), [*CELL, "model"], 1_000)
+    return sums.groupBy(*CELL, "model").agg(
+        F.max("n").alias("n"), F.count(F.lit(1)).alias("replicates"), F.min("drawn").alias("least"), F.max("drawn").alias("most")
+    )
+
+
+@query
+def sta7_bootstrap_mean(spark, d):
+    return stats.bootstrap_ci(inputs.paired_items(spark, d), [*CELL, "model"], 100).select(*CELL, "model", "n", "mean")
+
+
 # --- vocabulary --------------------------------------------------------------
 
 
@@ -821,15 +836,58 @@ def voc1_kept_characters(spark, d):
     return vocab.kept_characters(vocab.word_counts(inputs.turn_pairs(spark, d), ["input", "answer"]))
 
 
+# The two vocabulary sizes.
+SMALL_VOCABULARY, LARGE_VOCABULARY = 4_000, 16_000
+TURNS = ["input", "answer"]
+
+
+def _train_turns(spark, d):
+    return splits.random_split(inputs.turn_pairs(spark, d), "seq").filter(F.col("split") == "train")
+
+
+def _pieces(spark, d, size):
+    rules, alphabet = vocab.learn_vocabulary(_train_turns(spark, d), TURNS, size)
+    parts = {a + b: (a, b) for a, b in reversed(rules)}
+    rows = [(i, piece, *parts.get(piece, (None, None))) for piece, i in vocab.vocabulary(rules, alphabet).items()]
+    return small_table(spark, rows, "id long, piece string, first string, second string")
+
+
+@query
+def voc1_learn_4000(spark, d):
+    return _pieces(spark, d, SMALL_VOCABULARY)
+
+
+@query
+def voc1_learn_16000(spark, d):
+    return _pieces(spark, d, LARGE_VOCABULARY)
+
+
 @query
 def voc2_encode_bpe(spark, d):
-    rows = inputs.turn_pairs(spark, d)
-    rules = vocab.learn_bpe(rows, ["input", "answer"], 60)
-    return vocab.encode_bpe(rows, "answer", rules).select(
+    rules, _ = vocab.learn_vocabulary(_train_turns(spark, d), TURNS, SMALL_VOCABULARY)
+    return vocab.encode_bpe(inputs.turn_pairs(spark, d), "answer", rules).select(
         "seq", F.size("pieces").cast("long").alias("n"), F.array_join("pieces", " ").alias("pieces")
     )
 
 
+@query
+def voc2_encode_ids(spark, d):
+    rules, alphabet = vocab.learn_vocabulary(_train_turns(spark, d), TURNS, SMALL_VOCABULARY)
+    unknown = vocab.RESERVED.index(vocab.UNKNOWN)
+    return vocab.encode_ids(inputs.turn_pairs(spark, d), "answer", rules, alphabet).select(
+        "seq", F.size("ids").cast("long").alias("n"),
+        F.size(F.filter("ids", lambda i: i == unknown)).cast("long").alias("n_unknown"),
+        F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"),
+    )
+
+
+@query
+def voc2_round_trip(spark, d):
+    rules, _ = vocab.learn_vocabulary(_train_turns(spark, d), TURNS, SMALL_VOCABULARY)
+    text = F.replace(F.array_join("pieces", ""), F.lit(vocab.WORD_START), F.lit(" "))
+    return vocab.encode_bpe(inputs.turn_pairs(spark, d), "answer", rules).select("seq", F.ltrim(text).alias("text"))
+
+
 # --- chat history and token streams ------------------------------------------
 
 
@@ -880,10 +938,53 @@ def str2_needs_retry(spark, d):
     return tk.needs_retry(inputs.token_stream(spark, d))
 
 
+def _landed(spark, stream):
+    return tk.land(stream, f"{checkpoint_dir(spark).rstrip('/')}/texteval-stream-{uuid.uuid4().hex}")
+
+
 @query
-def str3_request_metrics(spark, d):
-    m = tk.request_metrics(inputs.token_stream(spark, d), inputs.requests(spark, d))
-    return m.select(
+def str1_filter_think_stream(spark, d):
+    tokens = inputs.token_stream(spark, d, inputs.conversation_stream(spark, d))
+    return tk.visible_text(_landed(spark, tk.filter_think_stream(tokens, silence_seconds=None)))
+
+
+@query
+def str2_request_outcomes(spark, d):
+    tokens = inputs.broken_stream(inputs.token_stream(spark, d))
+    # every request has ended one way or another by then
+    as_of = F.col("started_at") + F.expr("INTERVAL 1 HOUR")
+    return tk.request_outcomes(inputs.requests(spark, d), tokens, as_of)
+
+
+@query
+def str2_request_outcomes_stream(spark, d):
+    source = inputs.conversation_stream(spark, d)
+    tokens = inputs.broken_stream(inputs.token_stream(spark, d, source))
+    ticks = inputs.clock(source).select("request_id", F.col("ts").alias("started_at"))
+    requests = inputs.requests(spark, d, source).select("request_id", "started_at").unionByName(ticks)
+    return _landed(spark, tk.request_outcomes_stream(requests, tokens))
+
+
+def _request_columns(metrics):
+    return metrics.select(
         "request_id", F.unix_millis("timestamp").alias("started_ms"), "prompt", "tokens",
         "first_token_ms", "total_ms", "tokens_per_second", "backend",
     )
+
+
+@query
+def str3_request_metrics(spark, d):
+    return _request_columns(tk.request_metrics(inputs.token_stream(spark, d), inputs.requests(spark, d)))
+
+
+@query
+def str3_request_metrics_stream(spark, d):
+    source = inputs.conversation_stream(spark, d)
+    # times of no request have ids below zero here; their rows go at the end
+    ticks = inputs.clock(source, -1 - F.col("conv_id"))
+    tokens = inputs.token_stream(spark, d, source).select("request_id", "ts").unionByName(ticks)
+    requests = inputs.requests(spark, d, source).unionByName(
+        ticks.withColumnRenamed("ts", "started_at"), allowMissingColumns=True
+    )
+    landed = _landed(spark, tk.request_metrics_stream(tokens, requests))
+    return _request_columns(landed.filter("request_id >= 0"))

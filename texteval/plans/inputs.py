@@ -5,7 +5,7 @@ Each view uses every row and the whole text of the tables it reads.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texteval.operators.filters import melt_metrics, range_policy, select_group
@@ -190,8 +190,16 @@ def triple_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as a stream of the table's files."""
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    # a pattern may be one file or a folder of files; a plain path of a stream must be a folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[c]onversations.parquet")
+
+
+def token_stream(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """Words of the assistant turns as tokens, with reasoning tags split over tokens."""
+    source = table(spark, sf_dir, "conversations") if source is None else source
     word = F.split("text", " ")
     closed = F.concat(
         F.slice(word, 1, 2), F.array(F.lit("<th"), F.lit("ink>")), F.slice(word, 3, 4),
@@ -199,7 +207,7 @@ def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     never_closed = F.concat(F.array(F.lit("<think>")), word)
     parts = F.when(F.col("conv_id") % 13 == 0, never_closed).when(F.col("conv_id") % 2 == 0, closed).otherwise(word)
-    t = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    t = source.filter(F.col("role") == "assistant")
     spread = t.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"), "conv_id", "turn",
         F.size(parts).alias("size"), F.posexplode(parts).alias("seq", "part"),
@@ -213,9 +221,23 @@ def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def broken_stream(tokens: DataFrame) -> DataFrame:
+    """The tokens without those of some requests, and without the last one of others."""
+    conv = F.floor(F.col("request_id") / 100)
+    return tokens.filter((conv % 17 != 0) & ((conv % 11 != 0) | ~F.col("last")))
+
+
+def clock(source: DataFrame, request_id: Column | None = None) -> DataFrame:
+    """Two hours after each conversation, a time of no request."""
+    request_id = F.lit(None) if request_id is None else request_id
+    later = F.timestamp_seconds(F.lit(EPOCH_START) + F.col("conv_id") * 3600 + 7200)
+    return source.select(request_id.cast("long").alias("request_id"), later.alias("ts"))
+
+
+def requests(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """One request per assistant turn, started 200 ms before its first token slot."""
-    t = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    source = table(spark, sf_dir, "conversations") if source is None else source
+    t = source.filter(F.col("role") == "assistant")
     base = (F.lit(EPOCH_START) + F.col("conv_id") * 3600 + F.col("turn") * 60) * 1000
     backend = F.element_at(
         F.array(F.lit("device"), F.lit("desktop"), F.lit("server"), F.lit("other")), (F.col("conv_id") % 4 + 1).cast("int")

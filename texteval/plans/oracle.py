@@ -713,6 +713,10 @@ mx AS (SELECT * FROM sp x WHERE NOT EXISTS (SELECT 1 FROM sp y WHERE y.dataset =
 SELECT mx.dataset, mx.metric, f AS first, l AS last, count(*) AS size, string_agg(model, ' | ' ORDER BY place) AS models
 FROM mx JOIN pl ON pl.dataset = mx.dataset AND pl.metric = mx.metric AND place BETWEEN f AND l GROUP BY mx.dataset, mx.metric, f, l""")
 
+RESAMPLED = "SELECT dataset, metric, model, {} FROM paired GROUP BY dataset, metric, model HAVING count(*) >= 10"
+add("sta7_bootstrap_rows", PAIRED, RESAMPLED.format("count(*) AS n, 1000::BIGINT AS replicates, count(*) AS least, count(*) AS most"))
+add("sta7_bootstrap_mean", PAIRED, RESAMPLED.format(f"count(*) AS n, {nine('avg(value)')} AS mean"))
+
 # --- vocabulary --------------------------------------------------------------
 
 VOCAB = TURNS + f""", wc AS (SELECT '▁' || w AS word, count(*) AS cnt FROM (
@@ -726,6 +730,9 @@ add("voc1_kept_characters", VOCAB + """, cc AS (
 SELECT ch, sum(cnt)::BIGINT AS cnt FROM (SELECT unnest(s) AS ch, cnt FROM sp) GROUP BY ALL),
 cu AS (SELECT *, sum(cnt) OVER (ORDER BY cnt DESC, ch ROWS UNBOUNDED PRECEDING) - cnt AS before, sum(cnt) OVER () AS everything FROM cc)""",
     "SELECT ch, cnt FROM cu WHERE before < everything * 0.9995::DOUBLE")
+add("voc2_round_trip", TURNS, f"""
+SELECT seq, ltrim(replace(array_to_string(list_transform({words('answer', 'whitespace')}, lambda w: '▁' || w), ''), '▁', ' '), ' ') AS text
+FROM turns""")
 
 # --- chat history and token streams ------------------------------------------
 
@@ -755,8 +762,22 @@ add("str1_filter_think_batch", STREAM, "SELECT request_id, visible FROM shown")
 add("str2_needs_retry", STREAM + """, late AS (
 SELECT request_id, any_value(conv_id) % 7 = 0 AND max(seq) >= 3 AS timed_out FROM tokens GROUP BY request_id)""", """
 SELECT request_id, visible = '' AS blank, timed_out, visible = '' OR timed_out AS retry FROM shown JOIN late USING (request_id)""")
+OUTCOMES = STREAM + """, wanted AS (
+SELECT request_id, conv_id, CASE WHEN conv_id % 17 = 0 THEN [] WHEN conv_id % 11 = 0 THEN p[:-2] ELSE p END AS sent FROM parts),
+ended AS (SELECT request_id, sent, conv_id % 7 = 0 AND len(sent) > 3 AS paused,
+  conv_id % 17 = 0 OR conv_id % 11 = 0 OR (conv_id % 7 = 0 AND len(sent) > 3) AS timed_out FROM wanted),
+heard AS (SELECT request_id, timed_out, """ + think("""array_to_string(list_transform(CASE WHEN paused THEN sent[1:3] ELSE sent END,
+  lambda part: CASE WHEN part IN ('<th', '</thi') THEN part ELSE part || ' ' END), '')""") + """ AS visible FROM ended)"""
+add("str2_request_outcomes", OUTCOMES,
+    "SELECT request_id, visible = '' AS blank, timed_out, visible = '' OR timed_out AS retry FROM heard")
 add("str3_request_metrics", STREAM, f"""
 SELECT request_id, ({EPOCH_START} + conv_id * 3600 + turn * 60) * 1000 - 200 AS started_ms, {cut('text', 60)} AS prompt,
   len(p) AS tokens, 200.0::DOUBLE AS first_token_ms, 90200.0::DOUBLE AS total_ms,
   round(len(p) / 90.2::DOUBLE, 4) AS tokens_per_second,
   ['local (Android)', 'llama-server (local)', 'remote server', 'unknown'][conv_id % 4 + 1] AS backend FROM parts""")
+
+for batch, stream in (
+    ("str1_filter_think_batch", "str1_filter_think_stream"), ("str2_request_outcomes", "str2_request_outcomes_stream"),
+    ("str3_request_metrics", "str3_request_metrics_stream"),
+):
+    ORACLE[stream] = ORACLE[batch]

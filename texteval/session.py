@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +29,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a folder of its own beside the checkpoints and read it from there.
+
+    Later jobs read files, so a lost executor costs a read and not the lineage.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/texteval-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def delete_stored(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing will read any more."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship_package(spark: SparkSession) -> None:
