@@ -197,7 +197,7 @@ def request_outcomes_stream(
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = ["request_id", "blank", "timed_out", "retry"]
-        if key[0] is None:
+        if pd.isna(key[0]):
             for _ in batches:
                 pass
             return
