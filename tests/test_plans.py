@@ -39,3 +39,15 @@ def test_registry_is_broadcast_by_size(spark):
     assert "broadcast" in bounds.per_group(rows, groups)._jdf.queryExecution().logical().toString().lower()
     large = spark.range(10_000_000)
     assert "broadcast" not in bounds.per_group(rows, large)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_vectors_are_never_dealt_by_item_alone(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(queries()["met6_greedy_cosine_f1"](spark, SF)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [(a, b) for a, b in zip(lines, lines[1:]) if re.search(r"Exchange hashpartitioning\(item_id#\d+L?, \d+\)", a)]
+    assert moved and not any("rows#" in below or "vec#" in below or "__unit" in below for _, below in moved)
+    pairs = [b for a, b in zip(lines, lines[1:]) if re.search(r"Exchange hashpartitioning\(item_id#\d+L?, __[ab]#", a)]
+    assert len(pairs) >= 2

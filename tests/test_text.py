@@ -16,13 +16,17 @@ def test_strip_think(spark, raw, want):
 
 
 @pytest.mark.parametrize("raw,want", [("<|im_start|>assistant\nhello<|im_end|>", "assistant\nhello"), ("Assistant\n hello", "hello"),
-                                      ("<THINK>x</think>ok</think>", "ok"), ("assistantassistant hi", "hi")])
+                                      ("<THINK>x</think>ok</think>", "ok"), ("assistantassistant hi", "hi"),
+                                      ("<think>why</think>\nASSISTANT: no", ": no"), ("my assistant <|im_end|>said", "my assistant said"),
+                                      ("<think>never closed", "never closed"), ("<|im_start|><|im_end|>", ""), (None, None)])
 def test_clean_output(spark, raw, want):
     assert apply(spark, raw, tx.clean_output) == want
 
 
 @pytest.mark.parametrize("raw,want", [("a $$x$$ b", "a \n\\[\nx\n\\]\n b"), ("cost $y$ now", "cost \\(y\\) now"), ("one $ only", "one $ only"),
-                                      ("$$\na\n$$", "\\[\na\n\\]")])
+                                      ("$$\na\n$$", "\\[\na\n\\]"),
+                                      ("a $1 b $2 c $3\nd $4", "a \\(1 b \\)2 c $3\nd $4"), ("$$x", "$$\nx"), ("p$$q$$r$$s", "p\n\\[\nq\n\\]\nr\n$$\ns"),
+                                      ("$$a $b$ c$$", "\\[\na \\(b\\) c\n\\]"), ("", ""), (None, None)])
 def test_normalise_math(spark, raw, want):
     assert apply(spark, raw, tx.normalise_math) == want
 

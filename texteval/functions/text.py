@@ -12,11 +12,8 @@ WHITESPACE = (
 )
 THINK_CLOSED = r"(?s)<think>.*?</think>"
 THINK_OPEN = r"(?s)<think>.*"
-THINK_CLOSED_ANY_CASE = r"(?is)<think>.*?</think>"
-THINK_TAG_ANY_CASE = r"(?i)</?think>"
-LEADING_ROLE = r"(?i)^\s*assistant\s*\n?"
-CHAT_START = r"<\|im_start\|>\n?"
-CHAT_END = r"<\|im_end\|>"
+REASONING_MARKS = r"(?is)<think>.*?</think>|</?think>"
+ROLE_AND_TEMPLATE_MARKS = r"^\s*(?i:assistant)\s*(?:assistant)?|<\|im_start\|>\n?|<\|im_end\|>"
 ERROR_PREFIX = "Error:"
 FOOTER_PREFIX = "---"
 ONLY_REASONING = "Error: modelo solo genero thinking sin respuesta"
@@ -66,14 +63,13 @@ def strip_think(col: Column, empty_marker: str | None = ONLY_REASONING) -> Colum
 
 
 def clean_output(col: Column) -> Column:
-    """Chat output without reasoning, role labels and template tokens."""
-    text = F.regexp_replace(col, THINK_CLOSED_ANY_CASE, "")
-    text = F.regexp_replace(text, THINK_TAG_ANY_CASE, "")
-    text = F.regexp_replace(text, LEADING_ROLE, "")
-    text = F.regexp_replace(text, "^assistant", "")
-    text = F.regexp_replace(text, CHAT_START, "")
-    text = F.regexp_replace(text, CHAT_END, "")
-    return strip(text)
+    """Chat output without what the model's template and its reasoning left in it.
+
+    Reasoning goes first, with tags that have lost their partner. Of what remains, a role label goes only at the very
+    beginning, so one behind a template mark is text; a second label written straight after it goes too. Template marks go
+    anywhere, an opening one with its line end. Blanks around the rest go.
+    """
+    return strip(F.regexp_replace(F.regexp_replace(col, REASONING_MARKS, ""), ROLE_AND_TEMPLATE_MARKS, ""))
 
 
 def is_error(col: Column) -> Column:
@@ -117,12 +113,38 @@ def tokens(col: Column, scheme: str = "rouge") -> Column:
     return F.array_remove(parts, "")
 
 
+def _marked(parts: Column, opening: str, closing: str, alone: str) -> Column:
+    """Parts of a text joined again, the marks between them taken in pairs from the left; a last one without partner stays."""
+
+    def with_mark(part: Column, i: Column) -> Column:
+        mark = (
+            F.when(i == 0, F.lit("")).when(i % 2 == 0, F.lit(closing))
+            .when(i < F.size(parts) - 1, F.lit(opening)).otherwise(F.lit(alone))
+        )
+        return F.concat(mark, part)
+
+    return F.array_join(F.transform(parts, with_mark), "")
+
+
 def normalise_math(col: Column) -> Column:
-    """Block formulas on lines of their own, then ``$$`` and ``$`` to bracket form."""
-    text = F.regexp_replace(col, r"([^\n])\$\$", "$1\n\\$\\$")
-    text = F.regexp_replace(text, r"\$\$([^\n\$])", "\\$\\$\n$1")
-    text = F.regexp_replace(text, r"(?s)\$\$(.*?)\$\$", r"\\[$1\\]")
-    return F.regexp_replace(text, r"(?<!\$)\$(?!\$)(.+?)(?<!\$)\$(?!\$)", r"\\($1\\)")
+    """Formulas in bracket form: ``$$`` pairs become blocks on lines of their own, ``$`` pairs of one line stay in it.
+
+    Marks pair from the left. A block mark gets a line end towards text beside it, unless one is there or a single
+    ``$`` follows. A mark without a partner stays as it is; null stays null.
+    """
+
+    def inline(part: Column) -> Column:
+        return F.array_join(F.transform(F.split(part, "\n"), lambda line: _marked(F.split(line, r"\$"), r"\(", r"\)", "$")), "\n")
+
+    parts = F.split(col, r"\$\$")
+
+    def block(part: Column, i: Column) -> Column:
+        ahead = (i > 0) & (part != "") & ~F.substring(part, 1, 1).isin("\n", "$")
+        behind = (i < F.size(parts) - 1) & (part != "") & ~F.endswith(part, F.lit("\n"))
+        line_end = lambda wanted: F.when(wanted, F.lit("\n")).otherwise(F.lit(""))
+        return F.concat(line_end(ahead), inline(part), line_end(behind))
+
+    return _marked(F.transform(parts, block), r"\[", r"\]", "$$")
 
 
 def signature(*cols: Column) -> Column:

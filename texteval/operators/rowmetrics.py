@@ -308,14 +308,22 @@ def greedy_cosine_f1(vectors: DataFrame, item: str = "item_id", block: int = 512
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     # a vector without length has cosine 0 with any other
     unit = F.transform("vec", lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))
-    blocks = (
-        vectors.withColumns({"__unit": unit, "__block": F.floor(F.col("pos") / F.lit(float(block)))})
-        .groupBy(item, "side", "__block")
-        .agg(F.collect_list(F.struct("pos", F.col("__unit").alias("vec"))).alias("rows"))
+    placed = vectors.withColumns({"__unit": unit, "__block": F.floor(F.col("pos") / F.lit(float(block)))})
+    blocks = placed.groupBy(item, "side", "__block").agg(
+        F.collect_list(F.struct("pos", F.col("__unit").alias("vec"))).alias("rows")
     )
-    left = blocks.filter(F.col("side") == "candidate").select(item, F.col("rows").alias("cand"))
-    right = blocks.filter(F.col("side") == "reference").select(item, F.col("rows").alias("ref"))
-    pairs = left.join(right, item)
+    # which blocks meet is settled by their numbers; vectors then go to pairs of blocks, never to an item as a whole
+    numbers = placed.select(item, "side", "__block").distinct().groupBy(item).agg(
+        *[F.collect_list(F.when(F.col("side") == s, F.col("__block"))).alias(s) for s in ("candidate", "reference")]
+    )
+    meet = numbers.select(item, F.explode("candidate").alias("__a"), "reference").select(item, "__a", F.explode("reference").alias("__b"))
+    left, right = (
+        meet.withColumnRenamed(own, "__block").join(
+            blocks.filter(F.col("side") == side).select(item, "__block", F.col("rows").alias(name)), [item, "__block"],
+        ).withColumnRenamed("__block", own)
+        for side, own, name in (("candidate", "__a", "cand"), ("reference", "__b", "ref"))
+    )
+    pairs = left.join(right, [item, "__a", "__b"])
     kind = vectors.schema[item].dataType.simpleString()
 
     def best(batches):

@@ -349,6 +349,22 @@ add("txt2_clean_output", TAGGED + """, noisy AS (
 SELECT conv_id, turn, CASE WHEN turn = 0 THEN '<|im_start|>' || chr(10) || 'Assistant ' || chr(10) || text || '</Think>rest<|im_end|>' || chr(10)
   ELSE 'assistant' || chr(10) || text || '<|im_end|>' END AS n FROM tagged)""",
     f"SELECT conv_id, turn, {strip(CLEAN)} AS clean FROM noisy")
+
+
+def paired_marks(parts: str, opening: str, closing: str, alone: str) -> str:
+    return f"""array_to_string(list_transform({parts}, lambda p, i: CASE WHEN i = 1 THEN '' WHEN i % 2 = 1 THEN '{closing}'
+  WHEN i < len({parts}) THEN '{opening}' ELSE '{alone}' END || p), '')"""
+
+
+add("txt9_normalise_math", f"""cut AS (SELECT doc_id, string_split(text, '$$') AS parts FROM documents),
+each AS (SELECT doc_id, len(parts) AS n, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM cut),
+lines AS (SELECT doc_id, n, i, part, unnest(string_split(part, chr(10))) AS line, unnest(range(len(string_split(part, chr(10))))) AS row_no FROM each),
+cells AS (SELECT *, string_split(line, '$') AS c FROM lines),
+done AS (SELECT doc_id, n, i, part, string_agg({paired_marks('c', chr(92) + '(', chr(92) + ')', '$')}, chr(10) ORDER BY row_no) AS made
+  FROM cells GROUP BY ALL),
+blocks AS (SELECT doc_id, list(CASE WHEN i > 1 AND part <> '' AND part[1] NOT IN (chr(10), '$') THEN chr(10) ELSE '' END || made ||
+  CASE WHEN i < n AND part <> '' AND part[-1] <> chr(10) THEN chr(10) ELSE '' END ORDER BY i) AS b FROM done GROUP BY doc_id)""",
+    f"SELECT doc_id, {paired_marks('b', chr(92) + '[', chr(92) + ']', '$$')} AS text FROM blocks")
 add("txt3_single_line", "t AS (SELECT doc_id, replace(text, '. ', '.' || chr(13) || chr(10)) AS t FROM documents)",
     f"SELECT doc_id, {strip(one_line('t'))} AS a, {strip(one_line('t', ' '))} AS b FROM t")
 add("txt4_approx_tokens", "", """
