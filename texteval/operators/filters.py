@@ -139,9 +139,9 @@ def describe_metrics(df: DataFrame) -> DataFrame:
 
 
 def select_group(
-    long: DataFrame, groups: DataFrame, min_models: int = 2, min_rows: int = 10
+    long: DataFrame, groups: DataFrame, min_models: int = 2, min_rows: int = 10, weight: str | None = None
 ) -> DataFrame:
-    """Rows of the models and data sets in an experiment group.
+    """Rows of the models and data sets in an experiment group; ``weight`` says how many rows each stands for.
 
     ``groups`` is the small table (grp, dataset, model, category, ord). A cell
     (grp, dataset, metric) stays when it has enough models and its smallest
@@ -149,7 +149,9 @@ def select_group(
     """
     cell = ["grp", "dataset", "metric"]
     rows = long.join(groups, ["dataset", "model"])
-    per_model = rows.groupBy(*cell, "model").agg(F.count("value").alias("n"))
+    per_model = rows.groupBy(*cell, "model").agg(
+        (F.count("value") if weight is None else F.sum(weight)).alias("n")
+    )
     wanted = (
         per_model.groupBy(*cell)
         .agg(F.count(F.lit(1)).alias("models"), F.min("n").alias("n"))

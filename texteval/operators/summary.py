@@ -9,42 +9,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from texteval.functions.numbers import significant, steady_round
-from texteval.operators.distribution import quantile_aggs, ranked_values
+from texteval.operators.bounds import per_group
+from texteval.operators.distribution import moments, near_ranks, quantile_aggs, value_counts
 from texteval.operators.order import null_safe_join
 
 ALPHA = 0.05
 
 
-def summary(long: DataFrame, keys: list[str], digits: int = 9) -> DataFrame:
+def summary(
+    long: DataFrame, keys: list[str], digits: int = 9, weight: str | None = None, median: bool = True, deviation: bool = True,
+    registry: DataFrame | None = None,
+) -> DataFrame:
     """Mean, median, sample deviation, range and count per group, to ``digits`` significant digits.
 
-    Costs a row are tiny, so a fixed number of decimals would make them tie in a ranking.
-    All of it comes from the value table, so the rows are read once and leave
-    their task only as counts.
+    Costs a row are tiny, so a fixed number of decimals would make them tie in a ranking. Rows leave their task as
+    counts of values (``weight``: they are such counts already). What is not asked for, the median or the
+    deviation, is not looked for.
     """
-    x, w = F.col("value"), F.col("cnt")
-    values = ranked_values(long, keys)
-    sums = values.groupBy(*keys).agg(
-        *quantile_aggs({"median": 0.5}),
-        F.max("n").alias("n"),
-        F.sum(x * w).alias("s"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-    )
-    mean = F.col("s") / F.col("n")
-    # deviations from the mean, as squares of the values themselves would cancel
-    off = x - F.col("__mean")
-    spread = null_safe_join(values.select(*keys, x, w), sums.select(*keys, mean.alias("__mean")), keys)
-    spread = spread.groupBy(*keys).agg(F.sum(off * off * w).alias("spread"))
-    sums = null_safe_join(sums, spread, keys)
-    std = F.when(F.col("n") > 1, F.sqrt(F.col("spread") / (F.col("n") - 1)))
+    values = value_counts(long, keys, weight=weight)
+    sums = moments(values, keys, registry, deviation)
+    if median:
+        middle = near_ranks(values, keys, [0.5], registry).groupBy(*keys).agg(*quantile_aggs({"median": 0.5}))
+        sums = null_safe_join(sums, per_group(middle, registry), keys)
+    n = F.col("n")
+    std = F.when(n > 1, F.sqrt(F.col("spread") / (n - 1))) if deviation else None
     return sums.select(
         *keys,
-        significant(mean, digits).alias("mean"),
-        significant("median", digits).alias("median"),
-        significant(std, digits).alias("std"),
-        significant("min", digits).alias("min"),
-        significant("max", digits).alias("max"),
+        significant("mean", digits).alias("mean"),
+        *([significant("median", digits).alias("median")] if median else []),
+        *([significant(std, digits).alias("std")] if deviation else []),
+        significant("lo", digits).alias("min"),
+        significant("hi", digits).alias("max"),
         "n",
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from texteval.functions.numbers import steady_round
 from texteval.functions.special import normal_quantile
 from texteval.operators.bounds import per_group
-from texteval.operators.distribution import quantile_aggs, ranked_values, value_counts
+from texteval.operators.distribution import group_quantiles, moments, ranked_values, value_counts
 from texteval.operators.order import digest_bucket, integer_bucket, null_safe_join, prefix_sum, random_order, with_position
 
 # Fences, zones and sizes of the distribution displays.
@@ -110,19 +110,18 @@ def _fences(factor: float) -> tuple[Column, Column]:
     return F.col("q1") - factor * F.col("iqr"), F.col("q3") + factor * F.col("iqr")
 
 
-def _quartiles(ranked: DataFrame, keys: list[str], **more: float) -> DataFrame:
+def _quartiles(values: DataFrame, keys: list[str], registry: DataFrame | None, **more: float) -> DataFrame:
+    """Quartiles per group of a value table (keys, value, cnt)."""
     ps = {"q1": 0.25, "median": 0.5, "q3": 0.75, **more}
-    return ranked.groupBy(*keys).agg(*quantile_aggs(ps), F.max("n").alias("n")).withColumn(
-        "iqr", F.col("q3") - F.col("q1")
-    )
+    return group_quantiles(values, keys, ps, weight="cnt", registry=registry).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def box_stats(long: DataFrame, keys: list[str], registry: DataFrame | None = None) -> DataFrame:
-    """Quartiles, whiskers at the last data inside 1.5 iqr, and outlier counts."""
-    ranked = ranked_values(long, keys)
-    q = _quartiles(ranked, keys)
+def box_stats(long: DataFrame, keys: list[str], registry: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """Quartiles, whiskers at the last data inside 1.5 iqr, and outlier counts; ``weight`` as in ``value_counts``."""
+    values = value_counts(long, keys, weight=weight)
+    q = _quartiles(values, keys, registry)
     low, high = _fences(WHISKER)
-    counts = null_safe_join(ranked.select(*keys, "value", "cnt"), per_group(q, registry), keys)
+    counts = null_safe_join(values, per_group(q, registry), keys)
     whiskers = counts.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in ("n", "q1", "median", "q3", "iqr")],
         F.min(F.when(F.col("value") >= low, F.col("value"))).alias("whisker_low"),
@@ -147,7 +146,7 @@ def outlier_sample(
     They come from a zone just past the fence; from a wider zone when that has
     fewer than ``k``; from all outliers when that is empty or the iqr is zero.
     """
-    q = _quartiles(ranked_values(long, keys), keys).drop("median", "n")
+    q = _quartiles(value_counts(long, keys), keys, registry).drop("median", "n")
     low, high = _fences(WHISKER)
     past = F.greatest(low - F.col("value"), F.col("value") - high)
     out = null_safe_join(long.filter(F.col("value").isNotNull()), per_group(q, registry), keys).withColumn("__past", past).filter(past > 0)
@@ -177,9 +176,9 @@ def outlier_sample(
 
 def iqr_filter(
     long: DataFrame, keys: list[str], factor: float = EXTREME_FACTOR, variant: str = "density",
-    registry: DataFrame | None = None,
+    registry: DataFrame | None = None, weight: str | None = None,
 ) -> DataFrame:
-    """Drop values far outside the quartiles unless too few would be left.
+    """Drop values far outside the quartiles unless too few would be left; ``weight`` as in ``value_counts``.
 
     ``density``: a zero iqr falls back to the 1st and 99th percentile, and a
     group keeps everything if those agree or fewer than 5 rows remain.
@@ -187,8 +186,8 @@ def iqr_filter(
     """
     if variant not in ("density", "violin"):
         raise ValueError(f"unknown variant {variant!r}")
-    ranked = ranked_values(long, keys)
-    q = _quartiles(ranked, keys, p01=0.01, p99=0.99)
+    values = value_counts(long, keys, weight=weight)
+    q = _quartiles(values, keys, registry, p01=0.01, p99=0.99)
     low, high = _fences(factor)
     flat = F.col("iqr") <= 0
     if variant == "density":
@@ -201,7 +200,7 @@ def iqr_filter(
     bounds = q.select(*keys, low.alias("__low"), high.alias("__high"))
     inside = (F.col("value") >= F.col("__low")) & (F.col("value") <= F.col("__high"))
     left = (
-        null_safe_join(ranked.select(*keys, "value", "cnt"), per_group(bounds, registry), keys).groupBy(*keys)
+        null_safe_join(values, per_group(bounds, registry), keys).groupBy(*keys)
         .agg(
             F.first("__low").alias("__low"),
             F.first("__high").alias("__high"),
@@ -214,19 +213,16 @@ def iqr_filter(
 
 def kde(
     long: DataFrame, keys: list[str], points: int = KDE_POINTS, margin: float = KDE_MARGIN,
-    registry: DataFrame | None = None,
+    registry: DataFrame | None = None, weight: str | None = None,
 ) -> DataFrame:
-    """Gaussian density curve per group with Scott's bandwidth.
+    """Gaussian density curve per group with Scott's bandwidth; ``weight`` as in ``value_counts``.
 
     Each task adds the distinct values it has into one curve per group, so no
     value becomes ``points`` rows. Groups without spread have no curve.
     """
-    shape = long.filter(F.col("value").isNotNull()).groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-    ).filter(F.col("sd") > 0)
+    values = value_counts(long, keys, weight=weight)
+    shape = moments(values, keys, registry).filter((F.col("n") > 1) & (F.col("hi") > F.col("lo")))
+    shape = shape.withColumn("sd", F.sqrt(F.col("spread") / (F.col("n") - 1))).drop("spread", "mean")
     shape = shape.withColumns(
         {
             "bandwidth": F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)),
@@ -235,7 +231,7 @@ def kde(
         }
     )
     shape = shape.withColumn("__group", F.to_json(F.struct(*keys)))
-    rows = null_safe_join(value_counts(long, keys), per_group(shape, registry), keys).select(
+    rows = null_safe_join(values, per_group(shape, registry), keys).select(
         "__group", "value", F.col("cnt").cast("double"), "bandwidth", "start", "step"
     )
     grid = np.arange(points, dtype=float)

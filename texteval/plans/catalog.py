@@ -264,7 +264,8 @@ def jn6_model_pairs(spark, d):
 
 @query
 def jn7_ci_overlaps(spark, d):
-    s = summary.summary(inputs.long_metrics(spark, d), [*GROUP, "model", "ord"])
+    few = inputs.experiment_groups(spark)
+    s = summary.summary(inputs.metric_values(spark, d), [*GROUP, "model", "ord"], weight="cnt", median=False, registry=few)
     half = 2 * F.col("std") / F.sqrt("n")
     cis = s.withColumns({"ci_low": F.round(F.col("mean") - half, 6), "ci_high": F.round(F.col("mean") + half, 6)})
     return joins.ci_overlaps(cis, GROUP)
@@ -601,8 +602,9 @@ def met9_parse_time(spark, d):
 # --- aggregations ------------------------------------------------------------
 
 
-def _summary(spark, d):
-    stats_rows = summary.summary(inputs.long_metrics(spark, d), [*GROUP, "model", "ord"])
+def _summary(spark, d, **asked):
+    few = inputs.experiment_groups(spark)
+    stats_rows = summary.summary(inputs.metric_values(spark, d), [*GROUP, "model", "ord"], weight="cnt", registry=few, **asked)
     return filters.describe_metrics(stats_rows)
 
 
@@ -613,17 +615,17 @@ def agg1_summary(spark, d):
 
 @query
 def agg2_leaderboard_mean(spark, d):
-    return summary.leaderboard(_summary(spark, d), GROUP).select(*GROUP, "model", "mean", "position")
+    return summary.leaderboard(_summary(spark, d, median=False, deviation=False), GROUP).select(*GROUP, "model", "mean", "position")
 
 
 @query
 def agg2_leaderboard_median(spark, d):
-    return summary.leaderboard(_summary(spark, d), GROUP, "median").select(*GROUP, "model", "median", "position")
+    return summary.leaderboard(_summary(spark, d, deviation=False), GROUP, "median").select(*GROUP, "model", "median", "position")
 
 
 @query
 def agg3_ranking_stability(spark, d):
-    return summary.ranking_stability(_summary(spark, d), GROUP)
+    return summary.ranking_stability(_summary(spark, d, deviation=False), GROUP)
 
 
 @query
@@ -633,7 +635,7 @@ def agg4_totals(spark, d):
 
 @query
 def agg5_best_model(spark, d):
-    return summary.best_model(_summary(spark, d), GROUP)
+    return summary.best_model(_summary(spark, d, median=False, deviation=False), GROUP)
 
 
 def _paired_long(spark, d):
@@ -712,7 +714,7 @@ def win4_log_checkpoints(spark, d):
 
 @query
 def win5_box_stats(spark, d):
-    return windows.box_stats(inputs.long_metrics(spark, d), RUN, registry=inputs.experiment_groups(spark))
+    return windows.box_stats(inputs.metric_values(spark, d), RUN, registry=inputs.experiment_groups(spark), weight="cnt")
 
 
 @query
@@ -732,9 +734,9 @@ def win7_iqr_filter_violin(spark, d):
 
 @query
 def win8_kde(spark, d):
-    long = inputs.long_metrics(spark, d)
     few = inputs.experiment_groups(spark)
-    return windows.kde(windows.iqr_filter(long, RUN, registry=few), RUN, registry=few)
+    kept = windows.iqr_filter(inputs.metric_values(spark, d), RUN, registry=few, weight="cnt")
+    return windows.kde(kept, RUN, registry=few, weight="cnt")
 
 
 @query

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from texteval.operators.distribution import value_counts
 from texteval.operators.filters import melt_metrics, range_policy, select_group
 from texteval.sources.tables import read_table, small_table
 
@@ -66,6 +67,14 @@ def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_group(melted(spark, sf_dir), experiment_groups(spark))
 
 
+def metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value table of ``long_metrics``: each distinct value of a model and metric once, with its number of rows."""
+    # the group join asks for these; asked before counting, both uses of the counts are one exchange
+    named = melted(spark, sf_dir).filter("dataset is not null and model is not null")
+    counted = value_counts(named, ["dataset", "metric", "model"])
+    return select_group(counted, experiment_groups(spark), weight="cnt")
+
+
 def paired_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One value per user and event type: mean event value, and number of events."""
     c = F.round(F.col("value") * 100).cast("long")
