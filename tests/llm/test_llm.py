@@ -12,6 +12,7 @@ import math
 import random
 import re
 import tarfile
+import time
 import urllib.parse
 import zlib
 
@@ -258,6 +259,35 @@ def _ledger(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+@pytest.mark.parametrize("deep", [
+    lambda n: "%" + "25" * n + "41", lambda n: "\\" + "u005c" * n + "u0041", lambda n: "\\" + "x5C" * n + "x41", lambda n: "&" + "#38;" * n + "#65;",
+])
+def test_op3_escapes_of_escapes(deep):
+    """Any depth is found, with the span of the whole, and 100 KB of it takes no longer than its length."""
+    for n in (0, 1, 2, 3, 7):
+        text = "x " + deep(n) + "KIA0123456789ABCDEF y"
+        assert (2, 1, len(text) - 2) in secrets.find(text)[1], n
+    text = deep(50_000) + "KIA0123456789ABCDEF"
+    start = time.process_time()
+    assert (0, 1, len(text)) in secrets.find(text)[1]
+    assert time.process_time() - start < 5
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([
+    "password", "PassWD", "secret", "token", "api_key", "apikey", "=", ":", " = ", "\"", "'", "abc12", "AKIA", "ABCDEFGH01234567", "deadbeef",
+    "0123456789abcdef01234567", "é", "\n", " ", "%41", "=", "/x.y-z_", "ſecret", "😀",
+]), max_size=14))
+def test_op3_base_spans_equal_plain_patterns(parts):
+    text = "".join(parts)
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    want = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    base, spans, _ = secrets.find(text)
+    assert base == sorted(want) and set(base) <= set(spans)
+
+
 def test_take_keeps_sources_apart(spark):
     """One text in two sources: each source gets what its own rows were given, whatever the order of the rows."""
     rows = [(1, "a b c d " * 3, "en", "A", k) for k in range(20)] + [(1, "a b c d " * 3, "en", "B", k) for k in range(2)]

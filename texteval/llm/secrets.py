@@ -35,6 +35,11 @@ ESCAPE = re.compile(
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
     r"|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
 )
+#: An escape whose own first character is escaped again and again: any number of such layers is one step.
+DEEP = re.compile(
+    r"%(?:25){2,}(?=[0-9A-Fa-f]{2})|\\(?:u005[cC]){2,}(?=u[0-9A-Fa-f]{4})|\\(?:x5[cC]){2,}(?=x[0-9A-Fa-f]{2})|&(?:#38;){2,}(?=#[xX0-9])"
+)
+DEEP_HINTS = ("%2525", "\\u005", "\\x5", "&#38;#38;")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A line break, as it is or as an escape, with the indent after it; a base64 run over several lines.
 _BREAK = r"[\x20\t]*(?:\r\n?|\n|(?:\\r)?\\n)[\x20\t>]*"
@@ -289,6 +294,10 @@ def _readable(text: str) -> bool:
 
 
 def _decoded(layer: Layer, ends: dict) -> Iterator[Layer]:
+    if any(hint in layer.text for hint in DEEP_HINTS):
+        deep = [(m.start(), m.end(), m[0][0]) for m in DEEP.finditer(layer.text)]
+        if deep:  # the other escapes follow from the layer without them
+            return itertools.chain([_rewritten(layer, deep)], _wide(layer), _base64(layer), _members(layer, ends))
     return itertools.chain(_percent(layer), _escapes(layer), _wide(layer), _base64(layer), _members(layer, ends))
 
 
