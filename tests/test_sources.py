@@ -74,6 +74,24 @@ def test_load_metrics(spark, tmp_path):
     assert [tuple(r) for r in unmapped.collect()] == [("mystery", 1)]
 
 
+def test_load_metrics_of_two_folders(spark, tmp_path):
+    """One file name in two folders: each file counts its own rows."""
+    for folder, text in (("a", "ROUGE_L,Time_seconds\n0.1,1.0\n0.2,2.0\n"), ("b", "ROUGE_L,BLEU,Time_seconds\n0.3,0.5,3.0\n0.4,0.6,4.0\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "metricas_por_fila_DeepSeek_WebNLG.csv").write_text(text)
+    rows, _ = runs.load_metrics(spark, f"{tmp_path}/*")
+    assert sorted((r.item_id, r.ROUGE_L, r.BLEU) for r in rows.collect()) == [(1, 0.1, None), (1, 0.3, 0.5), (2, 0.2, None), (2, 0.4, 0.6)]
+
+
+@pytest.mark.parametrize("name,want", [
+    ("my_WebNLG_try", "WebNLG"), ("kelm_GAN_valtest", "News"), ("old NEWS kelm", "News"), ("totto_kelm", "ToTTo"), ("x", "unknown"), (None, "unknown"),
+])
+def test_a_mentioned_dataset(spark, name, want):
+    names = runs.RunNames(domain_prefix="news_", domain_label="News")
+    df = spark.createDataFrame([(name,)], "f string")
+    assert df.select(runs.mentioned_dataset(F.col("f"), names)).first()[0] == want
+
+
 @pytest.mark.parametrize("name,want", [
     ("results_webnlg_llama-3.3-70b-instruct.csv", ("Llama 70B", "WebNLG")),
     ("results_totto_deepseek-chat.csv", ("DeepSeek", "ToTTo")),

@@ -16,41 +16,33 @@ from texteval.sources.runs import METRIC_COLUMNS
 
 # Science and technology keywords of the corpus filter.
 STEM_KEYWORDS = [
-    # computing
     "computer", "software", "programming", "algorithm", "database",
     "operating system", "linux", "windows", "python", "java", "javascript",
     "compiler", "processor", "cpu", "gpu", "memory", "server", "cloud",
     "artificial intelligence", "machine learning", "neural network",
     "deep learning", "data structure", "binary", "boolean", "encryption",
     "cybersecurity", "firewall", "malware", "virus", "hacking",
-    # networks
     "network", "protocol", "internet", "wifi", "bluetooth", "ethernet",
     "router", "switch", "bandwidth", "frequency", "signal", "antenna",
     "satellite", "telecommunication", "5g", "4g", "lte", "wireless",
     "fiber optic", "tcp", "udp", "http", "dns", "ip address",
     "modulation", "spectrum", "radio", "broadcast", "transmission",
     "cellular", "mobile network", "base station",
-    # electronics
     "circuit", "transistor", "diode", "resistor", "capacitor",
     "semiconductor", "microchip", "integrated circuit", "voltage",
     "current", "amplifier", "sensor", "arduino", "raspberry pi",
     "led", "lcd", "display", "battery", "power supply",
-    # engineering
     "engineer", "engineering", "technology", "technical", "patent",
     "invention", "inventor", "laboratory", "experiment", "prototype",
     "manufacture", "industrial", "automation", "robot", "robotics",
-    # mathematics and physics
     "mathematics", "equation", "theorem", "calculus", "algebra",
     "geometry", "statistics", "probability", "matrix", "vector",
     "physics", "quantum", "electromagnetic", "wavelength", "photon",
     "laser", "optics", "thermodynamic", "energy", "force",
-    # applied sciences
     "biomedical", "nanotechnology", "aerospace", "mechanical",
     "electrical", "chemical engineering", "material science",
-    # standards
     "ieee", "iso", "ietf", "w3c", "ansi", "etsi",
     "standard", "specification", "protocol",
-    # companies
     "google", "microsoft", "apple", "intel", "amd", "nvidia",
     "cisco", "ibm", "samsung", "qualcomm", "huawei", "ericsson",
     "tesla", "spacex", "nasa", "esa",

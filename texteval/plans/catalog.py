@@ -113,6 +113,12 @@ def src7_parse_run_names(spark, d):
     )
 
 
+@query
+def src7_mentioned_dataset(spark, d):
+    names = inputs.run_names(spark, d)
+    return names.select("id", "style", runs.mentioned_dataset(runs.run_stem(F.col("file"))).alias("dataset"))
+
+
 @query
 def snk1_column_order(spark, d):
     wide = inputs.wide_metrics(spark, d).select("item_id", "CO2_gramos", "BLEU", "ROUGE_L", "model")
@@ -594,6 +600,14 @@ def met8_cost_and_co2(spark, d):
     )
 
 
+@query
+def met8_public_rates(spark, d):
+    rates = runs.public_rates(spark)
+    known = F.array(*[F.lit(name) for name, *_ in runs.PUBLIC_RATES], F.lit("another model"))
+    rows = inputs.results(spark, d).withColumn("model", F.get(known, (F.col("conv_id") % 14).cast("int")))
+    return rowmetrics.cost_and_co2(rows, rates).select("seq", "model", "Tokens_Input", "Tokens_Output", "Coste_USD", "CO2_gramos")
+
+
 @query
 def met9_parse_time(spark, d):
     return rowmetrics.with_seconds(inputs.results(spark, d)).select("seq", "Time_seconds")

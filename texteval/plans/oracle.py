@@ -220,6 +220,10 @@ SELECT p_partkey AS id, style, CASE style WHEN 8 THEN p_name || ' FT' WHEN 9 THE
   CASE WHEN style IN (0, 5, 9) THEN 'WebNLG' WHEN style IN (1, 6) THEN 'ToTTo' WHEN style IN (2, 3, 7, 11) THEN 'KELM'
     WHEN style IN (4, 8, 12) THEN 'QA' WHEN style = 10 THEN lower(replace(p_name, ' ', '_')) ELSE 'unknown' END AS dataset
 FROM part, range(14) r(style)""")
+add("src7_mentioned_dataset", "", """
+SELECT p_partkey AS id, style, CASE WHEN style IN (4, 8, 12) OR contains(p_name, 'qa') THEN 'QA' WHEN style IN (0, 5, 9) THEN 'WebNLG'
+  WHEN style IN (1, 6) THEN 'ToTTo' WHEN style IN (2, 3, 7, 11) THEN 'KELM' ELSE 'unknown' END AS dataset
+FROM part, range(14) r(style)""")
 add("snk1_column_order", WIDE, "SELECT ROUGE_L, BLEU, CO2_gramos, item_id, model FROM wide")
 add("snk2_split_manifest", assigned() + """, g AS (
 SELECT split, count(*) AS rows FROM assigned GROUP BY split, subject, topic, subtopic)""", """
@@ -541,6 +545,17 @@ SELECT model, count(*) AS rows, round(avg({BLEU}), 4) AS "mean_BLEU", round(avg(
 FROM pairs JOIN bl USING (item_id) JOIN me USING (item_id) GROUP BY model""")
 add("met8_cost_and_co2", ACCOUNTS,
     'SELECT seq, ti AS "Tokens_Input", tu AS "Tokens_Output", cost AS "Coste_USD", co2 AS "CO2_gramos" FROM costed')
+PRICED = RESULTS + f""", rates(place, model, price_in, price_out, kwh) AS (VALUES
+  (0, 'DeepSeek', 8e-7, 2e-6, 5e-7), (1, 'Llama 70B', 5.9e-7, 7.9e-7, 8e-7), (2, 'Qwen 72B', 5.9e-7, 7.9e-7, 8e-7),
+  (3, 'Gemma 9B', 2e-7, 2e-7, 2e-7), (4, 'Llama 3B', 6e-8, 6e-8, 8e-8), (5, 'Qwen 7B', 2e-7, 2e-7, 2e-7),
+  (6, 'Gemma 3 1B', 3e-8, 3e-8, 3e-8), (7, 'Gemma 3 1B FT', 3e-8, 3e-8, 3e-8), (8, 'Llama 1B', 1e-8, 2e-8, 3e-8),
+  (9, 'Llama 1B FT', 1e-8, 2e-8, 3e-8), (10, 'Qwen3 1.7B', 5e-8, 1e-7, 4e-8), (11, 'Qwen3 1.7B FT', 5e-8, 1e-7, 4e-8),
+  (12, 'GAN', 0.0, 0.0, 1e-8), (13, 'another model', 0.0, 0.0, 2e-7)),
+priced AS (SELECT seq, m.model, length(input) // 4 + 45 AS ti, length(generated) // 4 AS tu, price_in::DOUBLE AS price_in,
+  price_out::DOUBLE AS price_out, kwh::DOUBLE AS kwh FROM results r JOIN rates m ON m.place = r.conv_id % 14)"""
+add("met8_public_rates", PRICED, f"""
+SELECT seq, model, ti AS "Tokens_Input", tu AS "Tokens_Output", {half_up('(ti * price_in + tu * price_out)', 8)} AS "Coste_USD",
+  {half_up('((ti + tu) * kwh * 475.0::DOUBLE)', 6)} AS "CO2_gramos" FROM priced""")
 add("met9_parse_time", RESULTS, """
 SELECT seq, CASE WHEN seconds = 'n/a' THEN 1.5::DOUBLE ELSE length(reference) / 1000.0::DOUBLE END AS "Time_seconds" FROM results""")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texteval.operators.order import with_position
+from texteval.sources.tables import small_table
 
 # Public data sets as file-name prefix and suffix, longest prefix first.
 DATASET_PREFIXES = [("webnlg_", "WebNLG"), ("totto_", "ToTTo"), ("kelm_stem_", "KELM"), ("kelm_", "KELM")]
@@ -38,6 +39,25 @@ HOSTED_DATASETS = {"webnlg": "WebNLG", "totto": "ToTTo", "kelm_stem": "KELM", "k
 # Held-out runs of the domain corpus and the label of unknown names.
 HELD_OUT_MARK = "_valtest"
 UNKNOWN_DATASET = "unknown"
+# What a name of the domain corpus, or of a public data set, contains.
+DOMAIN_MENTIONS = ["ft_valtest", "gan_valtest"]
+MENTIONS = [("webnlg", "WebNLG"), ("totto", "ToTTo"), ("kelm", "KELM")]
+# US dollars per input and output token, and estimated energy per token, of each model.
+PUBLIC_RATES = [
+    ("DeepSeek", 0.0000008, 0.000002, 0.0000005),
+    ("Llama 70B", 0.00000059, 0.00000079, 0.0000008),
+    ("Qwen 72B", 0.00000059, 0.00000079, 0.0000008),
+    ("Gemma 9B", 0.0000002, 0.0000002, 0.0000002),
+    ("Llama 3B", 0.00000006, 0.00000006, 0.00000008),
+    ("Qwen 7B", 0.0000002, 0.0000002, 0.0000002),
+    ("Gemma 3 1B", 0.00000003, 0.00000003, 0.00000003),
+    ("Gemma 3 1B FT", 0.00000003, 0.00000003, 0.00000003),
+    ("Llama 1B", 0.00000001, 0.00000002, 0.00000003),
+    ("Llama 1B FT", 0.00000001, 0.00000002, 0.00000003),
+    ("Qwen3 1.7B", 0.00000005, 0.00000010, 0.00000004),
+    ("Qwen3 1.7B FT", 0.00000005, 0.00000010, 0.00000004),
+    ("GAN", 0.0, 0.0, 0.00000001),
+]
 METRIC_PREFIX = "metricas_por_fila_"
 RESULT_PREFIX = "results_"
 METRIC_COLUMNS = [
@@ -115,6 +135,25 @@ def parse_run_name(stem: Column, names: RunNames = RunNames()) -> Column:
     )
 
 
+def mentioned_dataset(stem: Column, names: RunNames = RunNames()) -> Column:
+    """The data set that a run name mentions anywhere, in any case; null counts as unknown.
+
+    Marks of the domain corpus come before those of public data sets, which come in the order of ``MENTIONS``. For
+    names that follow no pattern of ``parse_run_name``.
+    """
+    low = F.coalesce(F.lower(stem), F.lit(""))
+    domain = [names.domain_prefix.strip("_").lower(), *DOMAIN_MENTIONS]
+    label = F.lit(UNKNOWN_DATASET)
+    for mark, dataset in reversed([*((mark, names.domain_label) for mark in domain), *MENTIONS]):
+        label = F.when(F.contains(low, F.lit(mark)), F.lit(dataset)).otherwise(label)
+    return label
+
+
+def public_rates(spark: SparkSession) -> DataFrame:
+    """(model, price_in, price_out, kwh_per_token) of the known models, a small table for ``cost_and_co2``."""
+    return small_table(spark, PUBLIC_RATES, "model string, price_in double, price_out double, kwh_per_token double")
+
+
 def tag_runs(df: DataFrame, stem: str, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(tagged rows, unmapped run names with their row counts).
 
@@ -160,6 +199,7 @@ def load_metrics(
         part = spark.read.option("header", True).schema(schema).csv(files).select(
             "*",
             run_stem(F.col("_metadata.file_name")).alias("run"),
+            F.col("_metadata.file_path").alias("__path"),
             F.col("_metadata.file_block_start").alias("__start"),
             F.monotonically_increasing_id().alias("__line"),
         )
@@ -168,9 +208,9 @@ def load_metrics(
         raise FileNotFoundError(f"no {METRIC_PREFIX}*.csv under {path}")
     present = [c for c in METRIC_COLUMNS if c in out.columns]
     rows, _ = numeric_metrics(out, present)
-    # a block of a file is read by one task, so it bounds what a task has to order
-    rows = with_position(rows, ["run"], ["__start", "__line"], F.col("__start"), "item_id")
-    return tag_runs(rows.drop("__start", "__line"), "run", registry)
+    # a block of a file is read by one task, so it bounds what a task has to order; two folders may hold one name
+    rows = with_position(rows, ["__path"], ["__start", "__line"], F.col("__start"), "item_id")
+    return tag_runs(rows.drop("__path", "__start", "__line"), "run", registry)
 
 
 def metric_layouts(spark: SparkSession, path: str) -> dict[tuple, list[str]]:
