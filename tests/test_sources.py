@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +22,34 @@ def test_read_qa(spark, tmp_path):
     assert [r.id for r in qa.read_qa(spark, str(tmp_path), limit=1).collect()] == [1]
 
 
+def test_a_quoted_file_is_read_by_many_tasks(spark, tmp_path):
+    """Line breaks and quotes in fields, records longer than a block, and blocks inside one record."""
+    rng, rows = random.Random(4), []
+    for i in range(400):
+        answer = "".join(rng.choices(['a', 'é', ' ', '\n', '"', ',', '\r\n', 'long '], k=rng.choice([1, 5, 40, 3000 if i % 97 == 0 else 60])))
+        rows.append((i, f"s{i % 3}", "t", "u\nv", f"q{i} \n?", answer))
+    for name, some in (("one.csv", rows[:390]), ("two.csv", rows[390:])):
+        with open(tmp_path / name, "w", newline="") as f:
+            w = csv.writer(f, lineterminator="\n")
+            w.writerow(["id", "asignatura", "tema", "subtema", "pregunta", "respuesta"])
+            w.writerows(some)
+    whole = spark.read.schema(qa.QA_SCHEMA).option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path))
+    want = {tuple(r) for r in whole.collect()}
+    assert want == {tuple(r) for r in rows} or len(want) == 400
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        records = qa.csv_records(spark, str(tmp_path))
+        got = records.select(F.from_csv("text", qa.QA_SCHEMA, {"escape": '"'}).alias("r")).select("r.*")
+        tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        rows = {tuple(r) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks > 10 and rows == want
+    assert qa.read_qa(spark, str(tmp_path), limit=3).count() == 3
+
+
 def test_flatten_tables_both_shapes(spark):
     cells = "table_page_title string, table_section_title string, table array<array<struct<value:string>>>, highlighted_cells array<array<int>>"
     rows = [("T", "S", [[("a",), ("b",)], [("c",)]], [[0, 1], [1, 0], [5, 5], [0, -1]])]
