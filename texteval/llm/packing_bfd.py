@@ -19,6 +19,7 @@ from texteval.llm.tokens import word_ids
 WINDOW = 2048
 END_ID = 1
 PAD_ID = 0
+END = END_ID.to_bytes(4, "little")
 BLOCK_IDS = 4_000_000
 _ROW = (
     "sequence_id long, n_ids int, doc_ids array<long>, starts array<long>, "
@@ -72,28 +73,31 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[list[int]]:
     return rows
 
 
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
 def _matrix(pieces: list[tuple], window: int, first: int) -> pa.RecordBatch:
-    rows = best_fit_decreasing([len(ids) for _, _, ids in pieces], window)
-    ids = np.full((len(rows), window), PAD_ID, dtype=np.int32)
-    docs, starts, cuts, used = [], [], [], []
-    for r, row in enumerate(rows):
-        at, ends = 0, [0]
-        for p in row:
-            own = pieces[p][2]
-            ids[r, at : at + len(own)] = own
-            at += len(own)
-            ends.append(at)
-        docs.append([pieces[p][0] for p in row])
-        starts.append([pieces[p][1] for p in row])
-        cuts.append(ends)
-        used.append(at)
-    every = pa.array(np.arange(0, len(rows) * window + 1, window, dtype=np.int32))
-    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    lengths = [len(ids) for _, _, ids in pieces]
+    rows = best_fit_decreasing(lengths, window)
+    order, counts = [p for row in rows for p in row], np.array([len(row) for row in rows])
+    bounds, size = np.concatenate([[0], np.cumsum(counts)]), np.array(lengths)[order]
+    ends = np.cumsum(size)
+    stop = ends - np.repeat(ends[bounds[:-1]] - size[bounds[:-1]], counts)
+    start = stop - size
+    ids = np.full(len(rows) * window, PAD_ID, dtype=np.int32)
+    at = start + np.repeat(np.arange(len(rows)) * window, counts)
+    for p, a, n in zip(order, at.tolist(), size.tolist()):
+        ids[a : a + n] = pieces[p][2]
+    ints, longs = pa.int32(), pa.int64()
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(range(first, first + len(rows)), pa.int64()), pa.array(used, pa.int32()),
-            pa.array(docs, longs), pa.array(starts, longs), pa.array(cuts, ints),
-            pa.array([ends[:-1] for ends in cuts], ints), pa.ListArray.from_arrays(every, pa.array(ids.ravel())),
+            pa.array(np.arange(first, first + len(rows))), pa.array(stop[bounds[1:] - 1].astype(np.int32)),
+            _lists(bounds, pa.array([pieces[p][0] for p in order], longs)),
+            _lists(bounds, pa.array([pieces[p][1] for p in order], longs)),
+            _lists(bounds + np.arange(len(rows) + 1), pa.array(np.insert(stop, bounds[:-1], 0), ints)),
+            _lists(bounds, pa.array(start, ints)),
+            _lists(np.arange(len(rows) + 1) * window, pa.array(ids)),
         ],
         ["sequence_id", "n_ids", "doc_ids", "starts", "cu_seqlens", "position_resets", "ids"],
     )
@@ -115,7 +119,7 @@ def pack_matrix(docs: DataFrame, tokenizer: str, window: int = WINDOW, block_ids
         first, held, pieces = task << 36, 0, []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(np.frombuffer(ids_of.of(text.as_py()), dtype="<u4"), END_ID).astype(np.int32)
+                ids = np.frombuffer(ids_of.of(text.as_py()) + END, dtype="<i4")
                 for start in range(0, len(ids), window):
                     pieces.append((doc_id, start, ids[start : start + window]))
                     held += len(pieces[-1][2])
