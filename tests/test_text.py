@@ -31,6 +31,13 @@ def test_normalise_math(spark, raw, want):
     assert apply(spark, raw, tx.normalise_math) == want
 
 
+def test_normalise_math_of_many_marks_takes_time_in_proportion(spark):
+    # each mark once looked at all marks again: a few thousand took hours
+    n = 20_000
+    assert apply(spark, "$$x$$" * n, tx.normalise_math) == "\\[\nx\n\\]" * n
+    assert apply(spark, "$x$ $y\n" * n + "$", tx.normalise_math) == "\\(x\\) $y\n" * n + "$"
+
+
 @pytest.mark.parametrize("raw,want", [("1.25", 1.25), ('"2.5";', 2.5), ("abc", 1.5), (None, 1.5), ("", 1.5)])
 def test_parse_time(spark, raw, want):
     assert apply(spark, raw, tx.parse_time) == want

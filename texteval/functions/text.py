@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ RULES_13A = [
     (r"([\.,])([^0-9])", r" $1 $2"),
     (r"([0-9])(-)", r"$1 $2 "),
 ]
+# A formula within a line; what lies between the marks is read once.
+INLINE_MATH = r"\$([^$\n]*+)\$"
 NOT_ASCII_WORD = "[^a-z0-9]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -113,17 +117,9 @@ def tokens(col: Column, scheme: str = "rouge") -> Column:
     return F.array_remove(parts, "")
 
 
-def _marked(parts: Column, opening: str, closing: str, alone: str) -> Column:
-    """Parts of a text joined again, the marks between them taken in pairs from the left; a last one without partner stays."""
-
-    def with_mark(part: Column, i: Column) -> Column:
-        mark = (
-            F.when(i == 0, F.lit("")).when(i % 2 == 0, F.lit(closing))
-            .when(i < F.size(parts) - 1, F.lit(opening)).otherwise(F.lit(alone))
-        )
-        return F.concat(mark, part)
-
-    return F.array_join(F.transform(parts, with_mark), "")
+def _once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is computed once, however often ``made`` names it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
 
 
 def normalise_math(col: Column) -> Column:
@@ -133,18 +129,22 @@ def normalise_math(col: Column) -> Column:
     ``$`` follows. A mark without a partner stays as it is; null stays null.
     """
 
-    def inline(part: Column) -> Column:
-        return F.array_join(F.transform(F.split(part, "\n"), lambda line: _marked(F.split(line, r"\$"), r"\(", r"\)", "$")), "\n")
-
-    parts = F.split(col, r"\$\$")
-
-    def block(part: Column, i: Column) -> Column:
-        ahead = (i > 0) & (part != "") & ~F.substring(part, 1, 1).isin("\n", "$")
-        behind = (i < F.size(parts) - 1) & (part != "") & ~F.endswith(part, F.lit("\n"))
-        line_end = lambda wanted: F.when(wanted, F.lit("\n")).otherwise(F.lit(""))
-        return F.concat(line_end(ahead), inline(part), line_end(behind))
-
-    return _marked(F.transform(parts, block), r"\[", r"\]", "$$")
+    def blocks(parts: Column) -> Column:
+        def block(part: Column, i: Column) -> Column:
+            last = F.size(parts) - 1
+            mark = (
+                F.when(i == 0, F.lit("")).when(i % 2 == 0, F.lit(r"\]"))
+                .when(i < last, F.lit(r"\[")).otherwise(F.lit("$$"))
+            )
+            ahead = (i > 0) & (part != "") & ~F.substring(part, 1, 1).isin("\n", "$")
+            behind = (i < last) & (part != "") & ~F.endswith(part, F.lit("\n"))
+            line_end = lambda wanted: F.when(wanted, F.lit("\n")).otherwise(F.lit(""))
+            inline = F.regexp_replace(part, INLINE_MATH, r"\\($1\\)")
+            return F.concat(mark, line_end(ahead), inline, line_end(behind))
+
+        return F.array_join(F.transform(parts, block), "")
+
+    return _once(F.split(col, r"\$\$"), blocks)
 
 
 def signature(*cols: Column) -> Column:
