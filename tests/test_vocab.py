@@ -51,6 +51,18 @@ def test_learns_the_rules_one_by_one_would(corpus):
     assert vocab.learn_bpe(corpus, ["text"], 12, coverage=1.0, head_words=2) == want[:12]
 
 
+def test_a_poor_head_is_mended_along_the_whole_run(spark, monkeypatch):
+    # rounds once began anew from the head after each error: hundreds for a few hundred words outside the head
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(2, 8))) for _ in range(40)) for _ in range(20)]
+    rounds, checked = [], vocab._agreed
+    monkeypatch.setattr(vocab, "_agreed", lambda *args: rounds.append(1) or checked(*args))
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    want, _ = plain_bpe(texts, 60)
+    assert vocab.learn_bpe(corpus, ["text"], 60, coverage=1.0, head_words=20) == want
+    assert len(rounds) <= 20
+
+
 def test_a_doubled_symbol_ends_the_batch(spark):
     texts = ["xxxxxxxx pcd qcd"]
     want, _ = plain_bpe(texts, 2)

@@ -2,10 +2,12 @@
 
 The corpus is read once, into counts of distinct words. Merging is one long chain of decisions, each by the counts of
 all words, so a Spark job for each merge would be thousands of jobs. Instead a round proposes a long
-run of merges from the most frequent words, a bounded head of the table, and checks all of it at once: every task
+run of merges and checks all of it at once: every task
 replays the run on its words and hands over how each merge changes each pair's count; a pair
 that was ahead of a proposed one at its turn ends the run there. What is accepted is what one-by-one merging
-gives, whatever the head's size; a larger head makes fewer rounds.
+gives. The first proposal comes from the most frequent words, a bounded head of the table. The next one puts the rest of
+the run in the order of the exact counts and changes that the check has found, so errors along the whole run
+are mended at once. Head and proposals change the number of rounds, never the rules.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ UNKNOWN = "<unk>"
 COVERAGE = 0.9995
 
 #: Words of the head and exact pair counts that come to the driver, and merges proposed in one round.
-HEAD_WORDS = 200_000
+HEAD_WORDS = 50_000
 LEADING_PAIRS = 20_000
 AHEAD = 4_096
+#: Pairs whose changes are known for the next proposal: so many for each merge that it may hold, and so many more.
+CONTENDERS, MORE_CONTENDERS = 2, 1_000
 #: Changed counts that a task holds at once.
 HELD_CHANGES = 200_000
 
@@ -118,7 +122,7 @@ def _pairs(symbols: list[str]) -> Iterator[Pair]:
 class _Head:
     """Merging on the head of the word table: pair counts, the words of each pair, and a queue of pairs."""
 
-    def __init__(self, words: list[tuple[list[str], int]], exact: dict[Pair, int]):
+    def __init__(self, words: list[tuple[list[str], float]], exact: dict[Pair, int]):
         self.words = words
         self.count: Counter[Pair] = Counter()
         self.holders: dict[Pair, set[int]] = defaultdict(set)
@@ -248,10 +252,16 @@ class _Turns:
         return t if t < end else None
 
 
-def _agreed(table: DataFrame, run: list[Pair]) -> int:
-    """How many merges of the run are those that merging one by one would choose."""
-    spark = table.sparkSession
-    changes = stored(_changes(table, run))
+def _gaining(changes: DataFrame, done: int, end: int) -> DataFrame:
+    """(a, b, now, bound): each pair's count after step ``done``, and the most it can come to before step ``end``."""
+    now = F.sum(F.when(F.col("step") <= done, F.col("change")).otherwise(0))
+    gains = F.sum(F.when((F.col("step") > done) & (F.col("step") < end), F.greatest("change", F.lit(0))).otherwise(0))
+    return changes.groupBy("a", "b").agg(now.alias("now"), (now + gains).alias("bound"))
+
+
+def _agreed(changes: DataFrame, run: list[Pair]) -> int:
+    """How many merges of the run, whose changes these are, are those that merging one by one would choose."""
+    spark = changes.sparkSession
     turns = spark.createDataFrame([(t, *p) for t, p in enumerate(run)], "turn int, a string, b string")
     at_turn = (
         changes.join(F.broadcast(turns), ["a", "b"]).filter(F.col("step") < F.col("turn"))
@@ -263,7 +273,9 @@ def _agreed(table: DataFrame, run: list[Pair]) -> int:
         run, counts = run[: counts.index(0)], counts[: counts.index(0)]
     least, n, sent = min(counts, default=0), len(run), spark.sparkContext.broadcast((run, counts))
     by_step = Window.partitionBy("a", "b").orderBy("step")
-    holding = changes.select(
+    # a pair that can't come to the least count is ahead of none
+    may = _gaining(changes, -1, n).filter(F.col("bound") >= least).select("a", "b")
+    holding = may.join(changes, ["a", "b"]).select(
         "a", "b", F.sum("change").over(by_step).alias("cnt"), (F.col("step") + 1).alias("start"),
         (F.coalesce(F.lead("step").over(by_step), F.lit(n - 1)) + 1).alias("end"),
     ).filter((F.col("cnt") >= least) & (F.col("start") < n))
@@ -278,10 +290,48 @@ def _agreed(table: DataFrame, run: list[Pair]) -> int:
         yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32())], ["turn"])
 
     turn = holding.mapInArrow(lost, "turn int").agg(F.min("turn")).first()[0] if n else None
-    delete_stored(changes)
     return n if turn is None else turn
 
 
+def _corrected(changes: DataFrame, run: list[Pair], agreed: int) -> list[Pair]:
+    """The rest of a run whose first merges agreed, proposed anew from the exact counts and changes.
+
+    Merges are chosen one by one as if each changed the counts as it did in the run; one that the run did not hold
+    changes none but its own. So the proposal may be wrong, and is checked like any other. Only the pairs that can
+    come to the highest counts, and their changes, reach the driver.
+    """
+    spark, wanted = changes.sparkSession, len(run) - agreed
+    most = CONTENDERS * wanted + MORE_CONTENDERS
+    rows = _gaining(changes, agreed - 1, len(run)).filter("bound > 0").orderBy(F.desc("bound"), "a", "b").limit(most).collect()
+    level = rows[-1].bound if len(rows) == most else 0
+    pairs, count = [(r.a, r.b) for r in rows], [r.now for r in rows]
+    named = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, a string, b string")
+    found = changes.filter(F.col("step") >= agreed).join(F.broadcast(named), ["a", "b"]).select("step", "id", "change").toArrow()
+    step, who, change = (found.column(i).to_numpy() for i in range(3))
+    order = np.argsort(step, kind="stable")
+    step, who, change = step[order], who[order], change[order]
+    turns: dict[Pair, list[int]] = {}
+    for t in range(len(run) - 1, agreed - 1, -1):
+        turns.setdefault(run[t], []).append(t)
+    queue = [(-c, *pairs[i], i) for i, c in enumerate(count) if c > level]
+    heapq.heapify(queue)
+    made: list[Pair] = []
+    while queue and len(made) < wanted:
+        cnt, *_, own = heapq.heappop(queue)
+        if count[own] != -cnt:
+            continue
+        made.append(pairs[own])
+        if turns.get(pairs[own]):
+            t = turns[pairs[own]].pop()
+            start, end = np.searchsorted(step, [t, t + 1])
+            for i, by in zip(who[start:end].tolist(), change[start:end].tolist()):
+                count[i] += by
+                if i != own and count[i] > level:
+                    heapq.heappush(queue, (-count[i], *pairs[i], i))
+        count[own] = 0
+    return made
+
+
 def _after(table: DataFrame, run: list[Pair]) -> DataFrame:
     """The word table with the run's merges done."""
     sent = table.sparkSession.sparkContext.broadcast(run)
@@ -298,20 +348,42 @@ def _after(table: DataFrame, run: list[Pair]) -> DataFrame:
     return table.mapInArrow(merge, "symbols array<string>, cnt long")
 
 
+def _head_run(table: DataFrame, head_words: int, ahead: int) -> list[Pair]:
+    """The next merges by the most frequent words and the exact counts of the leading pairs; none if no pair is left.
+
+    Words as rare as the rarest of the head are a sample of their kind and count for all words that are not in the head.
+    """
+    words = table.orderBy(F.desc("cnt"), F.xxhash64("symbols"), "symbols").limit(head_words).collect()
+    spelt = table.select(F.concat(F.lit(" "), F.array_join("symbols", " "), F.lit(" ")).alias("symbols"), "cnt")
+    leading = pair_counts(spelt).orderBy(F.desc("cnt"), "a", "b").limit(LEADING_PAIRS).collect()
+    if not leading:
+        return []
+    rarest = words[-1].cnt
+    sampled = sum(r.cnt for r in words if r.cnt == rarest)
+    outside = table.agg(F.sum("cnt")).first()[0] - sum(r.cnt for r in words)
+    weight = round(64 * (1 + outside / sampled)) / 64  # sums of 64ths are exact
+    head = [(list(r.symbols), r.cnt * (weight if r.cnt == rarest else 1)) for r in words]
+    return _Head(head, {(r.a, r.b): r.cnt for r in leading}).propose(ahead)
+
+
 def _rounds(table: DataFrame, head_words: int, ahead: int) -> Iterator[list[Pair]]:
     """Runs of accepted merges of the stored word table, until no pair is left; the last tables are deleted."""
+    run: list[Pair] = []
     try:
         while True:
-            words = table.orderBy(F.desc("cnt"), "symbols").limit(head_words).collect()
-            spelt = table.select(F.concat(F.lit(" "), F.array_join("symbols", " "), F.lit(" ")).alias("symbols"), "cnt")
-            leading = pair_counts(spelt).orderBy(F.desc("cnt"), "a", "b").limit(LEADING_PAIRS).collect()
-            if not leading:
+            run = run or _head_run(table, head_words, ahead)
+            if not run:
                 return
-            head = _Head([(list(r.symbols), r.cnt) for r in words], {(r.a, r.b): r.cnt for r in leading})
-            run = head.propose(ahead)
-            run = run[: _agreed(table, run)]
-            yield run
-            following = stored(_after(table, run))
+            changes = stored(_changes(table, run))
+            try:
+                agreed = _agreed(changes, run)
+                done, run = run[:agreed], _corrected(changes, run, agreed) if 0 < agreed < len(run) else []
+            finally:
+                delete_stored(changes)
+            if not done:  # a corrected run may begin wrong, one by the head can't
+                continue
+            yield done
+            following = stored(_after(table, done))
             delete_stored(table)
             table = following
     finally:
