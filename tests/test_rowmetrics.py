@@ -151,3 +151,12 @@ def test_zero_vector_has_no_cosine(spark):
     made = [(1, "candidate", 0, [0.0, 0.0]), (1, "reference", 0, [1.0, 0.0])]
     got = rm.greedy_cosine_f1(spark.createDataFrame(made, "item_id long, side string, pos long, vec array<double>")).first()
     assert (got.precision, got.recall, got.f1) == (0.0, 0.0, 0.0)
+
+
+def test_a_batch_is_handled_in_small_parts():
+    # a batch of 3 MB was one part, with some forty numbers for each word at once
+    texts = pa.array(["a bc " * 2000] * 150)
+    parts = list(rm._chunks(texts, texts, "whitespace"))
+    assert sum(len(size_p) for _, _, size_p, _ in parts) == 150
+    assert max(len(ids) for _, ids, _, _ in parts) <= (1 << 20) // 2
+    assert all(size_p.tolist() == size_r.tolist() == [4000] * len(size_p) for _, _, size_p, size_r in parts)

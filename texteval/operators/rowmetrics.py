@@ -53,7 +53,7 @@ def common_subsequence(a: list, b: list) -> int:
 
 
 # Bytes of text handled at a time inside a batch; a single longer row is handled alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def arrow_tokens(texts: pa.Array, scheme: str) -> pa.Array:
