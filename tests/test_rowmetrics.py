@@ -140,6 +140,17 @@ def test_cosine_blocks_give_the_same_result(spark):
     assert whole == cut and len(whole) == 3
 
 
+def test_blocks_are_full_where_positions_have_gaps(spark):
+    # a block once was so many positions, with a tenth of the tokens where items share a numbering: copies went to ten times the pairs
+    rng = random.Random(3)
+    rows = [(i % 10, s, i, [rng.gauss(0, 1) for _ in range(4)]) for s in ("candidate", "reference") for i in range(400)]
+    df = spark.createDataFrame(rows, "item_id long, side string, pos long, vec array<float>")
+    assert rm.block_width(df, "item_id", 20) == pytest.approx(200, rel=0.05)
+    assert rm.block_width(df, "item_id", 50) == 50
+    whole, cut = (sorted(map(tuple, rm.greedy_cosine_f1(df, block=b).collect())) for b in (1000, 20))
+    assert whole == cut and len(whole) == 10
+
+
 @pytest.mark.parametrize("word,want", [("caresses", "caress"), ("ponies", "poni"), ("dies", "die"), ("agreed", "agre"),
                                        ("hopping", "hop"), ("falling", "fall"), ("relational", "relat"), ("happy", "happi"),
                                        ("generalization", "gener"), ("skies", "sky"), ("enjoy", "enjoy"), ("adoption", "adopt")])
