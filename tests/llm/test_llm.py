@@ -25,7 +25,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from texteval.llm import embeddings, jaccard, langid, lmscore, mixing, packing_bfd, packing_nnls, pii, quality, secrets
+from texteval.llm import embeddings, jaccard, langid, lmscore, mixing, packing_bfd, packing_nnls, pii, quality, secrets, tokens
 from texteval.llm.queries import QUERIES
 from texteval.llm.shared import components, fold
 from texteval.llm.tokens import word_ids
@@ -87,6 +87,15 @@ def test_word_ids_equal_whole_odd_texts(text):
     assert ids.of(text) == ids.whole(text) if text else ids.of(text) == b""
 
 
+def test_cached_words_take_few_megabytes():
+    # a million cached words took hundreds of megabytes in every worker of an executor
+    ids = tokens.WordIds(TOKENIZER)
+    for n in range(0, 300_000, 10_000):
+        ids.of(" ".join(f"w{i:07d}" for i in range(n, n + 10_000)))
+    assert len(ids.cache) <= 260_000
+    assert ids.of("w0000001 w0299999") == ids.whole("w0000001 w0299999")
+
+
 def test_op1_predicts_held_out(spark, docs):
     got = rows(QUERIES["op1_language_filters"](spark, SF))
     truth = {r.doc_id: r.lang for r in docs.collect()}

@@ -11,7 +11,7 @@ from __future__ import annotations
 UNUSUAL = [*map(chr, (1, 0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 UNUSUAL_ASCII = [c for c in UNUSUAL if c.isascii()]
 MARK = "\x01"
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
 LONGEST_CACHED = 64
 
 
