@@ -17,6 +17,7 @@ import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import zstandard
@@ -75,6 +76,11 @@ def test_components_follow_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+ODD_TEXTS = list(enumerate([
+    None, "", "  ", "a\xa0b", "x\x0by z", "<|endoftext|> Don't we'll", "ÀÉ ßÖ,&&& 1a2 µm x² Σας", "\n\tE\u0301a  é.", "İstanbul ﬁn", "w" * 100 + " b", "b",
+]))
+
+
 def test_word_ids_equal_whole_texts(docs):
     ids = word_ids(TOKENIZER)
     assert all(ids.of(t) == ids.whole(t) for t in list(texts(docs).values())[:60])
@@ -96,6 +102,27 @@ def test_cached_words_take_few_megabytes():
     assert ids.of("w0000001 w0299999") == ids.whole("w0000001 w0299999")
 
 
+def test_ids_of_many_texts_equal_whole_texts(docs, monkeypatch):
+    monkeypatch.setattr(tokens, "STORED_WORDS", 2000)
+    ids, source = tokens.WordIds(TOKENIZER), [*list(texts(docs).values())[:80], *[t for _, t in ODD_TEXTS]]
+    for at in range(0, len(source), 16):
+        some = source[at : at + 16]
+        made, bounds = ids.of_texts(pa.array(some, pa.string()), 1)
+        want = [(ids.whole(t) if t else b"") + np.uint32(1).tobytes() for t in some]
+        assert [made[a:b].tobytes() for a, b in zip(bounds, bounds[1:])] == want
+    assert [len(x) for x in ids.of_texts(pa.array([], pa.string()), 1)] == [0, 1]
+
+
+def test_texts_share_the_ids_of_their_words(monkeypatch):
+    # each text looked up all its words, and a word with another ending was encoded anew
+    ids, seen = tokens.WordIds(TOKENIZER), []
+    plain = ids._new_words
+    monkeypatch.setattr(ids, "_new_words", lambda words: seen.extend(words) or plain(words))
+    for _ in range(2):
+        ids.of_texts(pa.array(["Haus, haus. Straße!!", "haus. Haus, x"] * 50), 1)
+    assert sorted(seen) == sorted(["Haus,", "haus.", "Straße!!", "x"]) and {"haus", "straße"} <= set(ids.cache)
+
+
 def test_op1_predicts_held_out(spark, docs):
     got = rows(QUERIES["op1_language_filters"](spark, SF))
     truth = {r.doc_id: r.lang for r in docs.collect()}

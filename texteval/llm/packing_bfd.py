@@ -14,12 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from texteval.llm.tokens import word_ids
+from texteval.llm.shared import slices
+from texteval.llm.tokens import TEXT_BYTES, word_ids
 
 WINDOW = 2048
 END_ID = 1
 PAD_ID = 0
-END = END_ID.to_bytes(4, "little")
 BLOCK_IDS = 4_000_000
 _ROW = (
     "sequence_id long, n_ids int, doc_ids array<long>, starts array<long>, "
@@ -118,15 +118,17 @@ def pack_matrix(docs: DataFrame, tokenizer: str, window: int = WINDOW, block_ids
         ids_of, task = word_ids(tokenizer), TaskContext.get().partitionId()
         first, held, pieces = task << 36, 0, []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(ids_of.of(text.as_py()) + END, dtype="<i4")
-                for start in range(0, len(ids), window):
-                    pieces.append((doc_id, start, ids[start : start + window]))
-                    held += len(pieces[-1][2])
-                    if held >= block_ids:
-                        made = _matrix(pieces, window, first)
-                        yield made
-                        first, held, pieces = first + made.num_rows, 0, []
+            for some in slices(batch, 1, TEXT_BYTES):
+                every, bounds = ids_of.of_texts(some.column(1), END_ID)
+                every, bounds = every.view("<i4"), bounds.tolist()
+                for doc_id, low, high in zip(some.column(0).to_pylist(), bounds, bounds[1:]):
+                    for at in range(low, high, window):
+                        pieces.append((doc_id, at - low, every[at : min(at + window, high)]))
+                        held += len(pieces[-1][2])
+                        if held >= block_ids:
+                            made = _matrix(pieces, window, first)
+                            yield made
+                            first, held, pieces = first + made.num_rows, 0, []
         if pieces:
             yield _matrix(pieces, window, first)
 

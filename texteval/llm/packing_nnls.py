@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from texteval.llm.shared import settle
-from texteval.llm.tokens import word_ids
+from texteval.llm.shared import settle, slices
+from texteval.llm.tokens import TEXT_BYTES, word_ids
 
 WINDOW = 2048
 END_ID = 1
@@ -34,16 +34,15 @@ def _pieces(path: str, window: int):
 
         ids_of, task = word_ids(path), TaskContext.get().partitionId()
         seen = [0] * (window + 1)
-        end = np.asarray([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in (some for every in batches for some in slices(every, 1, TEXT_BYTES)):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of.of(text.as_py()) + end
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    cut = ids[4 * start : 4 * (start + window)]
-                    length = len(cut) // 4
-                    rows.append((doc_id, start, length, zlib.crc32(cut), total, task, seen[length]))
+            ids, bounds = ids_of.of_texts(batch.column(1), END_ID)
+            raw, bounds = memoryview(ids).cast("B"), bounds.tolist()
+            for doc_id, low, high in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
+                for at in range(low, high, window):
+                    length = min(window, high - at)
+                    crc = zlib.crc32(raw[4 * at : 4 * (at + length)])
+                    rows.append((doc_id, at - low, length, crc, high - low, task, seen[length]))
                     seen[length] += 1
             if rows:
                 names = [part.split() for part in _PIECE.split(", ")]

@@ -32,6 +32,19 @@ def settle(df: DataFrame) -> DataFrame:
     return back
 
 
+def slices(batch, column: int, most: int):
+    """An Arrow batch in runs of rows with about ``most`` bytes in a column of texts."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    place = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(sizes)]
+    for start, end in zip(cuts, cuts[1:]):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing will read any more."""
     path = getattr(df, "_scratch", None)
