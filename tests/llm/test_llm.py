@@ -450,6 +450,28 @@ def test_op8_fitting_texts_are_read_by_all_tasks(spark):
     assert [r.text for r in got] == [f"w{i}" for i in range(8)] and {r.at for r in got} == {0}
 
 
+def test_op8_learns_from_all_training_texts(spark, monkeypatch):
+    # some texts fitted the weights only and were missing from the counts, the others from the weights
+    table = spark.createDataFrame([(i, f"word number {i} of a text, and {i % 7} more") for i in range(60)], "doc_id long, text string")
+    training, read, cells = 40, {}, []
+    for name in ("word_counts", "context_counts", "input_counts"):
+        made = getattr(lmscore, name)
+        monkeypatch.setattr(lmscore, name, lambda texts, *more, name=name, made=made: read.update({name: texts.count()}) or made(texts, *more))
+    fit = lmscore.fit_weights
+    monkeypatch.setattr(lmscore, "fit_weights", lambda counted: cells.extend(counted.collect()) or fit(counted))
+    got = lmscore.score(table, F.col("doc_id") < training, slot_bits=14).collect()
+    assert read == {"word_counts": training, "context_counts": training, "input_counts": training}
+    assert all(math.isfinite(r.score) for r in got) and sum(r.n for r in cells) > 10 * training
+
+
+def test_op8_predicts_a_bit_without_itself():
+    table = np.array([[[0, 0], [1, 0], [3, 1], [0, 40]]] * 3, "<u2")
+    code = lmscore._without_itself(table)[1].reshape(-1, 2)
+    assert (code & 3).tolist() == [[0, 0], [0, 1], [2, 2], [3, 3]]  # how much is seen beside a bit 0, a bit 1
+    steps = (code >> 2).astype(int) - 12
+    assert steps[1].tolist() == [0, -2] and steps[2].tolist() == [-1, -3] and steps[3][0] == steps[3][1] == 6
+
+
 def _links(source):
     sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for k, t in source.items()}
     near, least = collections.Counter(), {k: k for k in sets}

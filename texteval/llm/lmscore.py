@@ -5,7 +5,8 @@ Huffman code; any other word is an escape and its bytes, which have a Huffman co
 three contexts - for code bits the place in the code tree alone, with the word before, with the two words before;
 for byte bits two, three and five bytes before - whose hashed slots hold the bits' counts in the
 training corpus. A logistic mixer adds the predictors' log odds with weights chosen by a gate (kind of bit
-and how much the longer contexts have seen). Every document starts from the same weights
+and how much the longer contexts have seen). The weights are fitted to all training texts, each bit predicted from
+the counts without itself. Every document starts from these weights
 and refines them after each stretch of its words, so scores don't depend on the order of documents.
 
 Sizes that don't grow with the corpus: the dictionary, the slots and the weights. Word counts are
@@ -23,21 +24,19 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from texteval.llm.shared import settle
+from texteval.llm.shared import settle, slices
 
 DICTIONARY = 1 << 18
 SLOT_BITS = 21
 ORDERS = 3
-#: Mixing weights start from a fit on so many training documents at most, and on a tenth of them at most.
-WEIGHT_DOCS = 400
 STRETCH = 64
 RATE = 0.002
 BATCH_TOKENS = 200_000
 #: Documents whose next stretches are mixed at once.
-WIDTH = 64
+WIDTH = 128
 #: Bytes of text split into words at once, and tokens counted at once.
 SPLIT_BYTES = 6 << 20
 COUNTED_TOKENS = 2_000_000
@@ -48,6 +47,9 @@ _GATES = 32
 _PRIOR = 0.4
 #: Log odds are kept as whole multiples of one part of this.
 _ODDS_UNIT = 680
+#: The fit of the weights counts bits by log odds in steps of this, so many to either side of 0.
+_FIT_STEP = 0.75
+_FIT_SIDE = 12
 _A, _B, _C, _D = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
 
 
@@ -109,16 +111,6 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real).view(pa.binary()), np.bincount(owner, minlength=len(texts))
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about ``SPLIT_BYTES`` of text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    place = np.cumsum(sizes, dtype=np.int64) // SPLIT_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(sizes)]
-    for start, end in zip(cuts, cuts[1:]):
-        if end > start:
-            yield batch.slice(start, end - start)
-
-
 class Stream:
     """Turns words into contexts and bits."""
 
@@ -218,7 +210,7 @@ def _groups(batches: Iterator[pa.RecordBatch], stream: Stream, column: int, most
     """Lists of (batch, row, document) of about ``most`` tokens, longest documents first."""
     held, size = [], 0
     for batch in batches:
-        for some in _slices(batch, column):
+        for some in slices(batch, column, SPLIT_BYTES):
             for i, document in enumerate(stream.documents(some.column(column))):
                 held.append((some, i, document))
                 size += len(document.ids)
@@ -238,7 +230,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         ends += len(batch)
-        for some in _slices(batch, 0):
+        for some in slices(batch, 0, SPLIT_BYTES):
             held.append(split_words(some.column(0))[0])
             size += len(held[-1])
             if size >= COUNTED_TOKENS:
@@ -362,51 +354,77 @@ def start_weights() -> np.ndarray:
     return weights
 
 
-def fitting_texts(train: DataFrame, order: Column, documents: int, most: int) -> Column:
-    """Which training texts fit the weights: the first in hash order, a tenth of them and ``most`` at most.
-
-    They are left out of the slots' counts, as a model can't learn how far to trust counts from the bits counted.
-    """
-    wanted = min(most, documents // 10)
-    if not wanted:
-        return F.lit(False)
-    last = train.select(order.alias("h")).orderBy("h").limit(wanted).agg(F.max("h")).first()[0]
-    return order <= last
-
-
 def one_task(sample: DataFrame) -> DataFrame:
     """The few chosen texts in one task, in a fixed order; all tasks look for them."""
     return sample.select("text").repartition(1).sortWithinPartitions("text")
 
 
-def fit_weights(sample: DataFrame, known, slots_known, slot_bits: int) -> np.ndarray:
-    """Weights by Newton steps of a logistic regression per gate, on a bounded sample of texts."""
+def _without_itself(table: np.ndarray) -> list[np.ndarray]:
+    """By order, for each slot and bit: 4 * step of the log odds + how much is seen, from the counts less that bit."""
+    codes = []
+    for pair in table:
+        code = np.empty((len(pair), 2), np.uint8)
+        for y in (0, 1):
+            less = pair.astype(np.int32)
+            less[:, y] -= less[:, y] > 0
+            odds = np.log((less[:, 1] + np.float32(_PRIOR)) / (less[:, 0] + np.float32(_PRIOR)))
+            step = np.clip(np.rint(odds / np.float32(_FIT_STEP)), -_FIT_SIDE, _FIT_SIDE).astype(np.int32) + _FIT_SIDE
+            code[:, y] = step * 4 + np.searchsorted([1, 3, 16], less.sum(1), side="right")
+        codes.append(code.ravel())
+    return codes
+
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, mixer, weights = Stream(known.value, slot_bits), Mixer(slots_known.value), start_weights()
-        held = []
-        for group in _groups(batches, stream, 0):
-            for _, _, tokens in Group(stream, [d for _, _, d in group]).stretches(10_000, WIDTH):
+def input_counts(texts: DataFrame, known, slots_known, slot_bits: int) -> DataFrame:
+    """(cell, n): how often each combination of inputs, gate and bit occurs in all bits of the training texts.
+
+    A cell is kind, order 2, order 1 (7 bits each), order 0 (5 bits) and the bit: at most 2 million, whatever the corpus.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, codes, one = Stream(known.value, slot_bits), _without_itself(slots_known.value), np.uint32(1)
+        codes[0] >>= 2
+        seen = np.zeros(1 << 21, np.uint32)
+        for group in _groups(batches, stream, 0, 10_000):
+            for _, _, tokens in Group(stream, [d for _, _, d in group]).stretches(10_000, len(group)):
                 s, y, kind, _ = stream.slots(*tokens)
-                x, gate = mixer.inputs(s, kind)
-                held.append((np.column_stack([np.ones(len(y)), *x]).astype(np.float32), y, gate.astype(np.uint8)))
-        if held:
-            x, y, gate = (np.concatenate(parts) for parts in zip(*held))
-            for g in range(_GATES):
-                own = gate == g
-                if not own.any():
-                    continue
-                xg, yg = x[own].astype(np.float64), y[own]
-                for _ in range(8):
-                    p = 1 / (1 + np.exp(-np.clip(xg @ weights[g], -30, 30)))
-                    # held near the start where a gate has few bits
-                    slope = xg.T @ (yg - p) - 5.0 * (weights[g] - start_weights()[g])
-                    curve = (xg * (p * (1 - p))[:, None]).T @ xg + 5.0 * np.eye(ORDERS + 1)
-                    weights[g] += np.clip(np.linalg.solve(curve, slope), -1, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(weights.ravel())], ["weight"])
-
-    got = one_task(sample).mapInArrow(fit, "weight double").collect()  # one small table of weights
-    return np.array([r["weight"] for r in got]).reshape(-1, _GATES, ORDERS + 1)[0] if got else start_weights()
+                cell = kind >> 4
+                for k, bits in ((2, 7), (1, 7), (0, 5)):
+                    at = s[k]
+                    at *= 2
+                    at += y
+                    cell <<= bits
+                    cell |= codes[k].take(at)
+                cell <<= 1
+                cell |= y
+                np.add.at(seen, cell, one)
+        cells = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(seen[cells].astype(np.int64))], ["cell", "n"])
+
+    return texts.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def fit_weights(counted: DataFrame) -> np.ndarray:
+    """Weights by Newton steps of a logistic regression per gate on ``input_counts``."""
+    got = counted.toArrow()  # at most the cells
+    cell, n = (got.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    order = np.argsort(cell)
+    cell, n = cell[order], n[order].astype(np.float64)
+    y, zero, one, two = cell & 1, cell >> 1 & 31, cell >> 6 & 127, cell >> 13 & 127
+    x = np.column_stack([np.ones(len(cell)), *((v - _FIT_SIDE) * _FIT_STEP for v in (zero, one >> 2, two >> 2))])
+    gate, weights = (cell >> 20) * 16 + (two & 3) * 4 + (one & 3), start_weights()
+    for g in np.unique(gate).tolist():
+        own = gate == g
+        xg, yg, ng = x[own], y[own], n[own]
+        for _ in range(20):
+            p = 1 / (1 + np.exp(-np.clip(xg @ weights[g], -30, 30)))
+            # held near the start where a gate has few bits
+            slope = xg.T @ (ng * (yg - p)) - 5.0 * (weights[g] - start_weights()[g])
+            curve = (xg * (ng * p * (1 - p))[:, None]).T @ xg + 5.0 * np.eye(ORDERS + 1)
+            change = np.clip(np.linalg.solve(curve, slope), -1, 1)
+            weights[g] += change
+            if np.abs(change).max() < 1e-6:
+                break
+    return weights
 
 
 def score(docs: DataFrame, training, key: str = "doc_id", dictionary: int = DICTIONARY, slot_bits: int = SLOT_BITS, rate: float = RATE) -> DataFrame:
@@ -422,11 +440,8 @@ def score(docs: DataFrame, training, key: str = "doc_id", dictionary: int = DICT
     counts = word_counts(train)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     known = spark.sparkContext.broadcast(build_code(counts, total, dictionary))  # at most the dictionary
-    code = known.value
-    order = F.xxhash64("key", "text", F.lit(3))
-    fitting = fitting_texts(train, order, int(code.counts[code.escape - 1]), WEIGHT_DOCS)
-    table = spark.sparkContext.broadcast(context_counts(train.filter(~fitting), known, slot_bits))  # at most the slots
-    weights = spark.sparkContext.broadcast(fit_weights(train.filter(fitting), known, table, slot_bits))
+    table = spark.sparkContext.broadcast(context_counts(train, known, slot_bits))  # at most the slots
+    weights = spark.sparkContext.broadcast(fit_weights(input_counts(train, known, table, slot_bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, mixer = Stream(known.value, slot_bits), Mixer(table.value)
