@@ -123,6 +123,15 @@ def test_texts_share_the_ids_of_their_words(monkeypatch):
     assert sorted(seen) == sorted(["Haus,", "haus.", "Straße!!", "x"]) and {"haus", "straße"} <= set(ids.cache)
 
 
+def test_a_long_word_does_not_keep_others_from_the_store():
+    ids, text = tokens.WordIds(TOKENIZER), "one " + "q" * 1000 + " two, é 1"
+    for _ in range(2):
+        made, bounds = ids.of_texts(pa.array([text, "two, six"]), 1)
+        assert made[: bounds[1]].tobytes() == ids.whole(text) + np.uint32(1).tobytes()
+        assert made[bounds[1] :].tobytes() == ids.whole("two, six") + np.uint32(1).tobytes()
+    assert sorted(ids.store.to_pylist()) == ["1", "one", "six", "two,", "é"] and len(ids.starts) == 6 and len(ids.ids) == ids.starts[-1]
+
+
 def test_op1_predicts_held_out(spark, docs):
     got = rows(QUERIES["op1_language_filters"](spark, SF))
     truth = {r.doc_id: r.lang for r in docs.collect()}

@@ -173,15 +173,18 @@ class WordIds:
             length, first = (self.starts[place + 1] - self.starts[place]).astype(np.int64), self.starts[place].astype(np.int64)
         if len(new):
             fresh = words.filter(missing)
+            long = pc.greater(pc.binary_length(fresh), 4 * LONGEST_CACHED).to_numpy(zero_copy_only=False)
+            order = np.argsort(long, kind="stable")  # words that are not kept come last
+            new, fresh, kept = new[order], fresh.take(pa.array(order)), len(new) - np.count_nonzero(long)
             made = self._new_words(fresh.to_pylist())
             n = np.array([len(x) // 4 for x in made])
-            length[new], first[new] = n, len(ids) + np.cumsum(n) - n
+            stop = len(ids) + np.cumsum(n)
+            length[new], first[new] = n, stop - n
             ids = np.concatenate([ids, np.frombuffer(b"".join(made), "<u4")])
-            short = pc.less_equal(pc.binary_length(fresh), 4 * LONGEST_CACHED)
-            if pc.all(short).as_py():
-                self.store = pa.concat_arrays([self.store, fresh])
-                self.starts = np.concatenate([self.starts, (first[new] + n).astype(np.int32)])
-                self.ids = ids
+            if kept:
+                self.store = pa.concat_arrays([self.store, fresh.slice(0, kept)])
+                self.starts = np.concatenate([self.starts, stop[:kept].astype(np.int32)])
+                self.ids = ids[: stop[kept - 1]]
         return length, first, ids
 
     def _forget(self) -> None:
