@@ -417,6 +417,24 @@ def test_op6_finds_disclosing_terms(spark):
     assert "Zebulon" not in clean[0].clean and "[EMAIL]" in clean[0].clean and "about" in clean[0].clean
 
 
+def test_op6_texts_stay_where_they_are(spark, monkeypatch):
+    made = [(i, f"note {i} from Zebulon about ann@example.org in week {'abcdef'[i]}x") for i in range(6)]
+    made += [(10 + i, f"plain note about the weather in week number and {i}") for i in range(60)]
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = pii.scan(table, ["doc_id"])
+        plan = spark._jvm.PythonSQLUtils.explainString(near._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"\) Exchange\n(Input.*)", plan)
+        assert moved and not any("free#" in x for x in moved)
+        monkeypatch.setattr(pii, "LIGHT", 0)  # tables over the limit are shuffled, with the same rows
+        monkeypatch.setattr(pii, "LIGHT_ROWS", 0)
+        assert sorted(near.collect()) == sorted(pii.scan(table, ["doc_id"]).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_op7_places_every_id_once(spark, docs, odd, empty):
     ids = word_ids(TOKENIZER)
     for table, window in ((docs, 2048), (docs, 128), (odd, 2048)):

@@ -12,6 +12,8 @@ the lengths of what ``split`` leaves between them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,9 @@ TERM = r"\p{L}[\p{L}\p{N}'-]+"
 COMMON = 1000
 DISCLOSURE = 0.9
 REMOVAL = 0.999
+#: Bytes that a table joined with the texts may have so that it is broadcast and the texts stay where they are: a table's contents, and row numbers alone.
+LIGHT = 16 << 20
+LIGHT_ROWS = 128 << 20
 _SPAN = "struct<start: bigint, kind: int, end: bigint, value: string>"
 
 
@@ -81,6 +86,12 @@ def _own() -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all("free", F.lit(TERM), 0), F.lower))
 
 
+def _beside(df: DataFrame, value: str | None, most: int) -> DataFrame:
+    """A settled table (row, ``value``) to join texts with: broadcast if its size, which is counted, is at most ``most``."""
+    each = F.lit(8) if value is None else F.length(F.col(value).cast("string")) + 8
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= most else df
+
+
 def entities(docs: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, a row number, the pattern spans of each text, its entities, a hash of it, and the text with blanks for the spans.
 
@@ -113,14 +124,17 @@ def disclosing_terms(found: DataFrame, disclosure: float = DISCLOSURE) -> DataFr
     occurs in two documents of different text, so that copies of one text are no evidence.
     """
     rows = found.count()
-    with_term = settle(found.select(F.explode(_own()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
+    # a term of one document is in no pair
+    with_term = settle(
+        found.select(F.explode(_own()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).filter("n_term > 1")
+    )
     holders = found.filter(F.size("entities") > 0)
     with_entity = settle(
         holders.select("copy", F.inline("entities")).groupBy("kind", "entity")
         .agg(F.count(F.lit(1)).alias("n_entity"), (F.min("copy") != F.max("copy")).alias("varied"))
         .filter("n_entity > 1 and varied").drop("varied")
     )
-    held = (
+    held = settle(
         holders.select("row", F.inline("entities")).join(with_entity, ["kind", "entity"])
         .groupBy("row").agg(F.collect_list(F.struct("kind", "entity", "n_entity")).alias("held"))
     )
@@ -131,9 +145,15 @@ def disclosing_terms(found: DataFrame, disclosure: float = DISCLOSURE) -> DataFr
 
     common = F.broadcast(with_term.filter(F.col("n_term") * COMMON > rows).withColumnRenamed("n_term", "n_common"))
     reaches = F.col("n_common").isNull() | (information("n_common") + 1e-9 >= information("n_entity") * disclosure)
+    # terms too common for the most frequent entity are left out before any row moves
+    most = with_entity.agg(F.max("n_entity")).first()[0]
+    least = disclosure * math.log(rows / most) if most else 0.0
+    own = (
+        holders.select("row", "copy", F.explode(_own()).alias("term")).join(common, "term", "left")
+        .filter(F.col("n_common").isNull() | (information("n_common") + 2e-9 >= least))
+    )
     together = settle(
-        holders.select("row", "copy", _own().alias("own")).join(held, "row").select("copy", "held", F.explode("own").alias("term"))
-        .join(common, "term", "left").select("copy", "term", "n_common", F.inline("held")).filter(reaches)
+        own.join(_beside(held, "held", LIGHT), "row").select("copy", "term", "n_common", F.inline("held")).filter(reaches)
         .groupBy("kind", "entity", "term")
         .agg(F.count(F.lit(1)).alias("both"), F.max("n_entity").alias("n_entity"), (F.min("copy") != F.max("copy")).alias("varied"))
         .filter("both > 1 and varied").drop("varied")
@@ -173,8 +193,11 @@ def scan(docs: DataFrame, keys: list[str], disclosure: float = DISCLOSURE, remov
     )
     spans = places("free", TERM, made, "struct<start: bigint, kind: int, end: bigint, mark: string>", "map_contains_key(hits, lower(x['1']))")
     # few rows have hits, so their numbers go ahead and the other texts stay where they are
-    few = settle(hits.select("row"))
-    added = found.select("row", "free").join(few, "row", "left_semi").join(hits, "row").select("row", F.expr(spans).alias("terms"))
+    few = _beside(hits.select("row"), None, LIGHT_ROWS)
+    added = (
+        found.select("row", "free").join(few, "row", "left_semi").join(_beside(hits, "hits", LIGHT), "row")
+        .select("row", F.expr(spans).alias("terms"))
+    )
     every = found.drop("free").join(added, "row", "left").withColumn(
         "found",
         F.expr(
