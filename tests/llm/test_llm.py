@@ -538,6 +538,15 @@ def test_op9_hot_group_in_blocks(spark, odd):
     assert left.columns == odd.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 7, None, 9]))
 
 
+def test_op9_one_of_each_groups_only_repeated_rows(spark):
+    made = [(i, f"a text of its own with the number {i} in it") for i in range(40)] + [(3, "a text of its own with the number 3 in it")] * 2
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    left = jaccard.one_of_each(table)
+    assert sorted(left.collect()) == sorted(table.distinct().collect())
+    plan = spark._jvm.PythonSQLUtils.explainString(left._jdf.queryExecution(), "simple")
+    assert "Window" not in plan
+
+
 def test_op10_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     centers = rng.standard_normal((12, 24))

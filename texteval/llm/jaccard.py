@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from texteval.llm.shared import block_links, components, settle, shared_buckets
@@ -185,14 +185,15 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows without a doc_id go if their group has one with, and all stay otherwise.
     """
     found = settle(near_duplicates(docs, **options))
-    several = F.sum(F.when(F.col("kept") & (F.col("n_links") > 0) & F.col("doc_id").isNotNull(), 1).otherwise(0)) > 1
+    repeated = F.sum(F.when(F.col("kept") & (F.col("n_links") > 0) & F.col("doc_id").isNotNull(), 1).otherwise(0)) > 1
     marks = (
         found.groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
-        .agg(F.min("kept").alias("__stays"), several.alias("__several")).filter("not __stays or __several")
+        .agg(F.min("kept").alias("__stays"), repeated.alias("__several")).filter("not __stays or __several")
     )
-    # one regrouping of the texts serves both: rows that go, and rows that occur more than once
     keyed = docs.withColumn("__text_key", F.xxhash64("text"))
     left = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["__doc"]) & (keyed["__text_key"] == marks["__key"]), "left")
     left = left.filter("coalesce(__stays, true)")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__text_key").orderBy(F.lit(0)))
-    return left.withColumn("__nth", nth).filter("__nth = 1 or not coalesce(__several, false)").select(*docs.columns)
+    # only rows that occur more than once are grouped; both branches read the same regrouping of the texts
+    once = left.filter("not coalesce(__several, false)").select(*docs.columns)
+    several = left.filter("__several").dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)
+    return once.unionByName(several)
