@@ -538,6 +538,15 @@ def test_op9_hot_group_in_blocks(spark, odd):
     assert left.columns == odd.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 7, None, 9]))
 
 
+def test_op8_slots_without_owners_are_the_same():
+    stream = lmscore.Stream(lmscore.Code([b"ab", b"cd", lmscore.END], [5, 3, 2], 4), 12)
+    ids, back, back2, who = np.array([0, 3, 1, 2]), np.array([-1, 0, 3, 1]), np.array([-1, -1, 0, 3]), np.array([0, 0, 1, 1])
+    s, y, kind, whose = stream.slots(ids, back, back2, who, [b"xyz"], np.array([0]))
+    t, z, sort, nobody = stream.slots(ids, back, back2, None, [b"xyz"], None)
+    assert all(np.array_equal(a, b) for a, b in zip([*s, y, kind], [*t, z, sort])) and nobody is None
+    assert len(whose) == len(y) == len(s[0]) and set(kind.tolist()) == {0, 16}
+
+
 def test_op9_one_of_each_groups_only_repeated_rows(spark):
     made = [(i, f"a text of its own with the number {i} in it") for i in range(40)] + [(3, "a text of its own with the number 3 in it")] * 2
     table = spark.createDataFrame(made, "doc_id long, text string")

@@ -82,12 +82,13 @@ class Huffman:
             self.step[self.first[who] + self.length[who] - 1 - k] = step
 
     def paths(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many bits each symbol has, and 2 * node + bit for every bit."""
+        """For every bit, which of ``symbols`` it belongs to, and 2 * node + bit."""
         lengths = self.length.take(symbols)
         ends = np.cumsum(lengths)
-        at = np.repeat(self.first.take(symbols) - ends + lengths, lengths)
+        owner = np.repeat(np.arange(len(symbols)), lengths)
+        at = (self.first.take(symbols) - ends + lengths).take(owner)
         at += np.arange(len(at))
-        return lengths, self.step.take(at)
+        return owner, self.step.take(at)
 
 
 class Code:
@@ -132,44 +133,51 @@ class Stream:
         return [Document(ids[i:j], spelled[a:b]) for i, j, a, b in cuts]
 
     def slots(self, ids, before, before2, who, spelled: list[bytes], spelled_who):
-        """(slots per order, bits, kinds, whose) of tokens and of the words to be spelled."""
-        bits, step = self.code.tokens.paths(ids)
+        """(slots per order, bits, kinds, whose) of tokens and of the words to be spelled; without ``who`` nobody's."""
+        owner, step = self.code.tokens.paths(ids)
+        raw = np.frombuffer(b" ".join([*spelled, b""]) if spelled else b"", np.uint8)
+        letter, letter_step = self.code.letters.paths(raw)
+        n_tokens = len(owner)
+        s = [np.empty(n_tokens + len(letter), np.intp) for _ in range(ORDERS)]
+        y = np.empty(n_tokens + len(letter), np.uint8)
+        kind = np.zeros(len(y), np.intp)
+        kind[n_tokens:] = 16
         one = (before + 2).astype(np.uint32) * _B
         two = (one ^ (before2 + 2).astype(np.uint32) * _D) * _C
-        node, y = step >> np.uint32(1), (step & np.uint32(1)).astype(np.uint8)
-        hashed = node * _A
-        s = [node.astype(np.intp)]
-        for context in (one, two):
-            place = np.repeat(context, bits)
-            place += hashed
-            s.append(self._slot(place))
-        whose, n_tokens = np.repeat(who, bits), len(y)
-        if spelled:
-            raw = np.frombuffer(b" ".join([*spelled, b""]), np.uint8)
+        node = step >> np.uint32(1)
+        np.bitwise_and(step, np.uint32(1), out=y[:n_tokens], casting="unsafe")
+        s[0][:n_tokens] = node
+        node *= _A
+        for k, context in enumerate((one, two), 1):
+            place = context.take(owner)
+            place += node
+            self._slot(place, s[k][:n_tokens])
+        whose = None if who is None else np.empty(len(y), np.intp)
+        if who is not None:
+            who.take(owner, out=whose[:n_tokens], mode="clip")
+        if len(raw):
             sizes = np.array([len(w) + 1 for w in spelled])
             place = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             prev = [np.where(place >= k, np.roll(raw, k), 32).astype(np.uint32) for k in (1, 2, 3, 4, 5)]
-            bits, step = self.code.letters.paths(raw)
-            node = step >> np.uint32(1)
+            node = letter_step >> np.uint32(1)
             two = prev[0] * _A + prev[1] * _B
             three = two + prev[2] * _D
             contexts = (two * _C, three * _C, (three + prev[3] * _C + prev[4] * np.uint32(0x1B873593)) * _A + np.uint32(12345))
-            hashed = [(np.repeat(c, bits) + node) * _B + np.uint32(77) for c in contexts]
-            first = (hashed[0] * _D >> np.uint32(4)) % self.room + np.uint32(self.code.tokens.nodes)
-            extra = [first.astype(np.intp), self._slot(hashed[1]), self._slot(hashed[2])]
-            s = [np.concatenate(pair) for pair in zip(s, extra)]
-            y = np.concatenate([y, (step & np.uint32(1)).astype(np.uint8)])
-            whose = np.concatenate([whose, np.repeat(np.repeat(spelled_who, sizes), bits)])
-        kind = np.zeros(len(y), np.intp)
-        kind[n_tokens:] = 16
+            hashed = [(c.take(letter) + node) * _B + np.uint32(77) for c in contexts]
+            s[0][n_tokens:] = (hashed[0] * _D >> np.uint32(4)) % self.room + np.uint32(self.code.tokens.nodes)
+            for k in range(1, ORDERS):
+                self._slot(hashed[k], s[k][n_tokens:])
+            np.bitwise_and(letter_step, np.uint32(1), out=y[n_tokens:], casting="unsafe")
+            if who is not None:
+                whose[n_tokens:] = np.repeat(spelled_who, sizes).take(letter)
         return s, y, kind, whose
 
-    def _slot(self, hashed: np.ndarray) -> np.ndarray:
+    def _slot(self, hashed: np.ndarray, out: np.ndarray) -> None:
         mixed = hashed >> np.uint32(15)
         mixed ^= hashed
         mixed *= _D
         mixed >>= self.shift
-        return mixed.astype(np.intp)
+        out[:] = mixed
 
 
 class Document(NamedTuple):
@@ -283,17 +291,17 @@ def context_counts(texts: DataFrame, known, slot_bits: int) -> np.ndarray:
         table = np.zeros((ORDERS, slots * 2), np.uint32)
         tokens_seen, one = np.zeros(len(stream.code.counts), np.int64), np.uint32(1)
         for group in _groups(batches, stream, 0, 10_000):
-            for _, _, tokens in Group(stream, [d for _, _, d in group]).stretches(10_000, len(group)):  # long ones in parts
-                s, y, kind, _ = stream.slots(*tokens)
-                np.add.at(tokens_seen, tokens[0], 1)
+            for _, _, (ids, one_before, two_before, _, spelled, _) in Group(stream, [d for _, _, d in group]).stretches(10_000, len(group)):  # long ones in parts
+                s, y, kind, _ = stream.slots(ids, one_before, two_before, None, spelled, None)
+                np.add.at(tokens_seen, ids, 1)
                 coded = len(y) - np.count_nonzero(kind)
                 np.add.at(table[0], s[0][coded:] * 2 + y[coded:], one)
                 for k in range(1, ORDERS):
                     np.add.at(table[k], s[k] * 2 + y, one)
         # the place in the code tree alone: a token's path as often as the token
         ids = np.flatnonzero(tokens_seen)
-        bits, step = stream.code.tokens.paths(ids)
-        np.add.at(table[0], step, np.repeat(tokens_seen[ids], bits).astype(np.uint32))
+        owner, step = stream.code.tokens.paths(ids)
+        np.add.at(table[0], step, tokens_seen[ids].astype(np.uint32).take(owner))
         parts = table.reshape(-1, 2 * min(_PART, slots))
         touched = np.flatnonzero(parts.any(1))
         for p in touched.tolist():
@@ -385,8 +393,8 @@ def input_counts(texts: DataFrame, known, slots_known, slot_bits: int) -> DataFr
         codes[0] >>= 2
         seen = np.zeros(1 << 21, np.uint32)
         for group in _groups(batches, stream, 0, 10_000):
-            for _, _, tokens in Group(stream, [d for _, _, d in group]).stretches(10_000, len(group)):
-                s, y, kind, _ = stream.slots(*tokens)
+            for _, _, (ids, one_before, two_before, _, spelled, _) in Group(stream, [d for _, _, d in group]).stretches(10_000, len(group)):
+                s, y, kind, _ = stream.slots(ids, one_before, two_before, None, spelled, None)
                 cell = kind >> 4
                 for k, bits in ((2, 7), (1, 7), (0, 5)):
                     at = s[k]
