@@ -547,6 +547,22 @@ def test_op8_slots_without_owners_are_the_same():
     assert len(whose) == len(y) == len(s[0]) and set(kind.tolist()) == {0, 16}
 
 
+def test_op8_splits_texts_once(spark, monkeypatch):
+    # counting, fitting and scoring each split all texts and looked up their words
+    made = [(0, "The cat  sat zyx"), (1, None), (2, " "), (3, "cat wvu the\nq")]
+    table, read = spark.createDataFrame(made, "doc_id long, text string"), {}
+    for name in ("context_counts", "input_counts"):
+        own = getattr(lmscore, name)
+        monkeypatch.setattr(lmscore, name, lambda texts, *more, name=name, own=own: read.update({name: texts}) or own(texts, *more))
+    assert lmscore.score(table, F.lit(True), slot_bits=14).count() == 4
+    assert all("text" not in r.columns for r in read.values()) and len(read) == 2
+    known = ["cat", "the"]  # seen twice; then the end and words to be spelled
+    for r in read["input_counts"].collect():
+        tokens = (made[r.key][1] or "").lower().split()
+        assert np.frombuffer(r.ids, np.int32).tolist() == [known.index(w) if w in known else 3 for w in tokens] + [2]
+        assert [bytes(w).decode() for w in r.spelled] == [w for w in tokens if w not in known]
+
+
 def test_op9_one_of_each_groups_only_repeated_rows(spark):
     made = [(i, f"a text of its own with the number {i} in it") for i in range(40)] + [(3, "a text of its own with the number 3 in it")] * 2
     table = spark.createDataFrame(made, "doc_id long, text string")

@@ -82,13 +82,11 @@ class Huffman:
             self.step[self.first[who] + self.length[who] - 1 - k] = step
 
     def paths(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For every bit, which of ``symbols`` it belongs to, and 2 * node + bit."""
+        """How many bits each of ``symbols`` has, and 2 * node + bit for all of them in a row."""
         lengths = self.length.take(symbols)
-        ends = np.cumsum(lengths)
-        owner = np.repeat(np.arange(len(symbols)), lengths)
-        at = (self.first.take(symbols) - ends + lengths).take(owner)
+        at = np.repeat(self.first.take(symbols) - np.cumsum(lengths) + lengths, lengths)
         at += np.arange(len(at))
-        return owner, self.step.take(at)
+        return lengths, self.step.take(at, mode="clip")
 
 
 class Code:
@@ -120,26 +118,25 @@ class Stream:
         self.room = np.uint32((1 << slot_bits) - code.tokens.nodes)
         self.words = pa.array(code.words, pa.binary())
 
-    def documents(self, texts: pa.Array) -> list[Document]:
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Token ids of all texts in a row, how many each text has, the words to be spelled, and how many each has."""
         words, sizes = split_words(texts)
         found = pc.index_in(words, self.words)
         # each text has one end, the dictionary's last word
-        ids = np.full(len(words) + len(sizes), self.code.escape - 1)
+        ids = np.full(len(words) + len(sizes), self.code.escape - 1, np.int32)
         ids[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = pc.fill_null(found, self.code.escape).to_numpy()
-        spelled, escapes = words.filter(pc.is_null(found)).to_pylist(), np.flatnonzero(ids == self.code.escape)
         ends = np.cumsum(sizes + 1)
-        starts = ends - sizes - 1
-        cuts = zip(starts.tolist(), ends.tolist(), *(np.searchsorted(escapes, at).tolist() for at in (starts, ends)))
-        return [Document(ids[i:j], spelled[a:b]) for i, j, a, b in cuts]
+        rare = np.searchsorted(np.flatnonzero(ids == self.code.escape), ends)
+        return ids, sizes + 1, words.filter(pc.is_null(found)), np.diff(rare, prepend=0)
 
     def slots(self, ids, before, before2, who, spelled: list[bytes], spelled_who):
         """(slots per order, bits, kinds, whose) of tokens and of the words to be spelled; without ``who`` nobody's."""
-        owner, step = self.code.tokens.paths(ids)
+        lengths, step = self.code.tokens.paths(ids)
         raw = np.frombuffer(b" ".join([*spelled, b""]) if spelled else b"", np.uint8)
-        letter, letter_step = self.code.letters.paths(raw)
-        n_tokens = len(owner)
-        s = [np.empty(n_tokens + len(letter), np.intp) for _ in range(ORDERS)]
-        y = np.empty(n_tokens + len(letter), np.uint8)
+        letter_lengths, letter_step = self.code.letters.paths(raw)
+        n_tokens = len(step)
+        s = [np.empty(n_tokens + len(letter_step), np.intp) for _ in range(ORDERS)]
+        y = np.empty(len(s[0]), np.uint8)
         kind = np.zeros(len(y), np.intp)
         kind[n_tokens:] = 16
         one = (before + 2).astype(np.uint32) * _B
@@ -149,12 +146,12 @@ class Stream:
         s[0][:n_tokens] = node
         node *= _A
         for k, context in enumerate((one, two), 1):
-            place = context.take(owner)
+            place = np.repeat(context, lengths)
             place += node
             self._slot(place, s[k][:n_tokens])
         whose = None if who is None else np.empty(len(y), np.intp)
         if who is not None:
-            who.take(owner, out=whose[:n_tokens], mode="clip")
+            whose[:n_tokens] = np.repeat(who, lengths)
         if len(raw):
             sizes = np.array([len(w) + 1 for w in spelled])
             place = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -163,21 +160,20 @@ class Stream:
             two = prev[0] * _A + prev[1] * _B
             three = two + prev[2] * _D
             contexts = (two * _C, three * _C, (three + prev[3] * _C + prev[4] * np.uint32(0x1B873593)) * _A + np.uint32(12345))
-            hashed = [(c.take(letter) + node) * _B + np.uint32(77) for c in contexts]
+            hashed = [(np.repeat(c, letter_lengths) + node) * _B + np.uint32(77) for c in contexts]
             s[0][n_tokens:] = (hashed[0] * _D >> np.uint32(4)) % self.room + np.uint32(self.code.tokens.nodes)
             for k in range(1, ORDERS):
                 self._slot(hashed[k], s[k][n_tokens:])
             np.bitwise_and(letter_step, np.uint32(1), out=y[n_tokens:], casting="unsafe")
             if who is not None:
-                whose[n_tokens:] = np.repeat(spelled_who, sizes).take(letter)
+                whose[n_tokens:] = np.repeat(np.repeat(spelled_who, sizes), letter_lengths)
         return s, y, kind, whose
 
     def _slot(self, hashed: np.ndarray, out: np.ndarray) -> None:
         mixed = hashed >> np.uint32(15)
         mixed ^= hashed
         mixed *= _D
-        mixed >>= self.shift
-        out[:] = mixed
+        np.right_shift(mixed, self.shift, out=out)
 
 
 class Document(NamedTuple):
@@ -214,14 +210,15 @@ class Group:
                 yield low, high, (ids, self.ids.take(at - 1), self.ids.take(at - 2), who, spelled, who.take(odd))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], stream: Stream, column: int, most: int = BATCH_TOKENS):
-    """Lists of (batch, row, document) of about ``most`` tokens, longest documents first."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int = BATCH_TOKENS):
+    """Lists of (batch, row, document) of about ``most`` tokens, longest documents first, from rows with ids and spelled first."""
     held, size = [], 0
     for batch in batches:
-        for some in slices(batch, column, SPLIT_BYTES):
-            for i, document in enumerate(stream.documents(some.column(column))):
-                held.append((some, i, document))
-                size += len(document.ids)
+        for some in slices(batch, 0, SPLIT_BYTES):
+            ids, spelled = some.column(0), pc.binary_join(some.column(1), b" ").to_pylist()  # no word has a blank
+            for i, words in enumerate(spelled):
+                held.append((some, i, Document(np.frombuffer(ids[i].as_buffer(), np.int32), words.split())))
+                size += len(held[-1][2].ids)
                 if size >= most:
                     yield sorted(held, key=lambda h: -len(h[2].ids))
                     held, size = [], 0
@@ -278,6 +275,29 @@ def build_code(counts: DataFrame, tokens: int, size: int) -> Code:
     return Code(words, n, tokens - sum(n))
 
 
+def encode(rows: DataFrame, known) -> DataFrame:
+    """``rows`` (key, text, held_out, bytes) with token ids and the words to be spelled in place of the text, and a number.
+
+    Counting, fitting and scoring all read this table, so texts are split and looked up once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = Stream(known.value, SLOT_BITS)
+        for batch in batches:
+            for some in slices(batch, 1, SPLIT_BYTES):
+                ids, sizes, words, rare = stream.tokens(some.column(1))
+                at, rare_at = (np.concatenate([[0], np.cumsum(n)]).astype(np.int32) for n in (4 * sizes, rare))
+                coded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(ids)])
+                spelled = pa.ListArray.from_arrays(pa.array(rare_at), words)
+                yield pa.RecordBatch.from_arrays(
+                    [coded, spelled, some.column(0).cast(pa.int64()), some.column(2), some.column(3).cast(pa.int64())],
+                    ["ids", "spelled", "key", "held_out", "bytes"],
+                )
+
+    made = rows.select("key", "text", "held_out", "bytes").mapInArrow(run, "ids binary, spelled array<binary>, key long, held_out boolean, bytes long")
+    return settle(made.withColumn("row", F.monotonically_increasing_id()))
+
+
 def context_counts(texts: DataFrame, known, slot_bits: int) -> np.ndarray:
     """Counts of 0 and 1 in every slot, summed over all training texts: shape (orders, slots, 2).
 
@@ -290,18 +310,20 @@ def context_counts(texts: DataFrame, known, slot_bits: int) -> np.ndarray:
         stream = Stream(known.value, slot_bits)
         table = np.zeros((ORDERS, slots * 2), np.uint32)
         tokens_seen, one = np.zeros(len(stream.code.counts), np.int64), np.uint32(1)
-        for group in _groups(batches, stream, 0, 10_000):
+        for group in _groups(batches, 10_000):
             for _, _, (ids, one_before, two_before, _, spelled, _) in Group(stream, [d for _, _, d in group]).stretches(10_000, len(group)):  # long ones in parts
                 s, y, kind, _ = stream.slots(ids, one_before, two_before, None, spelled, None)
                 np.add.at(tokens_seen, ids, 1)
                 coded = len(y) - np.count_nonzero(kind)
-                np.add.at(table[0], s[0][coded:] * 2 + y[coded:], one)
-                for k in range(1, ORDERS):
-                    np.add.at(table[k], s[k] * 2 + y, one)
+                for k in range(ORDERS):
+                    at, bit = (s[k], y) if k else (s[k][coded:], y[coded:])
+                    at *= 2
+                    at += bit
+                    np.add.at(table[k], at, one)
         # the place in the code tree alone: a token's path as often as the token
         ids = np.flatnonzero(tokens_seen)
-        owner, step = stream.code.tokens.paths(ids)
-        np.add.at(table[0], step, tokens_seen[ids].astype(np.uint32).take(owner))
+        lengths, step = stream.code.tokens.paths(ids)
+        np.add.at(table[0], step, np.repeat(tokens_seen[ids].astype(np.uint32), lengths))
         parts = table.reshape(-1, 2 * min(_PART, slots))
         touched = np.flatnonzero(parts.any(1))
         for p in touched.tolist():
@@ -318,7 +340,7 @@ def context_counts(texts: DataFrame, known, slot_bits: int) -> np.ndarray:
         small = (pair >> over[:, None]).astype("<u2")
         return pd.DataFrame({"part": [rows["part"].iat[0]], "data": [zstandard.compress(small.tobytes(), 1)]})
 
-    made = texts.select("text").mapInArrow(count, "part int, data binary")
+    made = texts.select("ids", "spelled").mapInArrow(count, "part int, data binary")
     table = np.zeros((ORDERS * slots // min(_PART, slots), 2 * min(_PART, slots)), "<u2")
     for row in made.groupBy("part").applyInPandas(add, "part int, data binary").collect():  # at most the table
         table[row["part"]] = np.frombuffer(zstandard.decompress(row["data"]), "<u2")
@@ -350,7 +372,7 @@ class Mixer:
             self.packed.append(np.rint(odds, out=odds).astype(np.int16) * np.int16(4) + seen)
 
     def inputs(self, slots, kind):
-        found = [self.packed[k].take(slots[k]) for k in range(ORDERS)]
+        found = [self.packed[k].take(slots[k], mode="clip") for k in range(ORDERS)]
         x = [(v >> 2).astype(np.float32) * np.float32(1 / _ODDS_UNIT) for v in found]
         return x, kind + ((found[2] & 3) * 4 + (found[1] & 3))
 
@@ -382,17 +404,16 @@ def _without_itself(table: np.ndarray) -> list[np.ndarray]:
     return codes
 
 
-def input_counts(texts: DataFrame, known, slots_known, slot_bits: int) -> DataFrame:
+def input_counts(texts: DataFrame, known, codes_known, slot_bits: int) -> DataFrame:
     """(cell, n): how often each combination of inputs, gate and bit occurs in all bits of the training texts.
 
     A cell is kind, order 2, order 1 (7 bits each), order 0 (5 bits) and the bit: at most 2 million, whatever the corpus.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, codes, one = Stream(known.value, slot_bits), _without_itself(slots_known.value), np.uint32(1)
-        codes[0] >>= 2
+        stream, codes, one = Stream(known.value, slot_bits), [codes_known.value[0] >> 2, *codes_known.value[1:]], np.uint32(1)
         seen = np.zeros(1 << 21, np.uint32)
-        for group in _groups(batches, stream, 0, 10_000):
+        for group in _groups(batches, 10_000):
             for _, _, (ids, one_before, two_before, _, spelled, _) in Group(stream, [d for _, _, d in group]).stretches(10_000, len(group)):
                 s, y, kind, _ = stream.slots(ids, one_before, two_before, None, spelled, None)
                 cell = kind >> 4
@@ -401,14 +422,14 @@ def input_counts(texts: DataFrame, known, slots_known, slot_bits: int) -> DataFr
                     at *= 2
                     at += y
                     cell <<= bits
-                    cell |= codes[k].take(at)
+                    cell |= codes[k].take(at, mode="clip")
                 cell <<= 1
                 cell |= y
                 np.add.at(seen, cell, one)
         cells = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(seen[cells].astype(np.int64))], ["cell", "n"])
 
-    return texts.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return texts.select("ids", "spelled").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def fit_weights(counted: DataFrame) -> np.ndarray:
@@ -444,19 +465,23 @@ def score(docs: DataFrame, training, key: str = "doc_id", dictionary: int = DICT
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col("text").cast("binary").alias("text"), (~training).alias("held_out"))
-    train = rows.filter(~F.col("held_out"))
-    counts = word_counts(train)
+    counts = word_counts(rows.filter(~F.col("held_out")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     known = spark.sparkContext.broadcast(build_code(counts, total, dictionary))  # at most the dictionary
-    table = spark.sparkContext.broadcast(context_counts(train, known, slot_bits))  # at most the slots
-    weights = spark.sparkContext.broadcast(fit_weights(input_counts(train, known, table, slot_bits)))
+    coded = encode(rows.withColumn("bytes", F.octet_length("text")), known)
+    train = coded.filter(~F.col("held_out"))
+    table = context_counts(train, known, slot_bits)  # at most the slots, as are both broadcasts
+    codes = spark.sparkContext.broadcast(_without_itself(table))
+    weights = spark.sparkContext.broadcast(fit_weights(input_counts(train, known, codes, slot_bits)))
+    codes.unpersist()
+    mixer_known = spark.sparkContext.broadcast(Mixer(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, mixer = Stream(known.value, slot_bits), Mixer(table.value)
+        stream, mixer = Stream(known.value, slot_bits), mixer_known.value
         code = stream.code
         base = np.log10(code.counts + 1.0)
         found = code.counts > 0
-        for group in _groups(batches, stream, 1):
+        for group in _groups(batches):
             own = [d for _, _, d in group]
             w = [np.tile(weights.value[:, k].astype(np.float32), len(own)) for k in range(ORDERS + 1)]
             logs = np.zeros(len(own))
@@ -465,43 +490,39 @@ def score(docs: DataFrame, training, key: str = "doc_id", dictionary: int = DICT
                 x, gate = mixer.inputs(s, kind)
                 at = who * _GATES + gate
                 own_w = [v[low * _GATES : high * _GATES] for v in w]
-                mix = own_w[0].take(at)
+                mix = own_w[0].take(at, mode="clip")
                 for k in range(ORDERS):
-                    mix += own_w[k + 1].take(at) * x[k]
+                    mix += own_w[k + 1].take(at, mode="clip") * x[k]
                 sign = y.astype(np.float32) * 2 - 1
                 odds = np.exp(-np.clip(mix * sign, -30, 30))  # of being wrong
-                logs[low:high] -= np.bincount(who, np.log1p(odds), high - low)
+                logs[low:high] -= np.bincount(who, np.log(odds + 1), high - low)
                 off = sign * (odds / (1 + odds)) * np.float32(rate)
                 np.add.at(own_w[0], at, off)
                 for k in range(ORDERS):
                     np.add.at(own_w[k + 1], at, off * x[k])
-            sizes = [b.column(3)[i].as_py() for b, i, _ in group]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([b.column(0)[i].as_py() for b, i, _ in group], pa.int64()),
-                    pa.array([b.column(2)[i].as_py() for b, i, _ in group], pa.bool_()),
+                    *(pa.array([b.column(c)[i].as_py() for b, i, _ in group], kind) for c, kind in ((2, pa.int64()), (3, pa.int64()), (4, pa.bool_()))),
                     pa.array([len(d.ids) for d in own], pa.int64()),
                     pa.array([int(found[d.ids].sum()) for d in own], pa.int64()),
                     pa.array([float(base[d.ids].sum()) for d in own]),
                     pa.array(logs / np.log(10)),
-                    pa.array([size or 0 for size in sizes], pa.int64()),
-                    pa.array([d.spelled for d in own], pa.list_(pa.binary())),
+                    pa.array([b.column(5)[i].as_py() or 0 for b, i, _ in group], pa.int64()),
                 ],
-                ["key", "held_out", "n_tokens", "coded", "base", "score", "bytes", "spelled"],
+                ["row", "key", "held_out", "n_tokens", "coded", "base", "score", "bytes"],
             )
 
     scored = settle(
-        rows.withColumn("bytes", F.octet_length("text")).mapInArrow(
-            run,
-            "key long, held_out boolean, n_tokens long, coded long, base double, score double, bytes long, spelled array<binary>",
-        ).withColumn("row", F.monotonically_increasing_id())
+        coded.select("ids", "spelled", "row", "key", "held_out", "bytes").mapInArrow(
+            run, "row long, key long, held_out boolean, n_tokens long, coded long, base double, score double, bytes long"
+        )
     )
     rare = (
-        scored.select("row", F.explode("spelled").alias("word")).join(counts, "word")
+        coded.select("row", F.explode("spelled").alias("word")).join(counts, "word")
         .groupBy("row").agg(F.count(F.lit(1)).alias("rare"), F.sum(F.log10(F.col("n") + 1)).alias("rare_base"))
     )
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
-    return scored.drop("spelled").join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         F.col("key").alias(key), "held_out", "n_tokens",
         (F.col("coded") + F.coalesce("rare", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
