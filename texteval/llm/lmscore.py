@@ -481,25 +481,29 @@ def score(docs: DataFrame, training, key: str = "doc_id", dictionary: int = DICT
         code = stream.code
         base = np.log10(code.counts + 1.0)
         found = code.counts > 0
+        # two weights are one complex number, so that one look-up and one sum serve both
+        paired = [np.ascontiguousarray(weights.value[:, k : k + 2].astype(np.float32)).view(np.complex64).ravel() for k in (0, 2)]
         for group in _groups(batches):
             own = [d for _, _, d in group]
-            w = [np.tile(weights.value[:, k].astype(np.float32), len(own)) for k in range(ORDERS + 1)]
+            w = [np.tile(v, len(own)) for v in paired]
             logs = np.zeros(len(own))
             for low, high, tokens in Group(stream, own).stretches(STRETCH, WIDTH):
                 s, y, kind, who = stream.slots(*tokens)
                 x, gate = mixer.inputs(s, kind)
                 at = who * _GATES + gate
                 own_w = [v[low * _GATES : high * _GATES] for v in w]
-                mix = own_w[0].take(at, mode="clip")
-                for k in range(ORDERS):
-                    mix += own_w[k + 1].take(at, mode="clip") * x[k]
+                low_w, high_w = (v.take(at, mode="clip") for v in own_w)
+                mix = low_w.real + low_w.imag * x[0]
+                mix += high_w.real * x[1]
+                mix += high_w.imag * x[2]
                 sign = y.astype(np.float32) * 2 - 1
                 odds = np.exp(-np.clip(mix * sign, -30, 30))  # of being wrong
                 logs[low:high] -= np.bincount(who, np.log(odds + 1), high - low)
                 off = sign * (odds / (1 + odds)) * np.float32(rate)
-                np.add.at(own_w[0], at, off)
-                for k in range(ORDERS):
-                    np.add.at(own_w[k + 1], at, off * x[k])
+                low_w.real, low_w.imag = off, off * x[0]
+                high_w.real, high_w.imag = off * x[1], off * x[2]
+                for v, change in zip(own_w, (low_w, high_w)):
+                    np.add.at(v, at, change)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(pa.array([b.column(c)[i].as_py() for b, i, _ in group], kind) for c, kind in ((2, pa.int64()), (3, pa.int64()), (4, pa.bool_()))),
