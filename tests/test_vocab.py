@@ -2,6 +2,8 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,6 +87,56 @@ def test_random_words_with_many_ties(spark, seed, head, ahead):
     assert vocab.learn_bpe(df, ["text"], 60, 1.0, head, ahead) == want
 
 
+def test_few_rounds_for_far_more_words_than_the_driver_holds(spark, monkeypatch):
+    # a run once ended at each pair that the words in the head put in the wrong place
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdefgh", [1 / n for n in range(1, 9)], k=rng.randint(2, 8))) for _ in range(60)) for _ in range(100)]
+    rounds, after = [], vocab._after
+    monkeypatch.setattr(vocab, "_after", lambda *args: rounds.append(1) or after(*args))
+    corpus = spark.createDataFrame([(t,) for t in texts], "text string")
+    want, _ = plain_bpe(texts, 400)
+    assert vocab.learn_bpe(corpus, ["text"], 400, coverage=1.0, head_words=200) == want
+    assert len(rounds) <= 10
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdef"])
+def test_merging_on_parts_is_merging_one_by_one(letters):
+    """Down to a level, on parts cut where rarer pairs stand, and on whole words."""
+    rng = random.Random(len(letters))
+    for _ in range(30):
+        words = Counter("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(60))
+        want, _ = plain_bpe([w for w, n in words.items() for _ in range(n)], 40)
+        pairs = Counter()
+        for w, n in words.items():
+            for p in zip("▁" + w, w):
+                pairs[p] += n
+        for least in (1, 8, 20):
+            parts = Counter()
+            for w, n in words.items():
+                part = ["▁"]
+                for a, b in zip("▁" + w, w):
+                    if pairs[a, b] < least:
+                        parts[" ".join(part)] += n
+                        part = []
+                    part.append(b)
+                parts[" ".join(part)] += n
+            merger = vocab._Merger(pa.array(parts), np.array([*parts.values()]), least, set())
+            run = merger.propose(40)
+            assert run == want[: len(run)] or not merger.sure
+            assert least > 1 or run == want and merger.sure
+
+
+def test_a_run_on_a_word_is_its_merges_in_order():
+    rng = random.Random(8)
+    for _ in range(300):
+        word = rng.choices("ab", k=rng.randint(1, 14))
+        run = [tuple("".join(rng.choices("ab", k=rng.randint(1, 2))) for _ in range(2)) for _ in range(9)]
+        want, steps = word, vocab._steps(run)
+        for pair in run:
+            want = vocab._joined(want, pair)
+        assert vocab._merged(word, lambda p, done: next((s for s in steps.get(p, ()) if s > done), None)) == want
+
+
 def test_turns_find_the_first_better_pair():
     rng = random.Random(5)
     run = [(rng.choice("abcd"), rng.choice("abcd")) for _ in range(37)]

@@ -1,25 +1,26 @@
 """Byte-pair vocabularies learned from a corpus.
 
 The corpus is read once, into counts of distinct words. Merging is one long chain of decisions, each by the counts of
-all words, so a Spark job for each merge would be thousands of jobs. Instead a round proposes a long
-run of merges and checks all of it at once: every task
-replays the run on its words and hands over how each merge changes each pair's count; a pair
-that was ahead of a proposed one at its turn ends the run there. What is accepted is what one-by-one merging
-gives. The first proposal comes from the most frequent words, a bounded head of the table. The next one puts the rest of
-the run in the order of the exact counts and changes that the check has found, so errors along the whole run
-are mended at once. Head and proposals change the number of rounds, never the rules.
+all words, so a Spark job for each merge would be thousands of jobs. Instead a round takes a level: pairs that occur
+less often can't be merged before all pairs have come down to it, so every word is cut where such a pair stands. The parts
+are short and many words share them; counted over all words they come to the driver, which merges them one by one as
+long as the best pair is at the level at least. Those are the merges that all words would give: a pair at a cut comes
+from one pair of the round's start, so it occurs no more often than that one, as long as each piece is made in one way only.
+A run in which a piece is made in a second way is checked on all words. If the parts are too many for
+the driver, the level is raised. Level and run length change the number of rounds, never the rules.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +35,13 @@ RESERVED = ["<pad>", "<s>", "</s>", "<unk>", "<SEP>"]
 UNKNOWN = "<unk>"
 COVERAGE = 0.9995
 
-#: Words of the head and exact pair counts that come to the driver, and merges proposed in one round.
-HEAD_WORDS = 50_000
-LEADING_PAIRS = 20_000
-AHEAD = 4_096
-#: Pairs whose changes are known for the next proposal: so many for each merge that it may hold, and so many more.
-CONTENDERS, MORE_CONTENDERS = 2, 1_000
-#: Changed counts that a task holds at once.
+#: Room on the driver for parts of words, in words of so many symbols, and exact pair counts and merges of one round.
+HEAD_WORDS, WORD_SYMBOLS = 250_000, 16
+LEADING_PAIRS = 50_000
+AHEAD = 16_384
+#: A round goes down to this share of the highest count, or less far: half of the pairs are left out until the parts fit.
+DEPTH = 64
+#: Changed counts, or parts, that a task holds at once.
 HELD_CHANGES = 200_000
 
 
@@ -119,56 +120,104 @@ def _pairs(symbols: list[str]) -> Iterator[Pair]:
     return (p for p in zip(symbols, symbols[1:]) if UNKNOWN not in p)
 
 
-class _Head:
-    """Merging on the head of the word table: pair counts, the words of each pair, and a queue of pairs."""
-
-    def __init__(self, words: list[tuple[list[str], float]], exact: dict[Pair, int]):
-        self.words = words
-        self.count: Counter[Pair] = Counter()
-        self.holders: dict[Pair, set[int]] = defaultdict(set)
-        for at, (symbols, cnt) in enumerate(words):
-            for pair in _pairs(symbols):
-                self.count[pair] += cnt
-                self.holders[pair].add(at)
-        # what the words outside the head add to the leading pairs now
-        for pair, cnt in exact.items():
-            self.count[pair] = cnt
-        self.queue = [(-cnt, *pair) for pair, cnt in self.count.items()]
-        heapq.heapify(self.queue)
-
-    def best(self) -> Pair | None:
-        """The most frequent pair, of equal ones the smallest; entries of the queue that no longer hold are skipped."""
+class _Merger:
+    """Merging one by one on counted parts of words, for pairs that occur ``least`` times or more.
+
+    The parts lie in one array of symbol numbers; 0 stands between parts and for the unknown piece. Symbols of a part are
+    linked, and a merge touches only the places of its pair. ``made`` are the pieces of earlier merges. ``sure`` ends
+    with a piece that was there before, whose pairs may come together from places that have been counted apart.
+    """
+
+    def __init__(self, parts: pa.Array, counts: np.ndarray, least: int, made: set[str]):
+        lists = pc.split_pattern(parts, " ")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        self.counts, self.least, self.made, self.sure = counts, least, made, True
+        self.pieces = [UNKNOWN, *coded.dictionary.to_pylist()]
+        self.ids = {piece: i for i, piece in enumerate(self.pieces)}
+        n = len(coded) + len(sizes) + 1
+        part = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        at = np.arange(len(coded)) + part + 1
+        self.symbol, self.part = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.symbol[at], self.part[at] = coded.indices.to_numpy() + 1, part
+        self.before, self.after = np.arange(-1, n - 1, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
+        self.before[0] = self.after[-1] = 0
+        self.count: dict[tuple[int, int], int] = {}
+        self.places: dict[tuple[int, int], list[np.ndarray]] = {}
+        self.queue: list[tuple] = []
+        at = np.flatnonzero((self.symbol[:-1] > 0) & (self.symbol[1:] > 0)).astype(np.int32)
+        wide = len(self.pieces)
+        for key, cnt, here in self._grouped(at, self.symbol[at].astype(np.int64) * wide + self.symbol[at + 1]):
+            if cnt >= least:
+                self._gained((key // wide, key % wide), cnt, here)
+
+    def _grouped(self, at: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Each key with the count of its places and the places."""
+        if len(at):
+            order = np.argsort(keys, kind="stable")
+            at, keys = at[order], keys[order]
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            counts, ends = np.add.reduceat(self.counts[self.part[at]], starts).tolist(), [*starts[1:].tolist(), len(at)]
+            for key, cnt, start, end in zip(keys[starts].tolist(), counts, starts.tolist(), ends):
+                yield key, cnt, at[start:end]
+
+    def _gained(self, pair: tuple[int, int], cnt: int, places: np.ndarray) -> None:
+        self.count[pair] = now = self.count.get(pair, 0) + cnt
+        self.places.setdefault(pair, []).append(places)
+        heapq.heappush(self.queue, (-now, *(self.pieces[i] for i in pair), pair))
+
+    def _lost(self, pair: tuple[int, int], cnt: int) -> None:
+        if pair in self.count:
+            self.count[pair] -= cnt
+
+    def best(self) -> tuple[int, int] | None:
+        """The most frequent pair, of equal ones the smallest; counts that have sunk since go back into the queue."""
         while self.queue:
-            cnt, *pair = heapq.heappop(self.queue)
-            if cnt < 0 and self.count[tuple(pair)] == -cnt:
-                return tuple(pair)
+            cnt, a, b, pair = heapq.heappop(self.queue)
+            now = self.count.get(pair, 0)
+            if now == -cnt:
+                return pair
+            if self.least <= now < -cnt:
+                heapq.heappush(self.queue, (-now, a, b, pair))
         return None
 
-    def merge(self, pair: Pair) -> None:
-        """Touches only the words that hold the pair."""
-        changed = {pair}
-        for at in self.holders.pop(pair, ()):
-            symbols, cnt = self.words[at]
-            merged = _joined(symbols, pair)
-            if len(merged) == len(symbols):
-                continue
-            for old in _pairs(symbols):
-                self.count[old] -= cnt
-                changed.add(old)
-            for new in _pairs(merged):
-                self.count[new] += cnt
-                self.holders[new].add(at)
-                changed.add(new)
-            self.words[at] = merged, cnt
-        self.count[pair] = 0
-        for p in changed:
-            if self.count[p] > 0:
-                heapq.heappush(self.queue, (-self.count[p], *p))
+    def merge(self, pair: tuple[int, int]) -> None:
+        """All places of the pair, from the left."""
+        (a, b), symbol, after, before = pair, self.symbol, self.after, self.before
+        piece = self.pieces[a] + self.pieces[b]
+        if self.least > 1 and (piece in self.ids or piece in self.made):
+            self.sure = False
+        c = self.ids.setdefault(piece, len(self.pieces))
+        if c == len(self.pieces):
+            self.pieces.append(piece)
+        first = np.concatenate(self.places.pop(pair))
+        first = first[symbol[first] == a]
+        first = first[symbol[after[first]] == b]
+        if a == b:  # of a row of equal symbols, the first and second, third and fourth, and so on
+            first, turn = np.sort(first), np.arange(len(first))
+            begins = np.concatenate(([True], after[first[:-1]] != first[1:]))
+            first = first[(turn - np.maximum.accumulate(np.where(begins, turn, 0))) % 2 == 0]
+        second = after[first]
+        right, left = after[second], before[first]
+        old = symbol[right]
+        symbol[second], symbol[first] = -1, c
+        after[first], before[right] = right, first
+        new, left = symbol[right], left[symbol[left] > 0]  # on the left of some is one of the others: found on that one's right
+        for y, cnt, _ in self._grouped(second[old > 0], old[old > 0]):
+            self._lost((b, y), cnt)
+        for x, cnt, places in self._grouped(left, symbol[left]):
+            self._lost((x, a), cnt)
+            if c and cnt >= self.least:
+                self._gained((x, c), cnt, places)
+        for y, cnt, places in self._grouped(first[new > 0], new[new > 0]):
+            if c and cnt >= self.least:
+                self._gained((c, y), cnt, places)
+        del self.count[pair]
 
     def propose(self, merges: int) -> list[Pair]:
         run: list[Pair] = []
         while len(run) < merges and (pair := self.best()) is not None:
-            run.append(pair)
+            run.append((self.pieces[pair[0]], self.pieces[pair[1]]))
             self.merge(pair)
         return run
 
@@ -293,105 +342,149 @@ def _agreed(changes: DataFrame, run: list[Pair]) -> int:
     return n if turn is None else turn
 
 
-def _corrected(changes: DataFrame, run: list[Pair], agreed: int) -> list[Pair]:
-    """The rest of a run whose first merges agreed, proposed anew from the exact counts and changes.
+def _merged(symbols: list[str], turn: Callable[[Pair, int], int | None]) -> list[str]:
+    """The symbols after merging, the pair of the smallest turn first, from the left.
 
-    Merges are chosen one by one as if each changed the counts as it did in the run; one that the run did not hold
-    changes none but its own. So the proposal may be wrong, and is checked like any other. Only the pairs that can
-    come to the highest counts, and their changes, reach the driver.
+    ``turn`` has a pair, and the turn at which it came up (-1 at the start). Symbols form a linked list; a queue holds
+    the neighbours that have a turn, so a word of n characters takes n log n steps. Entries whose symbols have changed since
+    are skipped.
     """
-    spark, wanted = changes.sparkSession, len(run) - agreed
-    most = CONTENDERS * wanted + MORE_CONTENDERS
-    rows = _gaining(changes, agreed - 1, len(run)).filter("bound > 0").orderBy(F.desc("bound"), "a", "b").limit(most).collect()
-    level = rows[-1].bound if len(rows) == most else 0
-    pairs, count = [(r.a, r.b) for r in rows], [r.now for r in rows]
-    named = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, a string, b string")
-    found = changes.filter(F.col("step") >= agreed).join(F.broadcast(named), ["a", "b"]).select("step", "id", "change").toArrow()
-    step, who, change = (found.column(i).to_numpy() for i in range(3))
-    order = np.argsort(step, kind="stable")
-    step, who, change = step[order], who[order], change[order]
-    turns: dict[Pair, list[int]] = {}
-    for t in range(len(run) - 1, agreed - 1, -1):
-        turns.setdefault(run[t], []).append(t)
-    queue = [(-c, *pairs[i], i) for i, c in enumerate(count) if c > level]
+    symbols: list[str | None] = list(symbols)
+    before, after = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
+
+    def entry(left: int, done: int) -> tuple | None:
+        right = after[left] if left >= 0 else len(symbols)
+        if right >= len(symbols) or (at := turn((symbols[left], symbols[right]), done)) is None:
+            return None
+        return at, left, symbols[left], symbols[right]
+
+    queue = [e for e in (entry(left, -1) for left in range(len(symbols))) if e]
     heapq.heapify(queue)
-    made: list[Pair] = []
-    while queue and len(made) < wanted:
-        cnt, *_, own = heapq.heappop(queue)
-        if count[own] != -cnt:
+    while queue:
+        done, left, a, b = heapq.heappop(queue)
+        right = after[left]
+        if symbols[left] != a or right >= len(symbols) or symbols[right] != b:
             continue
-        made.append(pairs[own])
-        if turns.get(pairs[own]):
-            t = turns[pairs[own]].pop()
-            start, end = np.searchsorted(step, [t, t + 1])
-            for i, by in zip(who[start:end].tolist(), change[start:end].tolist()):
-                count[i] += by
-                if i != own and count[i] > level:
-                    heapq.heappush(queue, (-count[i], *pairs[i], i))
-        count[own] = 0
-    return made
+        symbols[left], symbols[right] = a + b, None
+        after[left] = after[right]
+        if after[right] < len(symbols):
+            before[after[right]] = left
+        for e in (entry(before[left], done), entry(left, done)):
+            if e:
+                heapq.heappush(queue, e)
+    return [x for x in symbols if x is not None]
 
 
 def _after(table: DataFrame, run: list[Pair]) -> DataFrame:
-    """The word table with the run's merges done."""
+    """The word table with the run's merges done, without the words that are one piece now."""
     sent = table.sparkSession.sparkContext.broadcast(run)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = _steps(sent.value)
+
+        def turn(pair: Pair, done: int) -> int | None:
+            return next((step for step in steps.get(pair, ()) if step > done), None)
+
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            for at, symbols in enumerate(words):
-                for _, words[at] in _replayed(symbols, steps):
-                    pass
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], ["symbols", "cnt"])
+            words = [_merged(symbols, turn) for symbols in batch.column(0).to_pylist()]
+            merged = pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], ["symbols", "cnt"])
+            yield merged.filter(pa.array([len(symbols) > 1 for symbols in words], pa.bool_()))
 
     return table.mapInArrow(merge, "symbols array<string>, cnt long")
 
 
-def _head_run(table: DataFrame, head_words: int, ahead: int) -> list[Pair]:
-    """The next merges by the most frequent words and the exact counts of the leading pairs; none if no pair is left.
+def _parts(table: DataFrame, pairs: set[Pair]) -> DataFrame:
+    """(symbols, cnt): the words cut between neighbours that are none of the pairs, without parts of one symbol."""
+    sent = table.sparkSession.sparkContext.broadcast(pairs)
 
-    Words as rare as the rarest of the head are a sample of their kind and count for all words that are not in the head.
-    """
-    words = table.orderBy(F.desc("cnt"), F.xxhash64("symbols"), "symbols").limit(head_words).collect()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        linked, held = sent.value, Counter()
+
+        def handed_over() -> pa.RecordBatch:
+            parts, cnt = [part.split(" ") for part in held], list(held.values())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.list_(pa.string())), pa.array(cnt, pa.int64())], ["symbols", "cnt"])
+
+        for batch in batches:
+            for symbols, cnt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                start = 0
+                for end, pair in enumerate(zip(symbols, [*symbols[1:], None]), 1):
+                    if pair not in linked:
+                        if end - start > 1:
+                            held[" ".join(symbols[start:end])] += cnt
+                        start = end
+                if len(held) > HELD_CHANGES:
+                    yield handed_over()
+        if held:
+            yield handed_over()
+
+    found = table.select("symbols", "cnt").mapInArrow(cut, "symbols array<string>, cnt long")
+    return found.groupBy("symbols").agg(F.sum("cnt").alias("cnt"))
+
+
+def _proposed(table: DataFrame, head_words: int, ahead: int, made: set[str]) -> tuple[list[Pair], bool]:
+    """The next merges, and whether they are sure to be those of all words; none if no pair is left. The first one is sure."""
     spelt = table.select(F.concat(F.lit(" "), F.array_join("symbols", " "), F.lit(" ")).alias("symbols"), "cnt")
-    leading = pair_counts(spelt).orderBy(F.desc("cnt"), "a", "b").limit(LEADING_PAIRS).collect()
-    if not leading:
-        return []
-    rarest = words[-1].cnt
-    sampled = sum(r.cnt for r in words if r.cnt == rarest)
-    outside = table.agg(F.sum("cnt")).first()[0] - sum(r.cnt for r in words)
-    weight = round(64 * (1 + outside / sampled)) / 64  # sums of 64ths are exact
-    head = [(list(r.symbols), r.cnt * (weight if r.cnt == rarest else 1)) for r in words]
-    return _Head(head, {(r.a, r.b): r.cnt for r in leading}).propose(ahead)
+    leading = pair_counts(spelt).orderBy(F.desc("cnt"), "a", "b").limit(LEADING_PAIRS + 1).toArrow().to_pydict()
+    pairs, counts = list(zip(leading["a"], leading["b"])), leading["cnt"]
+    if not pairs:
+        return [], True
+    least, sure = max(1, counts[0] // DEPTH), True
+    if len(pairs) > LEADING_PAIRS:  # pairs as frequent as the first that is left out may be left out too
+        sure = counts[-1] < counts[0]
+        least = max(least, counts[-1] + 1) if sure else counts[0]
+    cut, parts = table, None
+    try:
+        while True:
+            linked = {pair for pair, cnt in zip(pairs, counts) if cnt >= least}
+            parts = stored(_parts(cut, linked))
+            size = parts.agg(F.sum(F.size("symbols"))).first()[0]
+            if size <= head_words * WORD_SYMBOLS or least == counts[0]:
+                break
+            if cut is not table:
+                delete_stored(cut)
+            least, cut, parts = min(max(least + 1, counts[len(linked) // 2]), counts[0]), parts, None
+        held = parts.select(F.array_join("symbols", " ").alias("part"), "cnt").toArrow()
+    finally:
+        for own in (cut, parts):
+            if own is not None and own is not table:
+                delete_stored(own)
+    merger = _Merger(held["part"].combine_chunks(), held["cnt"].to_numpy(), least, made)
+    run = merger.propose(ahead)
+    return run, sure and merger.sure
 
 
 def _rounds(table: DataFrame, head_words: int, ahead: int) -> Iterator[list[Pair]]:
-    """Runs of accepted merges of the stored word table, until no pair is left; the last tables are deleted."""
-    run: list[Pair] = []
+    """Runs of merges of the stored word table, until no pair is left; the last tables are deleted."""
+    made: set[str] = set()
     try:
         while True:
-            run = run or _head_run(table, head_words, ahead)
+            run, sure = _proposed(table, head_words, ahead, made)
             if not run:
                 return
-            changes = stored(_changes(table, run))
-            try:
-                agreed = _agreed(changes, run)
-                done, run = run[:agreed], _corrected(changes, run, agreed) if 0 < agreed < len(run) else []
-            finally:
-                delete_stored(changes)
-            if not done:  # a corrected run may begin wrong, one by the head can't
-                continue
-            yield done
-            following = stored(_after(table, done))
+            if not sure:
+                changes = stored(_changes(table, run))
+                try:
+                    run = run[: _agreed(changes, run)]
+                finally:
+                    delete_stored(changes)
+            yield run
+            made.update(a + b for a, b in run)
+            following = stored(_after(table, run))
             delete_stored(table)
             table = following
     finally:
         delete_stored(table)
 
 
-def _word_table(words: DataFrame, alphabet: list[str]) -> DataFrame:
-    return stored(spelled(words, alphabet).select(F.split(F.trim("symbols"), " ").alias("symbols"), "cnt"))
+def _word_table(df: DataFrame, cols: list[str], coverage: float) -> tuple[list[str], DataFrame]:
+    """The alphabet and the stored table of the words' symbols; the texts are read once."""
+    words = stored(word_counts(df, cols))
+    try:
+        alphabet = [r["ch"] for r in kept_characters(words, coverage).collect()]
+        return alphabet, stored(spelled(words, alphabet).select(F.split(F.trim("symbols"), " ").alias("symbols"), "cnt"))
+    finally:
+        delete_stored(words)
 
 
 def learn_bpe(
@@ -401,21 +494,17 @@ def learn_bpe(
     """Merge rules in order, learned from the rows of ``df`` (pass the train split only).
 
     The most frequent pair is merged first; ties go to the smaller pair. Null texts have no words; an empty table has no
-    rules. ``head_words`` and ``ahead`` change the number of rounds, not the rules.
+    rules. ``head_words`` (room on the driver) and ``ahead`` change the number of rounds, not the rules.
     """
-    words = word_counts(df, cols)
+    _, table = _word_table(df, cols, coverage)
     rules: list[Pair] = []
-    for run in _rounds(_word_table(words, _alphabet(words, coverage)), head_words, min(ahead, merges)):
+    for run in _rounds(table, head_words, min(ahead, merges)):
         rules += run
         if len(rules) >= merges:
             break
     return rules[:merges]
 
 
-def _alphabet(words: DataFrame, coverage: float) -> list[str]:
-    return [r["ch"] for r in kept_characters(words, coverage).collect()]
-
-
 def learn_vocabulary(
     df: DataFrame, cols: list[str], size: int, coverage: float = COVERAGE,
     head_words: int = HEAD_WORDS, ahead: int = AHEAD,
@@ -424,12 +513,12 @@ def learn_vocabulary(
 
     Two pairs may give one piece; it counts once. A corpus with too few pairs gives a smaller vocabulary.
     """
-    words = word_counts(df, cols)
-    alphabet = _alphabet(words, coverage)
+    alphabet, table = _word_table(df, cols, coverage)
     wanted, rules, pieces = size - len(RESERVED) - len(alphabet), [], set()
     if wanted <= 0:
+        delete_stored(table)
         return [], alphabet
-    for run in _rounds(_word_table(words, alphabet), head_words, min(ahead, wanted)):
+    for run in _rounds(table, head_words, min(ahead, wanted)):
         for a, b in run:
             if len(pieces) < wanted:
                 rules.append((a, b))
@@ -446,35 +535,8 @@ def vocabulary(rules: list[Pair], alphabet: list[str]) -> dict[str, int]:
 
 
 def split_word(word: str, rank: dict[Pair, int]) -> list[str]:
-    """Pieces of a word: the earliest rule that fits is applied first, from the left.
-
-    Symbols form a linked list; a queue holds the neighbours that a rule joins, so a word of n characters takes
-    n log n steps. Entries whose symbols have changed since are skipped.
-    """
-    symbols: list[str | None] = list(word)
-    before, after = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
-
-    def entry(left: int) -> tuple | None:
-        right = after[left] if left >= 0 else len(symbols)
-        if right >= len(symbols) or (symbols[left], symbols[right]) not in rank:
-            return None
-        return rank[symbols[left], symbols[right]], left, symbols[left], symbols[right]
-
-    queue = [e for e in map(entry, range(len(symbols))) if e]
-    heapq.heapify(queue)
-    while queue:
-        _, left, a, b = heapq.heappop(queue)
-        right = after[left]
-        if symbols[left] != a or right >= len(symbols) or symbols[right] != b:
-            continue
-        symbols[left], symbols[right] = a + b, None
-        after[left] = after[right]
-        if after[right] < len(symbols):
-            before[after[right]] = left
-        for e in (entry(before[left]), entry(left)):
-            if e:
-                heapq.heappush(queue, e)
-    return [x for x in symbols if x is not None]
+    """Pieces of a word: the earliest rule that fits is applied first, from the left."""
+    return _merged(list(word), lambda pair, _: rank.get(pair))
 
 
 def _encoder(df: DataFrame, rules: list[Pair], ids: dict[str, int] | None):
